@@ -273,23 +273,23 @@ def _merge_rounds(ranked: DataFrame, threshold: float) -> DataFrame:
             F.when(forward, F.col("b")).otherwise(F.col("a")).alias("late"),
         )
     )
-    leaders = edges.select("early").limit(0)
+    members = edges.select("early").limit(0)
     open_edges = edges
     while not open_edges.isEmpty():
         # Nothing undecided comes before these, so they lead; their neighbours are decided too.
         new = open_edges.select("early").join(
             open_edges.select(F.col("late").alias("early")).distinct(), "early", "left_anti"
         )
-        new = cut(new.distinct())
-        leaders = leaders.unionByName(new)
+        new = new.distinct()
         claimed = cut(open_edges.join(new, "early", "left_semi").select("late").distinct())
+        gone = claimed.select(F.col("late").alias("early"))
+        members = members.unionByName(gone)
         open_edges = cut(
-            open_edges.join(claimed, "late", "left_anti").join(
-                claimed.select(F.col("late").alias("early")), "early", "left_anti"
-            )
+            open_edges.join(claimed, "late", "left_anti").join(gone, "early", "left_anti")
         )
+    # Whoever was never claimed leads, also one whose neighbours all went to others first.
     return (
-        edges.join(leaders, "early", "left_semi")
+        edges.join(members, "early", "left_anti")
         .groupBy(F.col("late").alias("label"))
         .agg(F.min_by("early", "early_rank").alias("canonical"))
     )
