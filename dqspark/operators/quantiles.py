@@ -29,9 +29,19 @@ PASSES = 3  # after the coarse one
 # A target table of at most this many rows (a hundred bytes each) is broadcast to the next pass.
 BROADCAST_ROWS = 20_000
 
-_TARGET_FIELDS = T.StructType.fromDDL(
-    "lo double, hi double, ranks array<struct<p:int,upper:boolean,frac:double,rank:bigint>>"
-).fields
+_RANK = T.StructType(
+    [
+        T.StructField("p", T.IntegerType()),
+        T.StructField("upper", T.BooleanType()),
+        T.StructField("frac", T.DoubleType()),
+        T.StructField("rank", T.LongType()),
+    ]
+)
+_TARGET_FIELDS = [
+    T.StructField("lo", T.DoubleType()),
+    T.StructField("hi", T.DoubleType()),
+    T.StructField("ranks", T.ArrayType(_RANK)),
+]
 
 
 def _coarse(v: Column) -> Column:
