@@ -136,3 +136,15 @@ def accepted_by_reference(df: DataFrame, column: str, reference: DataFrame, key:
 def rejected_by_reference(df: DataFrame, column: str, reference: DataFrame, key: str) -> DataFrame:
     """Rows whose value the reference does not know (anti join)."""
     return df.join(reference.select(ref(key).alias(column)), column, "left_anti")
+
+
+def sort_by(df: DataFrame, column: str) -> DataFrame:
+    """Ascending, missing values last."""
+    require(df, column)
+    return df.orderBy(ref(column).asc_nulls_last())
+
+
+def first_rows(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
+    """The first rows in an order, as a sample to look at: a distributed top-n, not a sort."""
+    require(df, *order)
+    return df.orderBy(*[ref(c).asc_nulls_last() for c in order]).limit(n)

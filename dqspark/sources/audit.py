@@ -69,3 +69,11 @@ def append_log(entries: DataFrame, path: str) -> None:
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The trail; a filter on ``run_id`` prunes partitions. Order by ``run_id, seq`` to read it."""
     return spark.read.schema(AUDIT_DDL).parquet(path)
+
+
+def merge_logs(*logs: DataFrame) -> DataFrame:
+    """All entries of all logs, repeats included."""
+    merged = logs[0]
+    for log in logs[1:]:
+        merged = merged.unionByName(log)
+    return merged
