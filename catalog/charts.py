@@ -87,12 +87,12 @@ def chart_line(spark, sf_dir):
 
 @query(
     "chart_line_mean",
-    """SELECT strftime(o_orderdate, '%Y-%m-%d') AS x, round(avg(o_totalprice), 3) AS y
+    """SELECT strftime(o_orderdate, '%Y-%m-%d') AS x, round(avg(o_totalprice), 6) AS y
 FROM orders GROUP BY o_orderdate""",
 )
 def chart_line_mean(spark, sf_dir):
     points = line(dirt.table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", mean=True)
-    return points.select(F.date_format("x", "yyyy-MM-dd").alias("x"), F.round("y", 3).alias("y"))
+    return points.select(F.date_format("x", "yyyy-MM-dd").alias("x"), F.round("y", 6).alias("y"))
 
 
 @query(

@@ -34,7 +34,7 @@ def _each(template: str, columns: list[str]) -> str:
 NUMBERS = """SELECT '{c}' AS "column", count(*) AS n_rows,
   round(1 - count({c}) / count(*)::DOUBLE, 4) AS missing_pct,
   count(DISTINCT {c}) AS n_unique, round(avg({c}::DOUBLE), 4) AS mean,
-  round(stddev_samp({c}::DOUBLE), 3) AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max,
+  round(stddev_samp({c}::DOUBLE), 4) AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max,
   round(quantile_cont({c}::DOUBLE, 0.25), 4) AS q1, round(quantile_cont({c}::DOUBLE, 0.75), 4) AS q3
 FROM d"""
 
@@ -51,8 +51,8 @@ def profile_numeric(spark, sf_dir):
         "n_rows",
         "missing_pct",
         "n_unique",
-        F.round("mean", 4).alias("mean"),
-        F.round("std", 3).alias("std"),
+        "mean",
+        "std",
         "min",
         "max",
         F.round("q1", 4).alias("q1"),
@@ -156,7 +156,7 @@ def profile_full(spark, sf_dir):
 STATS = """SELECT '{c}' AS "column", false AS dropped, count(*) - count({c}) AS missing_count,
   round(1 - count({c}) / count(*)::DOUBLE, 4) AS missing_pct, count(DISTINCT {c}) AS n_unique,
   '{t}' AS dtype, {m} FROM d"""
-MOMENTS = """round(avg({c}), 4) AS mean, round(stddev_samp({c}), 3) AS std, min({c})::DOUBLE AS min,
+MOMENTS = """round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c})::DOUBLE AS min,
   max({c})::DOUBLE AS max"""
 NONE = "NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS min, NULL::DOUBLE AS max"
 
@@ -177,7 +177,7 @@ def stats_snapshot(spark, sf_dir):
     stats = column_stats(
         dirt.lineitem(spark, sf_dir), ["l_quantity", "l_linenumber", "l_returnflag", "l_gone"]
     )
-    return stats.drop("n_rows").withColumn("std", F.round("std", 3))
+    return stats.drop("n_rows")
 
 
 ISSUES = f"""WITH {dirt.LINEITEM}, i AS (

@@ -145,14 +145,21 @@ def vet_plan(plan: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def _fits(kinds: Column, columns: Column, chart_type: Column) -> Column:
     """The chart rules over a map of column classes, as one expression."""
+
+    def allowed_class(c: Column, wanted: tuple[str, ...]) -> Column:
+        return F.try_element_at(kinds, c).isin(*wanted)
+
+    def all_allowed(wanted: tuple[str, ...]) -> Column:
+        return F.forall(columns, lambda c: allowed_class(c, wanted))
+
     result = F.lit(False)
     for chart, (least, allowed, repeat) in CHART_RULES.items():
         ok = F.size(columns) >= least
         if repeat:
-            ok &= F.forall(columns, lambda c, w=allowed[0]: F.try_element_at(kinds, c).isin(*w))
+            ok &= all_allowed(allowed[0])
         else:
             for i, wanted in enumerate(allowed):
-                ok &= F.try_element_at(kinds, F.get(columns, i)).isin(*wanted)
+                ok &= allowed_class(F.get(columns, i), wanted)
         result = F.when(chart_type == chart, F.coalesce(ok, F.lit(False))).otherwise(result)
     return result
 

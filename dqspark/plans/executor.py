@@ -64,15 +64,21 @@ def _group_diff(before: DataFrame, after: DataFrame, group: Sequence[Fitted]) ->
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return column_stats(df, names).select(
-            "column", F.col("n_rows").alias(f"rows_{name}"), F.struct(*STAT_FIELDS).alias(f"{name}_stat")
+            "column",
+            F.col("n_rows").alias(f"rows_{name}"),
+            *[F.col(s).alias(f"{name}_{s}") for s in STAT_FIELDS],
         )
 
+    def snapshot(name: str):
+        fields = [F.col(f"{name}_{s}").alias(s) for s in STAT_FIELDS]
+        return F.struct(*fields).alias(f"{name}_stat")
+
     out = head.join(side(before, "before"), "column").join(side(after, "after"), "column")
     if cells:
         out = out.join(_cells_changed(before, cells), "seq", "left")
     else:
         out = out.withColumn("cells_changed", F.lit(None).cast("bigint"))
-    lost = F.abs(F.col("before_stat.missing_count") - F.col("after_stat.missing_count"))
+    lost = F.abs(F.col("before_missing_count") - F.col("after_missing_count"))
     affected = (
         F.when(F.col("action_type") == "drop_rows", F.col("rows_before") - F.col("rows_after"))
         .when(F.col("action_type") == "drop_column", F.col("rows_before"))
@@ -85,8 +91,8 @@ def _group_diff(before: DataFrame, after: DataFrame, group: Sequence[Fitted]) ->
         "rationale",
         affected.alias("rows_affected"),
         F.coalesce("cells_changed", affected).alias("cells_changed"),
-        "before_stat",
-        "after_stat",
+        snapshot("before"),
+        snapshot("after"),
     )
 
 
