@@ -55,7 +55,7 @@ def similarity_of_labels(spark, sf_dir):
     pairs = orders.join(parts, "p_partkey").select(
         F.col("o_orderpriority").alias("label_a"), F.col("p_type").alias("label_b")
     )
-    scored = pairs.distinct().withColumn("similarity", label_similarity(F.col("label_a"), F.col("label_b")))
+    scored = pairs.distinct().withColumn("similarity", label_similarity("label_a", "label_b"))
     return scored.withColumn("similarity", F.round("similarity", 4))
 
 

@@ -1,4 +1,8 @@
-"""Label expressions: normal form and similarity, as native column expressions."""
+"""Label expressions: normal form and similarity, as native column expressions.
+
+The longer ones are written as SQL text over named columns: built call by call from Python they
+would cost the driver more than they cost the executors.
+"""
 
 from __future__ import annotations
 
@@ -16,96 +20,69 @@ def clean_label(c: Column) -> Column:
     return F.lower(F.regexp_replace(c.cast("string"), r"^\s+|\s+$", ""))
 
 
-def chars(c: Column) -> Column:
+def chars(c: str) -> str:
     """The characters of a label, one array element per code point."""
-    return F.filter(F.split(c, ""), lambda ch: ch != "")
+    return f"filter(split({c}, ''), ch -> ch != '')"
 
 
-def bit_alphabet(c: Column) -> Column:
+def bit_alphabet(c: str) -> str:
     """The distinct characters of a label as one string."""
-    return F.array_join(F.array_distinct(chars(c)), "")
+    return f"array_join(array_distinct({chars(c)}), '')"
 
 
-def bit_masks(c: Column) -> Column:
+def bit_masks(c: str) -> str:
     """For each character of ``bit_alphabet``, the positions it holds, as limbs of bits.
 
     A flat array: the limbs of the first character, then those of the second, and so on.
     """
-    letters = chars(c)
-    size = F.size(letters)
-    limbs = F.greatest(F.ceil(size / F.lit(LIMB)).cast("int"), F.lit(1))
-
-    def limb(ch: Column, i: Column) -> Column:
-        part = F.slice(letters, i * LIMB + 1, F.lit(LIMB))
-        bits = F.transform(
-            part,
-            lambda x, j: F.when(x == ch, F.call_function("shiftleft", F.lit(1).cast("bigint"), j)).otherwise(
-                F.lit(0).cast("bigint")
-            ),
-        )
-        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
-
-    return F.flatten(
-        F.transform(
-            F.array_distinct(letters),
-            lambda ch: F.transform(F.sequence(F.lit(0), limbs - 1), lambda i: limb(ch, i)),
-        )
+    last = f"greatest(cast(ceil(length({c}) / {LIMB}) AS int), 1) - 1"
+    bits = (
+        f"transform(slice({chars(c)}, i * {LIMB} + 1, {LIMB}), "
+        "(x, j) -> if(x = letter, shiftleft(1L, j), 0L))"
+    )
+    limb = f"aggregate({bits}, 0L, (acc, b) -> acc | b)"
+    return (
+        f"flatten(transform(array_distinct({chars(c)}), "
+        f"letter -> transform(sequence(0, {last}), i -> {limb})))"
     )
 
 
-def lcs_length(alphabet: Column, masks: Column, length: Column, other: Column) -> Column:
+def lcs_length(alphabet: str, masks: str, length: str, other: str) -> str:
     """Length of the longest common subsequence of two non-empty labels.
 
     The first label comes as ``bit_alphabet``, ``bit_masks`` and its length; the second as text.
     This is the bit-parallel recurrence of Hyyro (2004): one addition per character of the second
     label and limb of the first, for labels of any length.
     """
-    limbs = F.ceil(length / F.lit(LIMB)).cast("int")
-    zero = F.lit(0).cast("bigint")
-
-    def one_limb(v: Column, i: Column, base: Column, carry: Column) -> Column:
-        old = F.element_at(v, i + 1)
-        hit = old.bitwiseAND(F.element_at(masks, base + i + 1))
-        total = old + hit + carry
-        kept = total.bitwiseAND(F.lit(FULL)).bitwiseOR(old - hit)
-        return F.struct(F.shiftright(total, LIMB).alias("carry"), kept.alias("limb"))
-
-    def many_limbs(v: Column, base: Column) -> Column:
-        start = F.struct(zero.alias("carry"), F.array().cast("array<bigint>").alias("out"))
-
-        def step(state: Column, i: Column) -> Column:
-            r = one_limb(v, i, base, state["carry"])
-            return F.struct(
-                r["carry"].alias("carry"),
-                F.concat(state["out"], F.array(r["limb"])).alias("out"),
-            )
-
-        return F.aggregate(F.sequence(F.lit(0), limbs - 1), start, step)["out"]
-
-    def read(v: Column, ch: Column) -> Column:
-        at = F.instr(alphabet, ch)
-        base = (at - 1) * limbs
-        return (
-            F.when(at == 0, v)
-            .when(limbs == 1, F.array(one_limb(v, F.lit(0), base, zero)["limb"]))
-            .otherwise(many_limbs(v, base))
-        )
-
-    start = F.array_repeat(F.lit(FULL).cast("bigint"), limbs)
-    end = F.aggregate(chars(other), start, read)
-    return F.aggregate(
-        F.transform(end, lambda limb: F.lit(LIMB) - F.bit_count(limb).cast("int")),
-        F.lit(0),
-        lambda acc, n: acc + n,
+    limbs = f"cast(ceil({length} / {LIMB}) AS int)"
+    base = f"(instr({alphabet}, ch) - 1) * {limbs}"
+
+    def after(old: str, mask: str, carry: str) -> tuple[str, str]:
+        """A limb's sum with the carry coming in, and its new value."""
+        total = f"{old} + ({old} & {mask}) + {carry}"
+        return total, f"(({total}) & {FULL}L) | ({old} - ({old} & {mask}))"
+
+    _, single = after("v[0]", f"{masks}[{base}]", "0L")
+    total, limb = after("v[i]", f"{masks}[{base} + i]", "st.carry")
+    several = (
+        f"aggregate(sequence(0, {limbs} - 1), "
+        "named_struct('carry', 0L, 'out', cast(array() AS array<bigint>)), "
+        f"(st, i) -> named_struct('carry', shiftright({total}, {LIMB}), "
+        f"'out', concat(st.out, array({limb})))).out"
     )
+    step = f"CASE WHEN instr({alphabet}, ch) = 0 THEN v WHEN {limbs} = 1 THEN array({single}) ELSE {several} END"
+    walked = f"aggregate({chars(other)}, array_repeat({FULL}L, {limbs}), (v, ch) -> {step})"
+    return f"aggregate({walked}, 0, (acc, limb) -> acc + {LIMB} - cast(bit_count(limb) AS int))"
 
 
-def label_similarity(a: Column, b: Column) -> Column:
-    """Normalised indel similarity of two labels: ``2 * LCS / (|a| + |b|)``, 1.0 for equal ones."""
-    both = F.length(a) + F.length(b)
-    common = lcs_length(bit_alphabet(a), bit_masks(a), F.length(a), b)
-    return (
-        F.when(a == b, F.lit(1.0))
-        .when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0))
-        .otherwise(2.0 * common / both)
+def label_similarity(a: str, b: str) -> Column:
+    """Normalised indel similarity of two label columns, by name: ``2 * LCS / (|a| + |b|)``.
+
+    Equal labels have similarity 1, an empty and another one 0.
+    """
+    a, b = ("`" + name.replace("`", "``") + "`" for name in (a, b))
+    common = lcs_length(bit_alphabet(a), bit_masks(a), f"length({a})", b)
+    return F.expr(
+        f"CASE WHEN {a} = {b} THEN 1.0D WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0D "
+        f"ELSE 2.0D * {common} / (length({a}) + length({b})) END"
     )

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dqspark.functions.text import bit_alphabet, bit_masks, chars, clean_label, lcs_length
@@ -35,104 +35,83 @@ BLOCK_ROWS = 4_000
 HEAD_ROWS = 2_000
 
 
-def _need(short: Column, long: Column, t: float) -> Column:
-    return F.ceil((short + long) * (t / 2) - SLACK).cast("int")
+def _need(t: float) -> str:
+    """The LCS a pair of lengths ``short`` and ``long`` must have."""
+    return f"cast(ceil((short + long) * {t / 2!r}D - {SLACK!r}D) AS int)"
 
 
-def _segments(short: Column, long: Column, need: Column) -> Column:
-    return short + long - 2 * need + 1
+# Segments of the shorter label, as SQL over short, long and need; {i} stands for the number.
+PARTS = "(short + long - 2 * need + 1)"
+WIDTH = f"(short div {PARTS} + if({{i}} >= {PARTS} - short % {PARTS}, 1, 0))"
+START = f"({{i}} * (short div {PARTS}) + greatest({{i}} - ({PARTS} - short % {PARTS}), 0) + 1)"
+# First and last place in the longer label where the segment may stand.
+FIRST = f"greatest({START} - (short - need), 1)"
+LAST = f"least({START} + (long - need), long - {WIDTH} + 1)"
 
 
-def _segment_start(i: Column, short: Column, parts: Column) -> Column:
-    width = F.floor(short / parts).cast("int")
-    return i * width + F.greatest(i - (parts - F.pmod(short, parts)), F.lit(0)) + 1
+def _int(sql: str, i: str) -> str:
+    return f"cast({sql.replace('{i}', i)} AS int)"
 
 
-def _segment_width(i: Column, short: Column, parts: Column) -> Column:
-    width = F.floor(short / parts).cast("int")
-    return width + F.when(i >= parts - F.pmod(short, parts), 1).otherwise(0)
-
-
-def _window(i: Column, short: Column, long: Column, need: Column) -> tuple[Column, Column, Column]:
-    """First and last place in the longer label for segment ``i``, and the segment's width."""
-    parts = _segments(short, long, need)
-    start, width = _segment_start(i, short, parts), _segment_width(i, short, parts)
-    first = F.greatest(start - (short - need), F.lit(1))
-    last = F.least(start + (long - need), long - width + 1)
-    return first, last, width
-
-
-def _tokens(label: Column, how_many: Column) -> Column:
+def _tokens(label: str, how_many: str) -> str:
     """The first characters of the sorted multiset, numbered so that repeats stay apart."""
     letters = chars(label)
-    numbered = F.transform(
-        letters,
-        lambda x, i: F.concat(
-            x, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda y: y == x)).cast("string")
-        ),
-    )
-    return F.slice(F.array_sort(numbered), F.lit(1), how_many)
-
-
-def _part(i: Column, text: Column) -> Column:
-    return F.struct(i.cast("int").alias("i"), text.alias("part"))
+    nth = f"size(filter(slice({letters}, 1, k + 1), y -> y = x))"
+    return f"slice(array_sort(transform({letters}, (x, k) -> concat(x, cast({nth} AS string)))), 1, {how_many})"
 
 
 def _blocks(labels: DataFrame, keys: list[str], t: float, probe: bool) -> DataFrame:
     """One row per label and block: ``short, long, i, part`` name the block besides ``keys``."""
-    own = F.length("label")
     if probe:
-        others = F.sequence(F.ceil(own * (t / (2 - t)) - SLACK).cast("int"), own)
+        others = f"sequence(cast(ceil(length(label) * {t / (2 - t)!r}D - {SLACK!r}D) AS int), length(label))"
     else:
-        others = F.sequence(own, F.floor(own * ((2 - t) / t) + SLACK).cast("int"))
+        others = f"sequence(length(label), cast(floor(length(label) * {(2 - t) / t!r}D + {SLACK!r}D) AS int))"
     extra = [] if probe else ["alphabet", "masks"]
-    sized = labels.select(*keys, "label", *extra, own.alias("own"), F.explode(others).alias("other"))
-    short, long = F.least("own", "other"), F.greatest("own", "other")
-    sized = sized.select(*keys, "label", *extra, short.alias("short"), long.alias("long"))
-    s, l = F.col("short"), F.col("long")
-    sized = sized.withColumn("need", _need(s, l, t)).where((F.col("need") <= s) & (s > 0))
-    need, label = F.col("need"), F.col("label")
-    parts = _segments(s, l, need)
-    numbers = F.sequence(F.lit(0), parts - 1)
-    if probe:
-
-        def places(i: Column) -> Column:
-            first, last, width = _window(i, s, l, need)
-            return F.transform(
-                F.sequence(first, last), lambda p: _part(i, F.substring(label, p, width))
-            )
-
-        by_segment = F.flatten(F.transform(numbers, places))
-        by_token = _tokens(label, l - need + 1)
-    else:
-        by_segment = F.transform(
-            numbers,
-            lambda i: _part(
-                i, F.substring(label, _segment_start(i, s, parts), _segment_width(i, s, parts))
-            ),
+    sized = (
+        labels.select(*keys, "label", *extra, F.expr(f"explode({others}) AS other"))
+        .selectExpr(
+            *[f"`{k}`" for k in keys],
+            "label",
+            *extra,
+            "least(length(label), other) AS short",
+            "greatest(length(label), other) AS long",
         )
-        by_token = _tokens(label, s - need + 1)
-    found = F.when(parts <= s, by_segment).otherwise(
-        F.transform(by_token, lambda tok: _part(F.lit(-1), tok))
+        .selectExpr("*", f"{_need(t)} AS need")
+        .where("need <= short AND short > 0")
     )
-    return sized.select(
-        *keys, "short", "long", "need", "label", *extra, F.inline(F.array_distinct(found))
+    part = "named_struct('i', {i}, 'part', {text})"
+    if probe:
+        at = part.replace("{i}", "i").replace("{text}", f"substring(label, p, {_int(WIDTH, 'i')})")
+        places = f"transform(sequence({_int(FIRST, 'i')}, {_int(LAST, 'i')}), p -> {at})"
+        by_segment = f"flatten(transform(sequence(0, {PARTS} - 1), i -> {places}))"
+        by_token = _tokens("label", "long - need + 1")
+    else:
+        cut_out = f"substring(label, {_int(START, 'i')}, {_int(WIDTH, 'i')})"
+        at = part.replace("{i}", "i").replace("{text}", cut_out)
+        by_segment = f"transform(sequence(0, {PARTS} - 1), i -> {at})"
+        by_token = _tokens("label", "short - need + 1")
+    at = part.replace("{i}", "-1").replace("{text}", "tok")
+    found = f"CASE WHEN {PARTS} <= short THEN {by_segment} ELSE transform({by_token}, tok -> {at}) END"
+    return sized.selectExpr(
+        *[f"`{k}`" for k in keys],
+        "short",
+        "long",
+        "need",
+        "label",
+        *extra,
+        f"inline(array_distinct({found}))",
     )
 
 
-def _first_shared(s: Column, l: Column, need: Column, i: Column, part: Column) -> Column:
-    """True in the first of the blocks that the two labels share."""
-    parts = _segments(s, l, need)
-
-    def met_before(j: Column) -> Column:
-        first, last, width = _window(j, s, l, need)
-        text = F.substring(F.col("b"), _segment_start(j, s, parts), width)
-        return (j < i) & (F.instr(F.substring(F.col("a"), first, last - first + width), text) > 0)
-
-    shared = F.array_intersect(_tokens(F.col("b"), s - need + 1), _tokens(F.col("a"), l - need + 1))
-    return F.when(i >= 0, ~F.exists(F.sequence(F.lit(0), i), met_before)).otherwise(
-        F.array_min(shared) == part
-    )
+def _first_shared() -> str:
+    """True in the first of the blocks that the labels ``a`` (longer) and ``b`` share."""
+    width = _int(WIDTH, "j")
+    text = f"substring(b, {_int(START, 'j')}, {width})"
+    first = _int(FIRST, "j")
+    window = f"substring(a, {first}, {_int(LAST, 'j')} - {first} + {width})"
+    met_before = f"exists(sequence(0, i), j -> j < i AND instr({window}, {text}) > 0)"
+    shared = f"array_intersect({_tokens('b', 'short - need + 1')}, {_tokens('a', 'long - need + 1')})"
+    return f"CASE WHEN i >= 0 THEN NOT {met_before} ELSE array_min({shared}) = part END"
 
 
 def _split_hot(index: DataFrame, probe: DataFrame, block: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -171,15 +150,11 @@ def _check(threshold: float) -> float:
 
 
 def _with_masks(labels: DataFrame) -> DataFrame:
-    return labels.select(
-        "*",
-        bit_alphabet(F.col("label")).alias("alphabet"),
-        bit_masks(F.col("label")).alias("masks"),
-    )
+    return labels.selectExpr("*", f"{bit_alphabet('label')} AS alphabet", f"{bit_masks('label')} AS masks")
 
 
 def _meet(
-    shorter: DataFrame, longer: DataFrame, keys: list[str], t: float, split: bool, pair: Column
+    shorter: DataFrame, longer: DataFrame, keys: list[str], t: float, split: bool, pair: str
 ) -> DataFrame:
     """``(keys..., a, b, similarity)``: ``a`` from ``longer``, ``b`` from ``shorter``."""
     index = _blocks(_with_masks(shorter), keys, t, probe=False)
@@ -188,22 +163,18 @@ def _meet(
     if split:
         index, probe = _split_hot(index, probe, on)
         on = [*on, "c_index", "c_probe"]
-    s, l, need = F.col("short"), F.col("long"), F.col("need")
     met = (
         index.withColumnRenamed("label", "b")
         .join(probe.drop("need").withColumnRenamed("label", "a"), on)
         .where(pair)
-        .where(_first_shared(s, l, need, F.col("i"), F.col("part")))
+        .where(_first_shared())
     )
-    scored = met.select(
-        *keys,
-        "a",
-        "b",
-        "need",
-        (s + l).alias("both"),
-        lcs_length(F.col("alphabet"), F.col("masks"), s, F.col("a")).alias("common"),
-    ).where(F.col("common") >= F.col("need"))
-    return scored.select(*keys, "a", "b", (2.0 * F.col("common") / F.col("both")).alias("similarity"))
+    common = lcs_length("alphabet", "masks", "short", "a")
+    named = [f"`{k}`" for k in keys]
+    scored = met.selectExpr(
+        *named, "a", "b", "need", "short + long AS both", f"{common} AS common"
+    ).where("common >= need")
+    return scored.selectExpr(*named, "a", "b", "2.0D * common / both AS similarity")
 
 
 def similar_pairs(
@@ -219,7 +190,7 @@ def similar_pairs(
     labels = cut(labels.select(*keys, "label").where(F.length("label") > 0))
     # A label is in a block at most once, so a small table cannot have oversized blocks.
     split = labels.count() > BLOCK_ROWS
-    once = (F.col("short") < F.col("long")) | (F.col("a") > F.col("b"))
+    once = "short < long OR a > b"
     return _meet(labels, labels, keys, t, split, once).select(
         *keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"
     )
@@ -231,8 +202,8 @@ def pairs_between(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     left = left.select("label").where(F.length("label") > 0)
     right = right.select("label").where(F.length("label") > 0)
     split = right.count() > BLOCK_ROWS or left.count() > BLOCK_ROWS
-    one = _meet(left, right, [], t, split, F.lit(True))
-    two = _meet(right, left, [], t, split, F.col("short") < F.col("long"))
+    one = _meet(left, right, [], t, split, "true")
+    two = _meet(right, left, [], t, split, "short < long")
     return one.select(F.col("b").alias("left"), F.col("a").alias("right"), "similarity").unionByName(
         two.select(F.col("a").alias("left"), F.col("b").alias("right"), "similarity")
     )
