@@ -18,9 +18,11 @@ from dqspark.types import (
     OTHER,
     chunks,
     classes,
+    double_literal,
     normalise_missing,
-    ref,
+    quoted,
     require,
+    text_literal,
 )
 
 FENCE = 1.5  # fixed value: fences lie this many interquartile ranges outside the quartiles
@@ -55,40 +57,27 @@ def column_moments(
     kinds = classes(df)
     parts = []
     for group in chunks(list(columns), CHUNK):
-        aggs, rows = [F.count(F.lit(1)).alias("n_rows")], []
+        aggs, rows = ["count(1) AS n_rows"], []
         for i, c in enumerate(group):
-            aggs.append(F.count(ref(c)).alias(f"valid{i}"))
-            x = ref(c).cast("double")
-            numeric = kinds[c] == NUMERIC
-            limit = (limits or {}).get(c)
+            x, numeric, limit = f"cast({quoted(c)} AS double)", kinds[c] == NUMERIC, (limits or {}).get(c)
+            aggs.append(f"count({quoted(c)}) AS valid{i}")
             if numeric:
-                aggs += [
-                    F.avg(x).alias(f"mean{i}"),
-                    F.stddev_samp(x).alias(f"std{i}"),
-                    F.min(x).alias(f"min{i}"),
-                    F.max(x).alias(f"max{i}"),
-                ]
+                aggs += [f"{f}({x}) AS {f}{i}" for f in ("avg", "stddev_samp", "min", "max")]
             if limit:
-                aggs.append(F.count_if((x < limit[2]) | (x > limit[3])).alias(f"out{i}"))
-            stat = lambda n, on, t="double": (F.col(n) if on else F.lit(None)).cast(t)
-            empty = F.when(F.col(f"valid{i}") == 0, F.lit(0).cast("bigint"))
-            outliers = stat(f"out{i}", True, "bigint") if limit else (
-                empty if numeric and limits is not None else F.lit(None).cast("bigint")
-            )
+                low, high = double_literal(limit[2]), double_literal(limit[3])
+                aggs.append(f"count_if({x} < {low} OR {x} > {high}) AS out{i}")
+            # A numeric column without values has no fences, and no outliers either.
+            outliers = f"out{i}" if limit else ("0L" if numeric and limits is not None else "NULL")
+            stat = lambda f: f"{f}{i}" if numeric else "cast(NULL AS double)"  # noqa: B023, E731
             rows.append(
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-                    F.col("n_rows"),
-                    F.col(f"valid{i}").alias("n_valid"),
-                    stat(f"mean{i}", numeric).alias("mean"),
-                    stat(f"std{i}", numeric).alias("std"),
-                    stat(f"min{i}", numeric).alias("min"),
-                    stat(f"max{i}", numeric).alias("max"),
-                    outliers.alias("iqr_outlier_count"),
-                )
+                f"named_struct('column', {text_literal(c)}, "
+                f"'dtype', {text_literal(df.schema[c].dataType.simpleString())}, "
+                f"'n_rows', n_rows, 'n_valid', valid{i}, 'mean', {stat('avg')}, "
+                f"'std', {stat('stddev_samp')}, 'min', {stat('min')}, 'max', {stat('max')}, "
+                f"'iqr_outlier_count', cast({outliers} AS bigint))"
             )
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*rows))))
+        one_row = df.agg(*[F.expr(a) for a in aggs])
+        parts.append(one_row.selectExpr(f"inline(array({', '.join(rows)}))"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -7,27 +7,30 @@ a column-pruned scan and a map-side combined count, so nothing but bucket counts
 a hot value costs no more than any other.
 
 The buckets are monotone in the value, which is all that correctness needs. The first pass cuts
-by sign and sixteenths of an octave (at most ~67,000 buckets); each later pass cuts a bucket's
-own ``[lo, hi]`` into 65,536 equal parts. A double has 2^48 values in a sixteenth of an octave,
-so after two such passes about 2^16 distinct values are left at most, and the last pass counts
-these one by one. That bounds the rows of every window below.
+by sign and sixteenths of an octave (at most ~67,000 buckets). A bucket with at most
+``LAST_ROWS`` rows is then counted value by value; a larger one has its own ``[lo, hi]`` cut into
+65,536 equal parts. A double has 2^48 values in a sixteenth of an octave, so after two such
+passes about 2^16 distinct values are left at most, and these are counted one by one too. That
+bounds the rows of every window below.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqspark.lineage import cut
-from dqspark.types import melt, ref
+from dqspark.types import chunks, double_literal, melt, quoted, ref
 
 PARTS = 65_536
 PASSES = 3  # after the coarse one
+LAST_ROWS = 200_000
 # A target table of at most this many rows (a hundred bytes each) is broadcast to the next pass.
 BROADCAST_ROWS = 20_000
+COLUMNS_AT_ONCE = 40
 
 _RANK = T.StructType(
     [
@@ -40,90 +43,107 @@ _RANK = T.StructType(
 _TARGET_FIELDS = [
     T.StructField("lo", T.DoubleType()),
     T.StructField("hi", T.DoubleType()),
+    T.StructField("n", T.LongType()),
     T.StructField("ranks", T.ArrayType(_RANK)),
 ]
 
+_OCTAVE = "cast(floor(least(log2(abs(value)), 1100D) * 16) AS int) + 20000"
+COARSE = f"CASE WHEN value > 0 THEN {_OCTAVE} WHEN value < 0 THEN -({_OCTAVE}) ELSE 0 END"
 
-def _coarse(v: Column) -> Column:
-    magnitude = F.floor(F.least(F.log2(F.abs(v)), F.lit(1100.0)) * 16).cast("int") + 20_000
-    return F.when(v > 0, magnitude).when(v < 0, -magnitude).otherwise(0)
 
+def _part(value: str, lo: str, hi: str) -> str:
+    """The place of a value inside a bucket's range."""
+    share = f"try_divide({value} - {lo}, {hi} - {lo})"
+    return f"CASE WHEN {hi} > {lo} THEN floor({share} * {PARTS - 1}) ELSE 0 END"
 
-def _fine(v: Column, lo: Column, hi: Column) -> Column:
-    share = F.try_divide(v - lo, hi - lo)
-    return F.when(hi > lo, F.floor(share * (PARTS - 1)).cast("int")).otherwise(0)
+
+def _hits(buckets: DataFrame, group: list[str], ranks: str = "ranks") -> DataFrame:
+    """The buckets that hold a wanted rank, each with its ranks re-based to its first row."""
+    by = ", ".join(quoted(g) for g in group)
+    over = f"OVER ({f'PARTITION BY {by} ' if by else ''}ORDER BY part)"
+    placed = buckets.selectExpr("*", f"sum(n) {over} - n AS below")
+    inside = f"filter({ranks}, r -> r.rank >= below AND r.rank < below + n)"
+    moved = "named_struct('p', r.p, 'upper', r.upper, 'frac', r.frac, 'rank', r.rank - below)"
+    return placed.withColumn("ranks", F.expr(f"transform({inside}, r -> {moved})")).where(
+        "size(ranks) > 0"
+    )
 
 
-def _hits(ranks: Column, below: Column, n: Column) -> Column:
-    """The wanted ranks that fall into a bucket, re-based to the bucket's first row."""
-    inside = F.filter(ranks, lambda r: (r["rank"] >= below) & (r["rank"] < below + n))
-    return F.transform(
-        inside,
-        lambda r: F.struct(
-            r["p"].alias("p"),
-            r["upper"].alias("upper"),
-            r["frac"].alias("frac"),
-            (r["rank"] - below).alias("rank"),
-        ),
+def _counted(data: DataFrame, group: list[str]) -> DataFrame:
+    return data.groupBy(*[ref(g) for g in group], "part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
     )
 
 
 def _first_targets(data: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
     """Pass 1: bucket the whole column and place every wanted rank."""
-    buckets = data.groupBy(*keys, _coarse(F.col("value")).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
-    )
-    group = Window.partitionBy(*keys)
-    placed = buckets.select(
-        "*",
-        F.sum("n").over(group).alias("total"),
-        (F.sum("n").over(group.orderBy("bucket")) - F.col("n")).alias("below"),
+    by = ", ".join(quoted(k) for k in keys)
+    buckets = _counted(data.selectExpr("*", f"{COARSE} AS part"), keys).selectExpr(
+        "*", f"sum(n) OVER ({f'PARTITION BY {by}' if by else ''}) AS total"
     )
     wanted = []
     for i, p in enumerate(probs):
-        position = (F.col("total") - 1) * F.lit(float(p))
-        base = F.floor(position).cast("bigint")
-        for upper in (False, True):
+        at = f"(total - 1) * {double_literal(p)}"
+        for upper, rank in (("false", f"floor({at})"), ("true", f"ceil({at})")):
             wanted.append(
-                F.struct(
-                    F.lit(i).alias("p"),
-                    F.lit(upper).alias("upper"),
-                    (position - base).alias("frac"),
-                    (F.ceil(position).cast("bigint") if upper else base).alias("rank"),
-                )
+                f"named_struct('p', {i}, 'upper', {upper}, 'frac', {at} - floor({at}), "
+                f"'rank', cast({rank} AS bigint))"
             )
-    return placed.select(
-        *keys, "lo", "hi", _hits(F.array(*wanted), F.col("below"), F.col("n")).alias("ranks")
-    ).where(F.size("ranks") > 0)
+    hit = _hits(buckets, keys, f"array({', '.join(wanted)})")
+    return hit.select(*[ref(k) for k in keys], "lo", "hi", "n", "ranks")
 
 
 def _narrow(data: DataFrame, targets: DataFrame, keys: list[str], last: bool) -> DataFrame:
-    """One more pass over the rows that lie inside a target bucket."""
-    t = targets.select(*[F.col(k).alias(f"t_{k}") for k in keys], "lo", "hi", "ranks")
-    match = F.col("value").between(F.col("lo"), F.col("hi"))
+    """One more pass over the rows that lie inside a target bucket, by a join on the keys."""
+    t = targets.select(*[ref(k).alias(f"t_{k}") for k in keys], "lo", "hi", "n", "ranks")
+    match = F.expr("value BETWEEN lo AND hi")
     for k in keys:
-        match = F.col(k).eqNullSafe(F.col(f"t_{k}")) & match
-    v = F.col("value")
-    part = v if last else _fine(v, F.col("lo"), F.col("hi"))
-    parent = [*keys, F.col("lo").alias("parent"), "ranks"]
-    buckets = (
-        data.join(t, match)
-        .groupBy(*parent, part.alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+        match = ref(k).eqNullSafe(ref(f"t_{k}")) & match
+    one_by_one = "true" if last else f"n <= {LAST_ROWS}"
+    part = f"CASE WHEN {one_by_one} THEN value ELSE {_part('value', 'lo', 'hi')} END"
+    inside = data.join(t, match).select(
+        *[ref(k) for k in keys], F.col("lo").alias("parent"), "ranks", "value", F.expr(part).alias("part")
     )
-    order = Window.partitionBy(*keys, "parent").orderBy("bucket")
-    placed = buckets.withColumn("below", F.sum("n").over(order) - F.col("n"))
-    return placed.select(
-        *keys, "lo", "hi", _hits(F.col("ranks"), F.col("below"), F.col("n")).alias("ranks")
-    ).where(F.size("ranks") > 0)
+    hit = _hits(_counted(inside, [*keys, "parent", "ranks"]), [*keys, "parent"])
+    return hit.select(*[ref(k) for k in keys], "lo", "hi", "n", "ranks")
+
+
+def _narrow_columns(df: DataFrame, targets: list[Row], last: bool) -> list[Row]:
+    """One more pass for known buckets of columns: their bounds are literals, so the filter on
+    them reaches the scan, and only rows inside some bucket are taken apart by column."""
+    keep, cells, ranks = [], [], []
+    for i, t in enumerate(targets):
+        x, lo, hi = f"cast({quoted(t['column'])} AS double)", double_literal(t["lo"]), double_literal(t["hi"])
+        keep.append(f"{x} BETWEEN {lo} AND {hi}")
+        part = x if last or t["n"] <= LAST_ROWS else _part(x, lo, hi)
+        cells.append(
+            f"if({keep[-1]}, named_struct('target', {i}, 'part', cast({part} AS double), 'value', {x}), NULL)"
+        )
+        ranks.append(
+            "array("
+            + ", ".join(
+                f"named_struct('p', {r['p']}, 'upper', {str(r['upper']).lower()}, "
+                f"'frac', {double_literal(r['frac'])}, 'rank', {r['rank']}L)"
+                for r in t["ranks"]
+            )
+            + ")"
+        )
+    inside = (
+        df.where(" OR ".join(keep))
+        .selectExpr(f"inline(array({', '.join(cells)}))")
+        .where("target IS NOT NULL")
+    )
+    hit = _hits(_counted(inside, ["target"]), ["target"], f"array({', '.join(ranks)})[target]")
+    rows = hit.select("target", "lo", "hi", "n", "ranks").collect()
+    return [Row(column=targets[r["target"]]["column"], **r.asDict()) for r in rows]
 
 
-def _interpolate(a, b, frac):
-    return a + (b - a) * frac
+def _split(rows: list[Row]) -> tuple[list[Row], list[Row]]:
+    return [r for r in rows if r["lo"] == r["hi"]], [r for r in rows if r["lo"] != r["hi"]]
 
 
 def _order_statistics(data: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    """``(keys..., lo, hi, ranks)`` with ``lo == hi``: the value at every wanted rank.
+    """``(keys..., lo, hi, n, ranks)`` with ``lo == hi``: the value at every wanted rank.
 
     Target tables that fit ``BROADCAST_ROWS`` are small by that check, so they travel through the
     driver and are broadcast: the data is then never shuffled, however skewed the groups are, and
@@ -131,10 +151,10 @@ def _order_statistics(data: DataFrame, keys: list[str], probs: Sequence[float])
     are written to the checkpoint folder and joined by key, where skewed groups are split by AQE.
     """
     spark = data.sparkSession
-    schema = T.StructType([data.schema[k] for k in keys] + _TARGET_FIELDS)
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    key_fields = [T.StructField(k, data.schema[k].dataType) for k in keys]
+    schema = T.StructType(key_fields + _TARGET_FIELDS)
     targets = _first_targets(data, keys, probs)
-    done: list = []
+    done: list[Row] = []
     for step in range(PASSES + 1):
         rows = targets.limit(BROADCAST_ROWS + 1).collect()
         if len(rows) > BROADCAST_ROWS:
@@ -143,8 +163,8 @@ def _order_statistics(data: DataFrame, keys: list[str], probs: Sequence[float])
                 targets = cut(_narrow(data, targets, keys, last=later == PASSES - 1))
             settled = spark.createDataFrame(done, schema)
             return settled.unionByName(targets.select(*schema.names)) if done else targets
-        done += [r for r in rows if r["lo"] == r["hi"]]
-        todo = [r for r in rows if r["lo"] != r["hi"]]
+        settled, todo = _split(rows)
+        done += settled
         if not todo:
             break
         small = F.broadcast(spark.createDataFrame(todo, schema))
@@ -166,31 +186,45 @@ def grouped_quantiles(
         *[ref(k).alias(n) for k, n in zip(keys, names)], ref(value).cast("double").alias("value")
     ).where(F.col("value").isNotNull())
     found = _order_statistics(data, names, probs).select(*names, "lo", F.explode("ranks").alias("r"))
-    at = lambda i, upper: F.max(
-        F.when((F.col("r.p") == i) & (F.col("r.upper") == upper), F.col("lo"))
-    )
-    frac = lambda i: F.max(F.when(F.col("r.p") == i, F.col("r.frac")))
+
+    def at(i: int) -> str:
+        low, high = (f"max(if(r.p = {i} AND r.upper = {u}, lo, NULL))" for u in ("false", "true"))
+        between = f"{low} + ({high} - {low}) * max(if(r.p = {i}, r.frac, NULL))"
+        return f"CASE WHEN {low} = {high} THEN {low} ELSE {between} END"
+
+    quantiles = F.expr(f"array({', '.join(at(i) for i in range(len(probs)))})")
     return (
         found.groupBy(*names)
-        .agg(
-            F.array(
-                *[_interpolate(at(i, False), at(i, True), frac(i)) for i in range(len(probs))]
-            ).alias("q")
-        )
+        .agg(quantiles.alias("q"))
         .select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "q")
     )
 
 
+def _between(low: float, frac: float, high: float) -> float:
+    return low if low == high else low + (high - low) * frac
+
+
 def column_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float]
 ) -> dict[str, list[float] | None]:
-    """Quantiles of several numeric columns at once, as Python floats (one short row per column).
+    """Quantiles of several numeric columns at once, as Python floats.
 
-    A column without values maps to ``None``.
+    A column without values maps to ``None``. What comes back to the driver between passes is at
+    most ``2 * len(probs)`` rows per column.
     """
-    columns = list(columns)
-    if not columns:
-        return {}
-    found = grouped_quantiles(melt(df, columns, "double"), ["column"], "value", probs)
-    got = {r["column"]: list(r["q"]) for r in found.collect()}
-    return {c: got.get(c) for c in columns}
+    out: dict[str, list[float] | None] = {}
+    for part in chunks(list(columns), COLUMNS_AT_ONCE):
+        done, todo = _split(_first_targets(melt(df, part, "double"), ["column"], probs).collect())
+        step = 0
+        while todo:
+            settled, todo = _split(_narrow_columns(df, todo, last=step == PASSES - 1))
+            done += settled
+            step += 1
+        sides: dict[str, dict] = {}
+        for r in done:
+            for rank in r["ranks"]:
+                sides.setdefault(r["column"], {})[rank["p"], rank["upper"]] = (r["lo"], rank["frac"])
+        for c in part:
+            at = sides.get(c)
+            out[c] = at and [_between(*at[i, False], at[i, True][0]) for i in range(len(probs))]
+    return out

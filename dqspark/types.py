@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -45,9 +46,25 @@ def columns_of(df: DataFrame, *wanted: str) -> list[str]:
     return [f.name for f in df.schema.fields if class_of(f.dataType) in wanted]
 
 
+def quoted(name: str) -> str:
+    """A literal column name, dots and backticks included, for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def double_literal(x: float) -> str:
+    """A double as SQL text, every bit of it."""
+    if math.isinf(x):
+        return f"double('{'-' if x < 0 else ''}Infinity')"
+    return f"({float(x)!r}D)"
+
+
+def text_literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def ref(name: str) -> Column:
-    """A column by its literal name, dots and backticks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """A column by its literal name."""
+    return F.col(quoted(name))
 
 
 def require(df: DataFrame, *names: str) -> None:
