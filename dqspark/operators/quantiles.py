@@ -31,6 +31,10 @@ LAST_ROWS = 200_000
 # A target table of at most this many rows (a hundred bytes each) is broadcast to the next pass.
 BROADCAST_ROWS = 20_000
 COLUMNS_AT_ONCE = 40
+# Columns in one filter of literals: Catalyst derives a constraint for every subset of computed
+# columns in a predicate, so one over many of them would never be planned. Parquet reads only the
+# columns of a pass, so splitting a pass reads no more bytes.
+FILTERED_AT_ONCE = 6
 
 _RANK = T.StructType(
     [
@@ -217,7 +221,11 @@ def column_quantiles(
         done, todo = _split(_first_targets(melt(df, part, "double"), ["column"], probs).collect())
         step = 0
         while todo:
-            settled, todo = _split(_narrow_columns(df, todo, last=step == PASSES - 1))
+            found: list[Row] = []
+            for few in chunks(sorted({r["column"] for r in todo}), FILTERED_AT_ONCE):
+                part_of = [r for r in todo if r["column"] in few]
+                found += _narrow_columns(df, part_of, last=step == PASSES - 1)
+            settled, todo = _split(found)
             done += settled
             step += 1
         sides: dict[str, dict] = {}
