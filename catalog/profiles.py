@@ -87,7 +87,7 @@ DISTINCT = [*NUMERIC, "l_returnflag", "l_linestatus", "l_shipdate"]
     + _each('SELECT \'{c}\' AS "column", count(DISTINCT {c}) AS n_unique FROM d', DISTINCT),
 )
 def profile_distinct(spark, sf_dir):
-    return distinct_counts(normalise_missing(dirt.lineitem(spark, sf_dir)), DISTINCT)
+    return distinct_counts(dirt.lineitem(spark, sf_dir), DISTINCT)
 
 
 @query("profile_distinct_approx")
@@ -111,8 +111,9 @@ def profile_quartiles(spark, sf_dir):
 
 @query("profile_iqr_outliers", f"WITH {dirt.LINEITEM} {_each(OUTLIERS, NUMERIC)}")
 def profile_iqr_outliers(spark, sf_dir):
-    df = normalise_missing(dirt.lineitem(spark, sf_dir))
-    return column_moments(df, NUMERIC, column_fences(df, NUMERIC)).select("column", "iqr_outlier_count")
+    df = dirt.lineitem(spark, sf_dir)
+    limits = column_fences(df, NUMERIC)
+    return column_moments(normalise_missing(df), NUMERIC, limits).select("column", "iqr_outlier_count")
 
 
 TOP = """SELECT "column", value, n, place::INTEGER AS place FROM (
@@ -175,7 +176,7 @@ NONE = "NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS min, NULL::DO
 )
 def stats_snapshot(spark, sf_dir):
     stats = column_stats(
-        dirt.lineitem(spark, sf_dir), ["l_quantity", "l_linenumber", "l_returnflag", "l_gone"]
+        normalise_missing(dirt.lineitem(spark, sf_dir)), ["l_quantity", "l_linenumber", "l_returnflag", "l_gone"]
     )
     return stats.drop("n_rows")
 
@@ -211,7 +212,7 @@ COMPARED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 UNION ALL SELECT 'l_discount', 'double', NULL, round(1 - count(l_discount) / count(*)::DOUBLE, 4), NULL, NULL FROM d""",
 )
 def profile_compare(spark, sf_dir):
-    before = dirt.lineitem(spark, sf_dir).select(*COMPARED)
+    before = normalise_missing(dirt.lineitem(spark, sf_dir).select(*COMPARED))
     actions = numbered([Action("l_quantity", "impute_mean"), Action("l_discount", "drop_column")])
     after = apply_fitted(before, fit(before, actions))
     both = compare_profiles(profile(before), profile(after))

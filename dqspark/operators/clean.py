@@ -80,8 +80,10 @@ def _probs(action: Action) -> list[float]:
 
 
 def fit(df: DataFrame, actions: Sequence[Action], order_by: str | None = None) -> list[Fitted]:
-    """Fit actions on pairwise different columns: one pass for means, one set for quantiles."""
-    df = normalise_missing(df)
+    """Fit actions on pairwise different columns: one pass for means, one set for quantiles.
+
+    Here and below the table must be free of NaN (see ``normalise_missing``).
+    """
     kinds = classes(df)
     fitted = {a.seq: Fitted(a) for a in actions}
     numeric = [a for a in actions if kinds.get(a.column) == NUMERIC]
@@ -160,7 +162,6 @@ def changed(df: DataFrame, fitted: Sequence[Fitted], keep_old: bool = False) ->
 
     With ``keep_old`` the value before comes along as ``old_<seq>``, for counting changes.
     """
-    df = normalise_missing(df)
     names = list(df.columns)
     news, olds = {}, []
     wide = df
@@ -183,7 +184,7 @@ def changed(df: DataFrame, fitted: Sequence[Fitted], keep_old: bool = False) ->
 def drop_rows(df: DataFrame, column: str) -> DataFrame:
     """Rows with a value in the column."""
     require(df, column)
-    return normalise_missing(df).where(ref(column).isNotNull())
+    return df.where(ref(column).isNotNull())
 
 
 def drop_column(df: DataFrame, column: str) -> DataFrame:
@@ -208,4 +209,7 @@ def clean(
     """Run a single action: ``clean(df, "age", "impute_median")``."""
     action = Action(column, action_type, params=params)
     check(action, classes(df))
+    if action_type == "no_action":
+        return df
+    df = normalise_missing(df)
     return apply_fitted(df, fit(df, [action], order_by))

@@ -121,7 +121,6 @@ def profile(
     ``near_duplicate_columns``, by default in every text column; name the label columns where a
     table also holds free text.
     """
-    df = normalise_missing(df)
     columns = list(columns or df.columns)
     require(df, *columns)
     kinds = classes(df)
@@ -136,7 +135,7 @@ def profile(
         F.when(F.col("column") == c, F.array(*[_number(x) for x in v])) for c, v in limits.items() if v
     ]
     edge = F.coalesce(*edges) if edges else F.lit(None).cast("array<double>")
-    out = column_moments(df, columns, limits).withColumn("edge", edge)
+    out = column_moments(normalise_missing(df), columns, limits).withColumn("edge", edge)
     if countable:
         out = out.join(distinct_counts(df, countable), "column", "left")
     else:
@@ -223,9 +222,9 @@ STAT_FIELDS = [
 def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The snapshot kept before and after a cleaning action, one row per asked column.
 
-    A column the table does not have comes back as ``dropped``, with nothing else set.
+    A column the table does not have comes back as ``dropped``, with nothing else set. The table
+    must be free of NaN (see ``normalise_missing``).
     """
-    df = normalise_missing(df)
     present = [c for c in columns if c in df.columns]
     gone = [c for c in columns if c not in df.columns]
     spark = df.sparkSession

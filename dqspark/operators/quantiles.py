@@ -118,7 +118,12 @@ def _narrow_columns(df: DataFrame, targets: list[Row], last: bool) -> list[Row]:
     keep, cells, ranks = [], [], []
     for i, t in enumerate(targets):
         x, lo, hi = f"cast({quoted(t['column'])} AS double)", double_literal(t["lo"]), double_literal(t["hi"])
-        keep.append(f"{x} BETWEEN {lo} AND {hi}")
+        whole = isinstance(df.schema[t["column"]].dataType, T.IntegralType)
+        if whole and max(abs(t["lo"]), abs(t["hi"])) < 2**53:
+            # Compared as integers, since a filter on a cast would not reach the files.
+            keep.append(f"{quoted(t['column'])} BETWEEN {int(t['lo'])} AND {int(t['hi'])}")
+        else:
+            keep.append(f"{x} BETWEEN {lo} AND {hi}")
         part = x if last or t["n"] <= LAST_ROWS else _part(x, lo, hi)
         cells.append(
             f"if({keep[-1]}, named_struct('target', {i}, 'part', cast({part} AS double), 'value', {x}), NULL)"
@@ -146,9 +151,13 @@ def _split(rows: list[Row]) -> tuple[list[Row], list[Row]]:
     return [r for r in rows if r["lo"] == r["hi"]], [r for r in rows if r["lo"] != r["hi"]]
 
 
-def _order_statistics(data: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+def _order_statistics(
+    data: DataFrame, keys: list[str], probs: Sequence[float]
+) -> tuple[DataFrame, bool]:
     """``(keys..., lo, hi, n, ranks)`` with ``lo == hi``: the value at every wanted rank.
 
+    Also tells whether that table is known to be small.
+
     Target tables that fit ``BROADCAST_ROWS`` are small by that check, so they travel through the
     driver and are broadcast: the data is then never shuffled, however skewed the groups are, and
     the passes end once every rank is pinned to one value. With more groups than that, targets
@@ -166,14 +175,14 @@ def _order_statistics(data: DataFrame, keys: list[str], probs: Sequence[float])
             for later in range(step, PASSES):
                 targets = cut(_narrow(data, targets, keys, last=later == PASSES - 1))
             settled = spark.createDataFrame(done, schema)
-            return settled.unionByName(targets.select(*schema.names)) if done else targets
+            return (settled.unionByName(targets.select(*schema.names)) if done else targets), False
         settled, todo = _split(rows)
         done += settled
         if not todo:
             break
         small = F.broadcast(spark.createDataFrame(todo, schema))
         targets = _narrow(data, small, keys, last=step == PASSES - 1)
-    return spark.createDataFrame(done, schema)
+    return spark.createDataFrame(done, schema), True
 
 
 def grouped_quantiles(
@@ -182,14 +191,16 @@ def grouped_quantiles(
     """``(keys..., q array<double>)``: one row per group, quantiles in the order of ``probs``.
 
     Any number of groups, of any size. Missing values are ignored; a group with none left is
-    absent. Group columns may hold NULL.
+    absent. Group columns may hold NULL. Where the number of groups was found to be within
+    ``BROADCAST_ROWS`` the result is marked for broadcasting, to be joined to its data.
     """
     keys = list(keys)
     names = [f"k{i}" for i in range(len(keys))]
     data = df.select(
         *[ref(k).alias(n) for k, n in zip(keys, names)], ref(value).cast("double").alias("value")
-    ).where(F.col("value").isNotNull())
-    found = _order_statistics(data, names, probs).select(*names, "lo", F.explode("ranks").alias("r"))
+    ).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    targets, small = _order_statistics(data, names, probs)
+    found = targets.select(*names, "lo", F.explode("ranks").alias("r"))
 
     def at(i: int) -> str:
         low, high = (f"max(if(r.p = {i} AND r.upper = {u}, lo, NULL))" for u in ("false", "true"))
@@ -197,11 +208,12 @@ def grouped_quantiles(
         return f"CASE WHEN {low} = {high} THEN {low} ELSE {between} END"
 
     quantiles = F.expr(f"array({', '.join(at(i) for i in range(len(probs)))})")
-    return (
+    out = (
         found.groupBy(*names)
         .agg(quantiles.alias("q"))
         .select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "q")
     )
+    return F.broadcast(out) if small else out
 
 
 def _between(low: float, frac: float, high: float) -> float:

@@ -88,11 +88,11 @@ def normalise_missing(df: DataFrame) -> DataFrame:
 
 
 def melt(df: DataFrame, columns: Iterable[str], as_type: str) -> DataFrame:
-    """``(column, value)`` rows of the given columns, missing cells left out."""
+    """``(column, value)`` rows of the given columns, missing cells (NULL, NaN) left out."""
     cast = df.select(*[ref(c).cast(as_type).alias(c) for c in columns])
-    return cast.unpivot([], [ref(c) for c in cast.columns], "column", "value").where(
-        F.col("value").isNotNull()
-    )
+    rows = cast.unpivot([], [ref(c) for c in cast.columns], "column", "value")
+    present = F.col("value").isNotNull()
+    return rows.where(present & ~F.isnan("value") if as_type == "double" else present)
 
 
 def chunks(items: list, size: int) -> Iterable[list]:

@@ -8,6 +8,7 @@ from dqspark.operators.profile import (
     issue_count,
     profile,
 )
+from dqspark.types import normalise_missing
 
 
 def by_column(df):
@@ -89,7 +90,7 @@ def test_top_values_break_ties_by_label(spark):
 
 
 def test_column_stats(numeric):
-    s = by_column(column_stats(numeric, ["age", "name", "gone"]))
+    s = by_column(column_stats(normalise_missing(numeric), ["age", "name", "gone"]))
     assert (s["age"].missing_count, s["age"]["mean"], s["age"].dropped) == (2, 31.6, False)
     assert s["name"].missing_count == 1 and s["name"].std is None
     assert s["gone"].dropped and s["gone"].dtype is None
