@@ -119,3 +119,12 @@ LCS = """walk AS (
   sim AS (
     SELECT a, b, 2.0::DOUBLE * prev[length(b) + 1] / (length(a) + length(b)) AS similarity
     FROM walk WHERE i = length(a) + 1 AND j = 0)"""
+
+# Near-duplicate labels of a table labels_("column", value), by way of the similarity above.
+NEAR = """SELECT l."column" AS "column", l.value AS value_a, r.value AS value_b,
+  round(similarity, 3) AS similarity
+FROM labels_ l JOIN labels_ r ON l."column" = r."column" AND l.value < r.value
+  JOIN sim ON sim.a = lower(l.value) AND sim.b = lower(r.value)
+WHERE similarity >= 0.85 - 1e-9"""
+PAIRS = """p AS (SELECT DISTINCT lower(l.value) AS a, lower(r.value) AS b FROM labels_ l JOIN labels_ r
+    ON l."column" = r."column" AND l.value < r.value AND lower(l.value) <> lower(r.value))"""

@@ -10,22 +10,13 @@ from dqspark.operators.clean import clean
 from dqspark.operators.similarity import label_mapping, near_duplicates
 from dqspark.operators.tables import accepted_by_reference, rejected_by_reference
 
-NEAR = """SELECT l."column" AS "column", l.value AS value_a, r.value AS value_b,
-  round(similarity, 3) AS similarity
-FROM labels_ l JOIN labels_ r ON l."column" = r."column" AND l.value < r.value
-  JOIN sim ON sim.a = lower(l.value) AND sim.b = lower(r.value)
-WHERE similarity >= 0.85 - 1e-9"""
-PAIRS = """p AS (SELECT DISTINCT lower(l.value) AS a, lower(r.value) AS b FROM labels_ l JOIN labels_ r
-    ON l."column" = r."column" AND l.value < r.value AND lower(l.value) <> lower(r.value))"""
-
-
 @query(
     "near_duplicates",
     f"""WITH RECURSIVE labels_ AS (
     SELECT DISTINCT 'p_brand' AS "column", p_brand AS value FROM part
     UNION ALL SELECT DISTINCT 'p_name', p_name FROM part
     UNION ALL SELECT DISTINCT 'p_type', p_type FROM part),
-  {PAIRS}, {dirt.LCS} {NEAR}""",
+  {dirt.PAIRS}, {dirt.LCS} {dirt.NEAR}""",
 )
 def near_duplicate_labels(spark, sf_dir):
     return near_duplicates(dirt.table(spark, sf_dir, "part"), ["p_brand", "p_name", "p_type"])
@@ -35,7 +26,7 @@ def near_duplicate_labels(spark, sf_dir):
     "near_duplicates_case",
     f"""WITH RECURSIVE {dirt.EVENTS}, labels_ AS (SELECT DISTINCT 'event_type' AS "column",
     event_type AS value FROM e WHERE event_type IS NOT NULL),
-  {PAIRS}, {dirt.LCS} {NEAR}""",
+  {dirt.PAIRS}, {dirt.LCS} {dirt.NEAR}""",
 )
 def near_duplicate_spellings(spark, sf_dir):
     return near_duplicates(dirt.events(spark, sf_dir), ["event_type"])

@@ -149,9 +149,51 @@ def profile_date_like(spark, sf_dir):
     return date_rates(ft).select("column", "date_format", F.round("rate", 4).alias("rate"))
 
 
-@query("profile_full")
+FULL_NUMERIC = """SELECT '{c}' AS "column", 'TYPE' AS dtype, round(1 - count({c}) / count(*)::DOUBLE, 4) AS missing_pct,
+  count(DISTINCT {c}) AS n_unique, round(avg({c}::DOUBLE), 4) AS mean,
+  round(quantile_cont({c}::DOUBLE, 0.25), 4) AS q1, (SELECT count(*) FROM e, (
+    SELECT quantile_cont({c}::DOUBLE, 0.25) AS a, quantile_cont({c}::DOUBLE, 0.75) AS b FROM e) q
+    WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) AS iqr_outlier_count,
+  NULL::VARCHAR AS top, NULL::BIGINT AS near_duplicate_pairs FROM e"""
+FULL_OTHER = """SELECT '{c}', 'TYPE', round(1 - count({c}) / count(*)::DOUBLE, 4), count(DISTINCT {c}),
+  NULL, NULL, NULL, TOP, NEAR FROM e"""
+TOP_TEXT = """(SELECT string_agg(value || '=' || n, ';' ORDER BY n DESC, value) FROM (
+    SELECT {c} AS value, count(*) AS n FROM e WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 10))"""
+
+
+def _full() -> str:
+    parts = [
+        FULL_NUMERIC.replace("{c}", c).replace("TYPE", t)
+        for c, t in (("event_id", "bigint"), ("user_id", "bigint"), ("value", "double"))
+    ]
+    for c, t, top, near in (
+        ("ts", "timestamp_ntz", "NULL", "NULL"),
+        ("event_type", "string", TOP_TEXT, "(SELECT count(*) FROM near_)"),
+        ("props", "string", TOP_TEXT, "NULL"),
+    ):
+        other = FULL_OTHER.replace("TYPE", t).replace("TOP", top).replace("NEAR", near)
+        parts.append(other.replace("{c}", c))
+    labels = """labels_ AS (SELECT DISTINCT 'event_type' AS "column", event_type AS value FROM e
+    WHERE event_type IS NOT NULL)"""
+    near = f"near_ AS ({dirt.NEAR})"
+    return f"WITH RECURSIVE {dirt.EVENTS}, {labels}, {dirt.PAIRS}, {dirt.LCS}, {near} " + "\nUNION ALL\n".join(parts)
+
+
+@query("profile_full", _full())
 def profile_full(spark, sf_dir):
-    return profile(dirt.events(spark, sf_dir), near_duplicate_columns=["event_type"])
+    p = profile(dirt.events(spark, sf_dir), near_duplicate_columns=["event_type"])
+    entry = F.transform(F.map_entries("top_values"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return p.select(
+        "column",
+        "dtype",
+        "missing_pct",
+        "n_unique",
+        "mean",
+        F.round("q1", 4).alias("q1"),
+        "iqr_outlier_count",
+        F.when(F.col("top_values").isNotNull(), F.array_join(entry, ";")).alias("top"),
+        "near_duplicate_pairs",
+    )
 
 
 STATS = """SELECT '{c}' AS "column", false AS dropped, count(*) - count({c}) AS missing_count,

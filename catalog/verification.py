@@ -50,10 +50,10 @@ ALL = [
 
 @query("verify_all_charts")
 def verify_all_charts(spark, sf_dir):
-    """Every chart compared with its second computation: no row comes out where all agree."""
+    """Every chart made, computed a second time, and given its status."""
     df = dirt.lineitem(spark, sf_dir)
-    found = [recheck(df, i, chart_data(df, i)).withColumn("chart", F.lit(i.chart_type)) for i in ALL]
-    return reduce(DataFrame.unionByName, found)
+    rows = [check_chart(df, f"{n}-{i.chart_type}", i) for n, i in enumerate(ALL, 1)]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query(

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqspark.operators.charts import chart_data
 from dqspark.plans.actions import Intent, chart_problem
-from dqspark.types import NUMERIC, chunks, classes, normalise_missing, ref
+from dqspark.types import NUMERIC, chunks, classes, double_literal, normalise_missing, quoted, ref
 
 TOLERANCE = 1e-9
 POINT_TOLERANCE = 1  # fixed value: a scatter may miss or add one point
@@ -81,28 +82,24 @@ def _weighted(df: DataFrame, category: str, value: str | None) -> DataFrame:
 
 
 def _histogram_again(df: DataFrame, column: str, shown: DataFrame) -> DataFrame:
-    """Bin counts as differences of the numbers of values below each bin's end."""
-    bins = shown.select("bin", "bin_start").orderBy("bin").collect()  # one row per bin
-    x = ref(column).cast("double")
-    # Same division as binning, but compared instead of counted by group.
-    lo, hi = df.agg(F.min(x), F.max(x)).first()
-    n = len(bins)
-    place = lambda: F.floor(n * (x - lo) / F.lit(hi - lo)) if hi != lo else F.lit(0)
-    parts = None
-    for group in chunks(list(range(1, n + 1)), 60):
-        below = [
-            F.count_if(x.isNotNull() & ((place() < i) if i < n else F.lit(True))).alias(f"b{i}")
-            for i in group
-        ]
-        below += [F.count_if(x.isNotNull() & (place() < group[0] - 1)).alias("b_before")]
-        row = df.agg(*below)
-        cells = []
-        for j, i in enumerate(group):
-            prior = F.col(f"b{i - 1}") if j else (F.col("b_before") if i > 1 else F.lit(0))
-            cells.append(F.struct(F.lit(i).alias("bin"), (F.col(f"b{i}") - prior).alias("n")))
-        part = row.select(F.inline(F.array(*cells)))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    """Bin counts as differences of the numbers of values below each bin's end.
+
+    Binning groups rows by bin; here they are compared with every bin's number instead.
+    """
+    n = shown.count()  # one row per bin
+    x = f"cast({quoted(column)} AS double)"
+    lo, hi = df.selectExpr(f"min({x})", f"max({x})").first()
+    if lo is None:
+        return shown.limit(0).select("bin", "n")
+    place = f"floor({n} * ({x} - {double_literal(lo)}) / {double_literal(hi - lo)})" if hi != lo else "0"
+    below = lambda i: f"count({x})" if i >= n else f"count_if({x} IS NOT NULL AND {place} < {i})"
+    parts = []
+    for bins in chunks(list(range(1, n + 1)), 60):
+        ends = [bins[0] - 1, *bins]
+        row = df.selectExpr(*[f"{below(i)} AS b{i}" for i in ends])
+        cells = [f"named_struct('bin', {i}, 'n', b{i} - b{i - 1})" for i in bins]
+        parts.append(row.selectExpr(f"inline(array({', '.join(cells)}))"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _box_again(df: DataFrame, column: str, by: str | None, shown: DataFrame) -> DataFrame:
@@ -182,18 +179,20 @@ def _heatmap_again(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
+def _side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two one-row tables of counts as one row."""
+    zero = lambda df: [F.lit(0).cast("bigint").alias(c) for c in df.columns]
+    both = left.select("*", *zero(right)).unionByName(right.select("*", *zero(left)))
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
+
+
 def scatter_count(df: DataFrame, shown: DataFrame, x: str, y: str) -> DataFrame:
     """One row: points shown, complete rows in the data, and whether they agree."""
     df = normalise_missing(df)
-    points = shown.agg(F.count(F.lit(1)).alias("n_shown")).withColumn("k", F.lit(1))
-    complete = df.agg(F.count_if(ref(x).isNotNull() & ref(y).isNotNull()).alias("n_complete")).withColumn(
-        "k", F.lit(1)
-    )
-    return points.join(complete, "k").select(
-        "n_shown",
-        "n_complete",
-        (F.abs(F.col("n_shown") - F.col("n_complete")) <= POINT_TOLERANCE).alias("agrees"),
-    )
+    points = shown.agg(F.count(F.lit(1)).alias("n_shown"))
+    complete = df.agg(F.count_if(ref(x).isNotNull() & ref(y).isNotNull()).alias("n_complete"))
+    near = F.abs(F.col("n_shown") - F.col("n_complete")) <= POINT_TOLERANCE
+    return _side_by_side(points, complete).select("n_shown", "n_complete", near.alias("agrees"))
 
 
 def recheck(df: DataFrame, intent: Intent, shown: DataFrame, tolerance: float = 1e-6) -> DataFrame:
@@ -257,15 +256,20 @@ def check_chart(
     if intent.chart_type == "scatter":
         # The number of points may be off by the tolerance; everything else may not.
         wrong = wrong.where((F.col("measure") != "n") | (F.abs(F.col("shown") - F.col("recomputed")) > POINT_TOLERANCE))
-    bad = wrong.agg(F.count(F.lit(1)).alias("bad")).withColumn("k", F.lit(1))
-    empty = data.limit(1).agg(F.count(F.lit(1)).alias("some")).withColumn("k", F.lit(1))
+    found = _side_by_side(
+        wrong.agg(F.count(F.lit(1)).alias("bad")), data.limit(1).agg(F.count(F.lit(1)).alias("some"))
+    )
     status = F.when((F.col("bad") > 0) | (F.col("some") == 0), "flagged").otherwise("verified")
     notes = (
         F.when(F.col("some") == 0, "no chart data")
         .when(F.col("bad") > 0, F.concat(F.col("bad").cast("string"), F.lit(" value(s) differ on recomputation")))
         .otherwise("recomputed values agree")
     )
-    row = spark.createDataFrame([(*head, 1)], "chart_id string, chart_type string, columns array<string>, category string, k int")
-    return row.join(bad, "k").join(empty, "k").select(
-        "chart_id", "chart_type", "columns", "category", status.alias("status"), notes.alias("notes")
+    return found.select(
+        F.lit(chart_id).alias("chart_id"),
+        F.lit(intent.chart_type).alias("chart_type"),
+        F.array(*[F.lit(c) for c in intent.columns]).alias("columns"),
+        F.lit(intent.category).alias("category"),
+        status.alias("status"),
+        notes.alias("notes"),
     )
