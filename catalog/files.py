@@ -18,7 +18,10 @@ from dqspark.sources.files import (
     write_table,
 )
 
-FOLDER = F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1).alias("folder")
+
+
+def _folder():
+    return F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1).alias("folder")
 
 
 @query(
@@ -51,7 +54,7 @@ def csv_dialect(spark, sf_dir):
         ("pipe", "|", "lineitem"),
     ):
         dirt.table(spark, sf_dir, name).write.option("header", True).option("sep", sep).csv(f"{path}/{folder}")
-    return detect_delimiters(spark, f"{path}/*").select(FOLDER, "delimiter").distinct()
+    return detect_delimiters(spark, f"{path}/*").select(_folder(), "delimiter").distinct()
 
 
 @query(
@@ -63,7 +66,7 @@ def encoding_probe(spark, sf_dir):
     docs = dirt.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     docs.write.option("header", True).csv(f"{path}/utf8")
     docs.write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{path}/latin")
-    found = detect_encodings(spark, f"{path}/*").select(FOLDER, "encoding")
+    found = detect_encodings(spark, f"{path}/*").select(_folder(), "encoding")
     return found.groupBy("folder").agg(F.min("encoding").alias("encoding"))
 
 
