@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from dqspark.llm.common import ship
+
 SPACE_MARK = "▁"
 #: Characters of a chunk beyond the overlap, and of the first overlap tried.
 CHUNK, OVERLAP = 20_000, 64
@@ -110,6 +112,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     encoder never sees more than a chunk of a huge text. Repeated rows and ids of any kind are
     passed on; an empty table gives an empty one; other columns are not read.
     """
+    ship(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
