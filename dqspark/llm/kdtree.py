@@ -21,7 +21,7 @@ from dqspark.llm.common import ship, written
 
 #: Vectors of a shard and of a leaf; queries that search together; what a component is multiplied by.
 SHARD, LEAF, BLOCK, SCALE = 8192, 64, 1024, 256
-NOTHING = np.iinfo(np.int64).min
+NOTHING = -np.iinfo(np.int64).max  # its negative is a long too
 
 
 @dataclass
@@ -171,7 +171,7 @@ def top_k(table: DataFrame, every: int, k: int = 5, ident: str = "vec_id", vecto
                     {
                         "query_id": np.repeat(own, k)[keep.ravel()],
                         "vec_id": ids[keep],
-                        "score": np.clip(scores[keep], NOTHING + 1, -(NOTHING + 1)).astype(np.int64),
+                        "score": np.clip(scores[keep], NOTHING + 1, -NOTHING).astype(np.int64),
                     }
                 )
 
