@@ -207,16 +207,17 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     joined = every.dropDuplicates(["k1", "k2"]).join(spans, ["k1", "k2"]).drop("k1", "k2")
     at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    width = len(docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lists = batch.column(at).to_pylist(), batch.column(len(docs.columns)).to_pylist()
+            texts, lists = batch.column(at).to_pylist(), batch.column(width).to_pylist()
             take, new = [], []
             for i, (t, spans_) in enumerate(zip(texts, lists)):
                 for part in cut_texts(t, [(s["from"], s["words"], s["times"]) for s in spans_]):
                     take.append(i)
                     new.append(part)
-            chosen = batch.select(range(len(docs.columns))).take(pa.array(take, pa.int64()))
+            chosen = batch.select(range(width)).take(pa.array(take, pa.int64()))
             columns = list(chosen.columns)
             columns[at] = pa.array(new, columns[at].type)
             if chars is not None:
