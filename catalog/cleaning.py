@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import dirt, query
+from dqspark.functions.dates import parse_date
 from dqspark.operators.clean import clean
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
@@ -88,6 +89,33 @@ def parse_dates_guessed(spark, sf_dir):
     return out.select("o_orderkey", F.date_format("order_date", "yyyy-MM-dd").alias("order_date"))
 
 
+DATE_TEXTS = {
+    "%Y-%m-%dT%H:%M:%S%z": "concat(date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\"), 'Z')",
+    "%Y-%m-%d %H:%M:%S%z": "concat(date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss'), '+02:00')",
+    "%m/%d/%Y %I:%M:%S %p": "date_format(o_orderdate, 'MM/dd/yyyy hh:mm:ss a')",
+    "%y-%m-%d": "date_format(o_orderdate - INTERVAL '20' YEAR, 'yy-MM-dd')",
+    "%A, %B %d, %Y": "date_format(o_orderdate, 'EEEE, MMMM d, yyyy')",
+}
+
+
+@query(
+    "parse_dates_formats",
+    """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS d0,
+  strftime(o_orderdate - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS d1,
+  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS d2,
+  strftime(o_orderdate - INTERVAL 20 YEAR, '%Y-%m-%d 00:00:00') AS d3,
+  strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS d4 FROM orders""",
+)
+def parse_dates_formats(spark, sf_dir):
+    """Order dates written in several formats and parsed again."""
+    orders = dirt.table(spark, sf_dir, "orders")
+    texts = orders.select("o_orderkey", *[F.expr(e).alias(f"d{i}") for i, e in enumerate(DATE_TEXTS.values())])
+    parsed = [
+        F.date_format(parse_date(F.col(f"d{i}"), fmt), "yyyy-MM-dd HH:mm:ss").alias(f"d{i}") for i, fmt in enumerate(DATE_TEXTS)
+    ]
+    return texts.select("o_orderkey", *parsed)
+
+
 @query(
     "cap_iqr",
     f"""WITH {dirt.LINEITEM}, q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS q1,

@@ -12,6 +12,7 @@ from dqspark.sources.files import (
     dataset_profile,
     detect_delimiters,
     detect_encodings,
+    digest,
     fingerprints,
     read_delimited,
     read_table,
@@ -26,7 +27,8 @@ def _folder():
 
 @query(
     "csv_scan",
-    "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice, o_orderpriority FROM orders",
+    """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice,
+  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders""",
 )
 def csv_scan(spark, sf_dir):
     path = scratch_path(spark, "orders")
@@ -37,10 +39,43 @@ def csv_scan(spark, sf_dir):
         F.col("o_custkey").cast("bigint"),
         "o_orderstatus",
         F.round("o_totalprice", 2).alias("o_totalprice"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"),
         "o_orderpriority",
     )
 
 
+@query(
+    "csv_quotes",
+    "SELECT doc_id, n_chars, sha256(text) AS text_sha256, lang FROM documents",
+)
+def csv_quotes(spark, sf_dir):
+    """Texts with quotes, delimiters and line ends, written and read back."""
+    path = scratch_path(spark, "quoted")
+    docs = dirt.table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text", "lang")
+    docs.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    schema = "doc_id bigint, n_chars bigint, text string, lang string"
+    df = read_delimited(spark, path, delimiter=",", encoding="utf-8", schema=schema, multi_line=True)
+    return df.select("doc_id", "n_chars", F.sha2("text", 256).alias("text_sha256"), "lang")
+
+
+@query(
+    "csv_mixed_files",
+    """SELECT p_partkey, p_name || ' café' AS p_name, p_size FROM part
+UNION ALL SELECT s_suppkey, s_name || ' naïve', s_nationkey FROM supplier""",
+)
+def csv_mixed_files(spark, sf_dir):
+    """One folder, two encodings and two delimiters."""
+    path = scratch_path(spark, "mixed")
+    part = dirt.table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" café")).alias("p_name"), "p_size")
+    other = dirt.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("p_partkey"), F.concat("s_name", F.lit(" naïve")).alias("p_name"), F.col("s_nationkey").alias("p_size")
+    )
+    part.write.option("header", True).mode("append").csv(path)
+    other.write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").mode("append").csv(path)
+    df = read_delimited(spark, path)
+    return df.select(F.col("p_partkey").cast("bigint"), "p_name", F.col("p_size").cast("int"))
+
+
 @query(
     "csv_dialect",
     "SELECT * FROM (VALUES ('comma', ','), ('tab', chr(9)), ('semicolon', ';'), ('pipe', '|')) v(folder, delimiter)",
@@ -98,13 +133,23 @@ def profile_of_dataset(spark, sf_dir):
     return p.select("n_rows", "n_cols", (F.col("file_size_bytes") > 0).alias("has_bytes"), F.inline("columns"))
 
 
+@query(
+    "text_fingerprint",
+    "SELECT doc_id, substring(sha256(text), 1, 16) AS fingerprint FROM documents",
+)
+def text_fingerprint(spark, sf_dir):
+    docs = dirt.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", digest(F.col("text").cast("binary")).alias("fingerprint"))
+
+
 @query("dataset_fingerprint")
 def dataset_fingerprint(spark, sf_dir):
     return fingerprints(spark, sf_dir)
 
 
-@query("changed_inputs")
+@query("changed_inputs", "SELECT 'orders.parquet' AS file WHERE (SELECT count(*) FROM orders) > 0")
 def changed_inputs(spark, sf_dir):
     """Against a record of all files but one, that one is new."""
     now = fingerprints(spark, sf_dir)
-    return changed_files(now, now.where(~F.col("file").endswith("orders.parquet")))
+    new = changed_files(now, now.where(~F.col("file").endswith("orders.parquet")))
+    return new.select(F.regexp_extract("file", "[^/]+$", 0).alias("file"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import dirt, query
-from dqspark.plans.actions import Action, approved, vet_intents, vet_plan
+from dqspark.plans.actions import PLAN_DDL, Action, approved, read_plan, vet_intents, vet_plan
 from dqspark.plans.executor import apply_plan
 from dqspark.sources.audit import plan_log
 
@@ -170,6 +170,36 @@ def plan_approved(spark, sf_dir):
     return kept.drop("rationale")
 
 
+STORED = [
+    ("a", 1, "l_quantity", "impute_median", "gaps"),
+    ("a", 2, "l_quantity", "magic_fix", "unknown action"),
+    ("a", 3, "gone", "drop_column", "unknown column"),
+    ("a", 4, "l_discount", "impute_mean", "turned down"),
+    ("a", 5, "l_tax", "drop_rows", "gaps"),
+    ("b", 1, "l_tax", "drop_column", "of another data set"),
+    ("b", 4, "l_quantity", "drop_rows", "of another data set"),
+]
+
+
+@query(
+    "plan_from_table",
+    f"""WITH {dirt.LINEITEM}, m AS (SELECT quantile_cont(l_quantity, 0.5) AS q FROM d)
+SELECT l_orderkey, l_linenumber, coalesce(l_quantity, q)::DOUBLE AS l_quantity, l_discount FROM d, m
+WHERE l_tax IS NOT NULL""",
+)
+def plan_from_table(spark, sf_dir):
+    """Plans of two data sets as a table: vetted, approved, read and one of them applied."""
+    df = dirt.lineitem(spark, sf_dir)
+    rows = [(*r, None) for r in STORED]
+    ddl = "dataset_id string, " + PLAN_DDL
+    plan = spark.createDataFrame(rows, ddl)
+    known = spark.createDataFrame([(d, c) for d in "ab" for c in df.columns], "dataset_id string, column string")
+    sound = vet_plan(plan, known).where("reason IS NULL").drop("reason")
+    rejected = spark.createDataFrame([("a", 4), ("b", 5)], "dataset_id string, seq int")
+    actions = read_plan(approved(sound, rejected), "a")
+    return apply_plan(df, actions).df.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+
+
 COLUMN_SETS = [["num_a"], ["cat_a", "num_a"], ["num_a", "num_b"], ["date_a", "num_b"], ["num_a", "gone"], ["cat_a"]]
 CHART_NAMES = ["histogram", "box", "bar", "line", "scatter", "heatmap", "pie", "treemap"]
 

@@ -90,9 +90,17 @@ def profile_distinct(spark, sf_dir):
     return distinct_counts(dirt.lineitem(spark, sf_dir), DISTINCT)
 
 
-@query("profile_distinct_approx")
+@query(
+    "profile_distinct_approx",
+    f"WITH {dirt.LINEITEM} "
+    + _each('SELECT \'{c}\' AS "column", count(DISTINCT {c}) AS n_unique, true AS within_5_percent FROM d', DISTINCT),
+)
 def profile_distinct_approx(spark, sf_dir):
-    return approximate_distinct_counts(normalise_missing(dirt.lineitem(spark, sf_dir)), DISTINCT)
+    """Sketches beside the exact counts."""
+    df = normalise_missing(dirt.lineitem(spark, sf_dir))
+    guess = approximate_distinct_counts(df, DISTINCT).withColumnRenamed("n_unique", "guess")
+    near = F.abs(F.col("guess") - F.col("n_unique")) <= 0.05 * F.col("n_unique")
+    return distinct_counts(df, DISTINCT).join(guess, "column").select("column", "n_unique", near.alias("within_5_percent"))
 
 
 QUARTILES = """SELECT '{c}' AS "column", round(quantile_cont({c}::DOUBLE, 0.25), 4) AS q1,

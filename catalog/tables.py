@@ -40,6 +40,32 @@ def keep_best_per_key(spark, sf_dir):
     return keep_best(scored, ["event_type", as_set], "score", "event_id").drop("cols")
 
 
+@query(
+    "keep_best_nan",
+    """SELECT event_id, user_id, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r
+  FROM events WHERE value >= 2.5 AND event_id % 5 <> 0) WHERE r = 1""",
+)
+def keep_best_nan(spark, sf_dir):
+    """A score that is no number is never the best."""
+    score = F.when(F.col("event_id") % 5 == 0, float("nan")).otherwise(F.col("value"))
+    scored = dirt.table(spark, sf_dir, "events").select("event_id", "user_id", score.alias("value"))
+    return keep_best(scored, ["user_id"], "value", "event_id")
+
+
+@query(
+    "validate_nan",
+    """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'no_value,out_of_range'
+  WHEN value > 150 THEN 'out_of_range' ELSE '' END AS reasons FROM events""",
+)
+def validate_nan(spark, sf_dir):
+    """A required value that is no number is missing."""
+    value = F.when(F.col("event_id") % 5 == 0, float("nan")).otherwise(F.col("value"))
+    rows = dirt.table(spark, sf_dir, "events").select("event_id", value.alias("value"))
+    marked = conformance(rows, [required("value", "no_value"), between("value", -1e9, 150.0, "out_of_range")])
+    return marked.select("event_id", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query(
     "upsert_latest",
     """WITH b AS (SELECT c_custkey, c_acctbal AS amount, c_custkey AS seq, 0 AS side FROM customer

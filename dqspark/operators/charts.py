@@ -71,7 +71,10 @@ def box(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
         quartiles = grouped_quantiles(data, ["group"], "x", [0.25, 0.5, 0.75]).select(
             "group", *[F.get("q", i).alias(n) for i, n in enumerate(("q1", "median", "q3"))]
         )
-        with_q = data.join(quartiles, "group")
+        # null-safe, so that the aggregate below does not take over the join's partitioning: rows of a
+        # large group are combined in many tasks first
+        quartiles = quartiles.withColumnRenamed("group", "of")
+        with_q = data.join(quartiles, F.col("group").eqNullSafe(F.col("of"))).drop("of")
         keys = ["group", "q1", "median", "q3"]
     else:
         (q,) = grouped_quantiles(data, [], "x", [0.25, 0.5, 0.75]).collect() or [None]

@@ -35,10 +35,6 @@ from dqspark.types import (
     require,
 )
 
-# A label mapping of at most this many rows is broadcast; a larger one is joined by label.
-BROADCAST_LABELS = 100_000
-
-
 @dataclass
 class Fitted:
     """What an action needs to know about the data before it can be applied."""
@@ -47,7 +43,6 @@ class Fitted:
     value: float | str | None = None
     bounds: tuple[float, float] | None = None
     mapping: DataFrame | None = None
-    mapping_rows: int = 0
 
 
 def check(action: Action, kinds: dict[str, str]) -> None:
@@ -57,6 +52,10 @@ def check(action: Action, kinds: dict[str, str]) -> None:
     if action.column not in kinds:
         raise ColumnNotFound(f"column {action.column!r} is not in the table (any more)")
     kind, params = kinds[action.column], action.params
+    for name, types in (("cap_percentile", (int, float)), ("fuzzy_threshold", (int, float)), ("format", (str,))):
+        value = params.get(name)
+        if value is not None and (not isinstance(value, types) or isinstance(value, bool)):
+            raise ValueError(f"{name} has the wrong type: {value!r}")
     if action.action_type == "parse_dates":
         if kind not in (CATEGORICAL, DATETIME):
             raise IncompatibleColumn(f"cannot parse {kind} column {action.column!r} as dates")
@@ -118,7 +117,6 @@ def fit(df: DataFrame, actions: Sequence[Action], order_by: str | None = None) -
                 label_mapping(df, a.column, DEFAULT_THRESHOLD if t is None else t, order_by)
             )
             fitted[a.seq].mapping = mapping
-            fitted[a.seq].mapping_rows = mapping.count()
 
     undated = [
         a
@@ -141,7 +139,7 @@ def _new_value(df: DataFrame, f: Fitted, mapped: Column | None) -> Column:
     if a.action_type in ("impute_mean", "impute_median"):
         return F.coalesce(c.cast("double"), F.lit(f.value).cast("double")) if kind == NUMERIC else c
     if a.action_type == "impute_mode":
-        return F.coalesce(c, F.lit(f.value).cast(df.schema[a.column].dataType))
+        return c if f.value is None else F.coalesce(c, f.value)
     if a.action_type == "cap_outliers":
         if kind != NUMERIC:
             return c
@@ -170,8 +168,6 @@ def changed(df: DataFrame, fitted: Sequence[Fitted], keep_old: bool = False) ->
         if f.mapping is not None:
             label, to = f"label_{a.seq}", f"canonical_{a.seq}"
             side = f.mapping.select(F.col("label").alias(label), F.col("canonical").alias(to))
-            if f.mapping_rows <= BROADCAST_LABELS:
-                side = F.broadcast(side)
             wide = wide.join(side, clean_label(ref(a.column)) == F.col(label), "left")
             mapped = F.col(to)
         news[a.column] = _new_value(df, f, mapped)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,9 +30,17 @@ def _exact_type(t: T.DataType) -> str:
         return "bigint"
     if isinstance(t, (T.FloatType, T.DoubleType)):
         return "double"
+    if isinstance(t, T.TimestampType):
+        return "bigint"  # as microseconds: the hour that clocks repeat has one text for two instants
     return "string"
 
 
+def _comparable(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The table with instants as microseconds, other columns as they are."""
+    zoned = {c for c in columns if isinstance(df.schema[c].dataType, T.TimestampType)}
+    return df.select(*[F.unix_micros(ref(c)).alias(c) if c in zoned else ref(c) for c in columns])
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, n_unique)``, exact; a column without values has no row."""
     wanted = columns or [f.name for f in df.schema.fields if class_of(f.dataType) != OTHER]
@@ -41,16 +49,17 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     for c in wanted:
         kinds.setdefault(_exact_type(df.schema[c].dataType), []).append(c)
     parts = [
-        frequency_table(df, cols, kind).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+        frequency_table(_comparable(df, cols), cols, kind).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
         for kind, cols in kinds.items()
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def approximate_distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """As ``distinct_counts`` from sketches: one scan and no shuffle of values."""
+def approximate_distinct_counts(df: DataFrame, columns: Sequence[str], rsd: float = 0.01) -> DataFrame:
+    """As ``distinct_counts`` from sketches: one scan and no shuffle of values. ``rsd`` is the
+    standard deviation of the relative error."""
     require(df, *columns)
-    row = df.agg(*[F.approx_count_distinct(ref(c)).alias(c) for c in columns])
+    row = df.agg(*[F.approx_count_distinct(ref(c), rsd).alias(c) for c in columns])
     return row.unpivot([], [ref(c) for c in columns], "column", "n_unique")
 
 
@@ -64,17 +73,24 @@ def top_values(frequencies: DataFrame, k: int = TOP_LABELS) -> DataFrame:
     return frequencies.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def mode_of(df: DataFrame, column: str) -> str | None:
-    """The most frequent value as text, the smallest on ties; ``None`` for an empty column.
+def mode_of(df: DataFrame, column: str) -> Column | None:
+    """The most frequent value, the smallest on ties, as a literal of the column's type; ``None``
+    for an empty column.
 
     A two-stage count and a distributed top-1, where ``mode()`` would hold every distinct value
     in one task.
     """
+    kind = df.schema[column].dataType
     counted = (
-        df.where(ref(column).isNotNull())
+        _comparable(df, [column])
+        .where(ref(column).isNotNull())
         .groupBy(ref(column).alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     best = counted.orderBy(F.desc("n"), "value").limit(1).select(F.col("value").cast("string"))
     row = best.first()
-    return row and row[0]
+    if row is None:
+        return None
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(F.lit(int(row[0])))
+    return F.lit(row[0]).cast(kind)

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dqspark.types import ref, require
+from dqspark.types import normalise_missing, ref, require
 
 MIN_SCORE = 2.5  # fixed value: rows scored below this are not kept
 
@@ -23,11 +24,12 @@ def keep_best(
     """The best-scored row per key, the first one on ties, best scores first.
 
     Equal scores keep the order in which their keys first appeared. A maximum is taken instead of
-    ranking rows in a window, so a hot key is reduced before the shuffle and never sorted. An
-    array key that stands for a set is passed as ``array_sort(array_distinct(c))``.
+    ranking rows in a window, so a hot key is reduced before the shuffle. A NaN score counts as
+    missing, and a missing score is never kept. An array key that stands for a set is passed as
+    ``array_sort(array_distinct(c))``.
     """
     require(df, score, seq)
-    kept = df.where(ref(score) >= min_score)
+    kept = normalise_missing(df).where(ref(score) >= min_score)
     named = [(ref(k) if isinstance(k, str) else k).alias(f"key{i}") for i, k in enumerate(keys)]
     row = F.struct(*[ref(c) for c in df.columns])
     best = kept.groupBy(*named).agg(
@@ -92,13 +94,15 @@ def conformance(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The table with ``reasons``, the codes of all broken rules in rule order (empty: accepted).
 
     All rules are tested in one projection; a reference list costs one join on its distinct keys,
-    broadcast or shuffled as its size at run time demands. A missing value breaks every rule but
+    broadcast or shuffled as its size at run time demands. A missing value (NaN too) breaks every rule but
     ``exists``, which it breaks too unless the reference holds NULL keys; both count as missing.
     """
     require(df, *[r.column for r in rules])
+    marked = [f for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    real = {f.name: F.when(~F.isnan(ref(f.name)), ref(f.name)) for f in marked}
     wide, tests = df, []
     for i, r in enumerate(rules):
-        c = ref(r.column)
+        c = real.get(r.column, ref(r.column))
         if r.kind == "required":
             ok = c.isNotNull()
         elif r.kind == "one_of":

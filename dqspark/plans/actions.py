@@ -84,8 +84,15 @@ def numbered(actions: Iterable[Action]) -> list[Action]:
     ]
 
 
-def read_plan(plan: DataFrame) -> list[Action]:
-    """A vetted plan table as actions. A plan has a handful of rows: it is read by the driver."""
+def read_plan(plan: DataFrame, dataset_id: str | None = None) -> list[Action]:
+    """A vetted plan table as actions, those of one dataset where the table holds plans of many.
+
+    The plan of one dataset has a handful of rows: it is read by the driver.
+    """
+    if "dataset_id" in plan.columns:
+        if dataset_id is None:
+            raise ValueError("the plan table holds plans of many datasets: name one")
+        plan = plan.where(F.col("dataset_id") == dataset_id)
     rows = plan.orderBy("seq").collect()
     return [
         Action(
@@ -100,8 +107,9 @@ def read_plan(plan: DataFrame) -> list[Action]:
 
 
 def approved(plan: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The plan without the actions whose ``seq`` was turned down."""
-    return plan.join(rejected.select("seq"), "seq", "left_anti")
+    """The plan without the actions turned down, named by ``seq``, and by ``dataset_id`` where both have one."""
+    keys = [k for k in ("dataset_id", "seq") if k in plan.columns and k in rejected.columns]
+    return plan.join(rejected.select(*keys), keys, "left_anti")
 
 
 def chart_problem(chart_type: str, columns: list[str], kinds: Mapping[str, str]) -> str | None:
@@ -124,6 +132,12 @@ def _blank(name: str) -> Column:
     return F.col(name).isNull()
 
 
+# Codes of rejected rows.
+INVALID_ACTION, NO_SUCH_COLUMN = "rejected_invalid_action", "rejected_nonexistent_column"
+INVALID_INTENT, NO_SUCH_COLUMNS = "rejected_invalid_intent", "rejected_nonexistent_columns"
+WRONG_TYPES = "rejected_dtype_incompatible"
+
+
 def vet_plan(plan: DataFrame, catalogue: DataFrame) -> DataFrame:
     """A plan table with a ``reason`` column: NULL for accepted rows.
 
@@ -137,8 +151,8 @@ def vet_plan(plan: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
     return plan.join(known, ["dataset_id", "column"], "left").select(
         *plan.columns,
-        F.when(invalid, "rejected_invalid_action")
-        .when(F.col("known").isNull(), "rejected_nonexistent_column")
+        F.when(invalid, INVALID_ACTION)
+        .when(F.col("known").isNull(), NO_SUCH_COLUMN)
         .alias("reason"),
     )
 
@@ -167,9 +181,11 @@ def _fits(kinds: Column, columns: Column, chart_type: Column) -> Column:
 def vet_intents(intents: DataFrame, catalogue: DataFrame) -> DataFrame:
     """An intent table with a ``reason`` column: NULL for accepted rows.
 
-    ``catalogue`` holds ``(dataset_id, column, class)`` rows, one per column of each dataset.
+    ``catalogue`` holds ``(dataset_id, column, class)`` rows; of a column listed with several classes
+    the first by name counts.
     """
-    kinds = catalogue.groupBy("dataset_id").agg(
+    columns = catalogue.groupBy("dataset_id", "column").agg(F.min("class").alias("class"))
+    kinds = columns.groupBy("dataset_id").agg(
         F.map_from_entries(F.collect_set(F.struct("column", "class"))).alias("kinds")
     )
     in_range = F.coalesce(F.col("priority_score").between(0, 5), F.lit(False))
@@ -185,11 +201,11 @@ def vet_intents(intents: DataFrame, catalogue: DataFrame) -> DataFrame:
     ) | F.col("kinds").isNull()
     return intents.join(kinds, "dataset_id", "left").select(
         *intents.columns,
-        F.when(invalid, "rejected_invalid_intent")
-        .when(lost, "rejected_nonexistent_columns")
+        F.when(invalid, INVALID_INTENT)
+        .when(lost, NO_SUCH_COLUMNS)
         .when(
             ~_fits(F.col("kinds"), F.col("columns"), F.col("chart_type")),
-            "rejected_dtype_incompatible",
+            WRONG_TYPES,
         )
         .alias("reason"),
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dqspark.types import ref
 
 # Delimiters looked for, in this order of preference, and what is used without one.
 DELIMITERS = [",", "\t", ";", "|"]
@@ -17,15 +20,24 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
-def detect_delimiters(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, delimiter)`` for every file below a path.
+def _every_file(spark: SparkSession, path: str) -> DataFrame:
+    """All files from the listing, empty ones too; no content is read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+
+
+def probe_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, delimiter, encoding)`` for every file below a path, in one pass over their lines.
 
     A delimiter is judged by the share of lines that hold it equally often (its most common
-    count above zero). Counts are combined per file before the shuffle.
+    count above zero). A file is ``utf-8`` where every line is valid UTF-8, else ``iso-8859-1``.
+    Counts are combined per file before the shuffle; large files are split among tasks. An empty
+    file has the fallback delimiter and is ``utf-8``.
     """
     lines = _lines(spark, path)
+    lines = lines.withColumn("sound", F.is_valid_utf8("value"))
     counted = lines.select(
         "file",
+        "sound",
         F.inline(
             F.array(
                 *[
@@ -38,31 +50,29 @@ def detect_delimiters(spark: SparkSession, path: str) -> DataFrame:
             )
         ),
     )
-    votes = counted.groupBy("file", "place", "times").agg(F.count(F.lit(1)).alias("n"))
+    votes = counted.groupBy("file", "place", "times").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and("sound").alias("sound")
+    )
     best = votes.groupBy("file").agg(
-        F.max(F.when(F.col("times") > 0, F.struct("n", -F.col("place")))).alias("best")
+        F.max(F.when(F.col("times") > 0, F.struct("n", -F.col("place")))).alias("best"),
+        F.bool_and("sound").alias("sound"),
     )
     names = F.array(*[F.lit(d) for d in DELIMITERS])
-    return best.select(
+    return _every_file(spark, path).join(best, "file", "left").select(
         "file",
         F.coalesce(F.get(names, (-F.col("best.col2")).cast("int")), F.lit(FALLBACK)).alias("delimiter"),
+        F.when(F.coalesce("sound", F.lit(True)), "utf-8").otherwise("iso-8859-1").alias("encoding"),
     )
 
 
-def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, encoding)``: ``utf-8`` where every line is valid UTF-8, else ``iso-8859-1``.
+def detect_delimiters(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, delimiter)`` for every file below a path."""
+    return probe_files(spark, path).select("file", "delimiter")
 
-    Line by line over the whole file, so large files are split among tasks.
-    """
-    return (
-        _lines(spark, path)
-        .groupBy("file")
-        .agg(
-            F.when(F.bool_and(F.is_valid_utf8("value")), "utf-8")
-            .otherwise("iso-8859-1")
-            .alias("encoding")
-        )
-    )
+
+def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, encoding)`` for every file below a path."""
+    return probe_files(spark, path).select("file", "encoding")
 
 
 def read_delimited(
@@ -71,30 +81,60 @@ def read_delimited(
     delimiter: str | None = None,
     encoding: str | None = None,
     schema: T.StructType | str | None = None,
+    multi_line: bool = False,
+    corrupt_column: str | None = None,
 ) -> DataFrame:
-    """A delimited text table with a header.
+    """A delimited text table with a header; fields may be quoted, a quote inside is doubled.
 
-    Delimiter and encoding are detected where not given, and must agree among the files of a
-    path. Without ``schema`` types are inferred, which reads the data once more.
+    Delimiter and encoding are detected per file where not given: files that share both are read
+    together, and the parts are united by column name. ``multi_line`` allows line ends
+    inside quotes; a file is then read by one task. Without ``schema`` types are inferred, which reads the
+    data once more. With ``corrupt_column`` lines that do not fit are kept there as text.
     """
-    if delimiter is None:
-        found = [r[0] for r in detect_delimiters(spark, path).select("delimiter").distinct().limit(5).collect()]
-        if len(found) > 1:
-            raise ValueError(f"files below {path} use different delimiters: {found}")
-        delimiter = found[0] if found else FALLBACK
-    if encoding is None:
-        found = [r[0] for r in detect_encodings(spark, path).select("encoding").distinct().collect()]
-        # Plain ASCII lines are valid in both, so one file in the wider encoding decides.
-        encoding = "iso-8859-1" if "iso-8859-1" in found else "utf-8"
-    reader = (
-        spark.read.option("header", True)
-        .option("sep", delimiter)
-        .option("encoding", encoding)
-        .option("mode", "PERMISSIVE")
-    )
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    return reader.option("inferSchema", True).csv(path)
+    groups = [(delimiter or FALLBACK, encoding or "utf-8", [path])]
+    if delimiter is None or encoding is None:
+        found = probe_files(spark, path).select(
+            "file",
+            F.lit(delimiter).alias("delimiter") if delimiter else "delimiter",
+            F.lit(encoding).alias("encoding") if encoding else "encoding",
+        )
+        kinds = found.groupBy("delimiter", "encoding").agg(F.collect_set("file").alias("files"))
+        groups = [(r["delimiter"], r["encoding"], r["files"]) for r in kinds.collect()]  # names of files
+        if len(groups) == 1:
+            groups = [(*groups[0][:2], [path])]
+    parts = []
+    for sep, charset, files in sorted(groups):
+        reader = (
+            spark.read.option("header", True)
+            .option("sep", sep)
+            .option("encoding", charset)
+            .option("escape", '"')
+            .option("multiLine", multi_line)
+            .option("mode", "PERMISSIVE")
+        )
+        wanted = schema
+        if wanted is None:
+            wanted = reader.option("inferSchema", True).csv(files).schema
+        if corrupt_column is not None:
+            wanted = T.StructType.fromDDL(wanted) if isinstance(wanted, str) else T.StructType(list(wanted.fields))
+            wanted = wanted.add(corrupt_column, T.StringType())
+            reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
+        parts.append(reader.schema(wanted).csv(files))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), _same_types(parts))
+
+
+def _same_types(parts: list[DataFrame]) -> list[DataFrame]:
+    """Columns whose types were inferred differently become numbers where all are, else text."""
+    kinds: dict[str, set] = {}
+    for df in parts:
+        for f in df.schema.fields:
+            kinds.setdefault(f.name, set()).add(f.dataType)
+    to = {
+        c: T.DoubleType() if all(isinstance(t, T.NumericType) for t in found) else T.StringType()
+        for c, found in kinds.items()
+        if len(found) > 1
+    }
+    return [df.select(*[ref(c).cast(to[c]).alias(c) if c in to else ref(c) for c in df.columns]) for df in parts]
 
 
 def write_table(df: DataFrame, path: str) -> str:
@@ -137,6 +177,11 @@ def dataset_profile(df: DataFrame, path: str | None = None) -> DataFrame:
     )
 
 
+def digest(content: Column) -> Column:
+    """The first 16 hex digits of SHA-256."""
+    return F.substring(F.sha2(content, 256), 1, 16)
+
+
 def fingerprints(spark: SparkSession, path: str, salt: str = "") -> DataFrame:
     """``(file, bytes, fingerprint)``: the first 16 hex digits of SHA-256 over content and salt.
 
@@ -147,7 +192,7 @@ def fingerprints(spark: SparkSession, path: str, salt: str = "") -> DataFrame:
     return content.select(
         F.col("path").alias("file"),
         F.col("length").alias("bytes"),
-        F.substring(F.sha2(salted, 256), 1, 16).alias("fingerprint"),
+        digest(salted).alias("fingerprint"),
     )
 
 
