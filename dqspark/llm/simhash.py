@@ -105,24 +105,26 @@ def links(fps: DataFrame) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) of all nodes in pairs.
 
-    Every round each node takes the smallest root among its own and its neighbours', and then that
-    root's root; the table is written each round, so that no round depends on lost tasks of earlier ones.
+    Every round each node moves to the smallest among itself and its neighbours, and the links follow
+    their ends: those within a node vanish, equal ones become one, so a dense group shrinks to a point in a
+    round or two. Moves and links are written each round; no round depends on tasks of earlier ones.
     """
-    pairs = written(pairs, "links")
-    both = written(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")), "edges")
-    roots = written(both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("root")), "roots")
-    while True:
-        seen = both.join(roots, both.v == roots.node).groupBy("u").agg(F.min("root").alias("other"))
-        taken = roots.join(seen, roots.node == seen.u).select(
-            "node", F.col("root").alias("was"), F.least("root", "other").alias("to")
-        )
-        jump = roots.select(F.col("node").alias("to"), F.col("root").alias("further"))
-        now = written(
-            taken.join(jump, "to").select("node", F.least("to", "further").alias("root"), "was"), "roots"
-        )
-        roots = now.select("node", "root")
-        if now.where("root < was").isEmpty():
-            return roots
+    links = written(pairs, "links")
+    moves = []
+    while not links.isEmpty():
+        both = links.union(links.select("b", "a"))
+        move = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
+        move = written(move.select("node", F.least("node", "b").alias("to")), "moves")
+        moves.append(move)
+        a = move.select(F.col("node").alias("a"), F.col("to").alias("x"))
+        b = move.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        moved = links.join(a, "a").join(b, "b").where("x <> y")
+        links = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    for move in reversed(moves):
+        later = roots.select(F.col("node").alias("to"), "root")
+        roots = move.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
+    return roots
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
