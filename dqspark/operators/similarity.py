@@ -10,6 +10,11 @@ is quadratic, so pairs are first blocked, without losing any:
   ``s - need`` or right by at most ``l - need`` characters (the pigeonhole argument of Li et al.,
   PassJoin, 2011). Labels therefore meet in blocks keyed by both lengths, the segment's number
   and its text.
+* The segments of a label and the places to look for them grow with the cube of its length. Pairs
+  whose longer label has ``LONG`` characters or more therefore meet over pairs of neighbouring characters:
+  an unmatched character spoils two of them at most, so with at most ``edits`` unmatched ones
+  the first ``2 * edits + 1`` of both labels' pairs, the rarest first, have one in common (the prefix filter
+  of Chaudhuri et al., 2006). That is less than one key for each character.
 * Where there are more segments than characters (thresholds below about 0.7) the blocks are the
   prefixes of the sorted character multisets instead (Chaudhuri et al., 2006).
 
@@ -22,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqspark.functions.text import bit_alphabet, bit_masks, chars, clean_label, lcs_length
@@ -32,6 +37,7 @@ from dqspark.types import melt, ref, require
 DEFAULT_THRESHOLD = 0.85  # fixed value: the threshold below which labels count as different
 SLACK = 1e-9
 BLOCK_ROWS = 4_000
+LONG = 32
 HEAD_ROWS = 2_000
 
 
@@ -60,8 +66,60 @@ def _tokens(label: str, how_many: str) -> str:
     return f"slice(array_sort(transform({letters}, (x, k) -> concat(x, cast({nth} AS string)))), 1, {how_many})"
 
 
+def _by_grams(t: float) -> bool:
+    """Whether the pairs of characters that must be spared are some, however long the labels are."""
+    return 4 * (1 - t) / t <= 0.9
+
+
+def _grams(labels: DataFrame, keys: list[str], t: float) -> DataFrame:
+    """``(keys..., label, gram, nth)``: pairs of neighbouring characters, repeats numbered."""
+    least = f"cast(ceil({LONG} * {t / (2 - t)!r}D - {SLACK!r}D) AS int)"
+    each = labels.where(F.expr(f"length(label) >= {least}")).select(
+        *keys, "label", F.expr("explode(transform(sequence(1, length(label) - 1), p -> substring(label, p, 2))) AS gram")
+    )
+    counted = each.groupBy(*keys, "label", "gram").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(*keys, "label", "gram", F.explode(F.expr("sequence(1L, n)")).alias("nth"))
+
+
+def _rarest(grams: DataFrame, counts: DataFrame, keys: list[str], t: float) -> DataFrame:
+    """Of every label's grams as many of the rarest as its unmatched characters could spoil, and one more."""
+    spoilt = f"2 * cast(floor(length(label) * {2 * (1 - t) / t!r}D + {SLACK!r}D) AS int)"
+    order = Window.partitionBy(*keys, "label").orderBy("often", "gram", "nth")
+    ranked = grams.join(counts, [*keys, "gram", "nth"]).withColumn("place", F.row_number().over(order))
+    return ranked.where(F.expr(f"place <= {spoilt} + 1")).select(*keys, "gram", "nth", "label")
+
+
+def _meet_long(
+    shorter: DataFrame, longer: DataFrame, keys: list[str], t: float, split: bool, pair: str
+) -> DataFrame:
+    """As ``_meet`` for pairs whose longer label has ``LONG`` characters or more."""
+    same = shorter is longer
+    one = cut(_grams(shorter, keys, t))
+    two = one if same else cut(_grams(longer, keys, t))
+    every = one if same else one.unionByName(two)
+    counts = every.groupBy(*keys, "gram", "nth").agg(F.count(F.lit(1)).alias("often"))
+    index, probe = _rarest(one, counts, keys, t), _rarest(two, counts, keys, t)
+    on = [*keys, "gram", "nth"]
+    if split:
+        index, probe = _split_hot(cut(index), cut(probe), on)
+        on = [*on, "c_index", "c_probe"]
+    met = (
+        index.withColumnRenamed("label", "b")
+        .join(probe.withColumnRenamed("label", "a"), on)
+        .selectExpr(*[f"`{k}`" for k in keys], "a", "b", "length(b) AS short", "length(a) AS long")
+        .where(f"short <= long AND long >= {LONG} AND a <> b")
+        .where(pair)
+        .selectExpr("*", f"{_need(t)} AS need")
+        .where("need <= short")
+        .distinct()
+    )
+    return met.join(_with_masks(shorter).withColumnRenamed("label", "b"), [*keys, "b"])
+
+
 def _blocks(labels: DataFrame, keys: list[str], t: float, probe: bool) -> DataFrame:
     """One row per label and block: ``short, long, i, part`` name the block besides ``keys``."""
+    if _by_grams(t):
+        labels = labels.where(F.length("label") < LONG)
     if probe:
         others = f"sequence(cast(ceil(length(label) * {t / (2 - t)!r}D - {SLACK!r}D) AS int), length(label))"
     else:
@@ -79,6 +137,8 @@ def _blocks(labels: DataFrame, keys: list[str], t: float, probe: bool) -> DataFr
         .selectExpr("*", f"{_need(t)} AS need")
         .where("need <= short AND short > 0")
     )
+    if _by_grams(t):
+        sized = sized.where(F.col("long") < LONG)
     part = "named_struct('i', {i}, 'part', {text})"
     if probe:
         at = part.replace("{i}", "i").replace("{text}", f"substring(label, p, {_int(WIDTH, 'i')})")
@@ -169,8 +229,12 @@ def _meet(
         .where(pair)
         .where(_first_shared())
     )
-    common = lcs_length("alphabet", "masks", "short", "a")
     named = [f"`{k}`" for k in keys]
+    wanted = [*keys, "a", "b", "alphabet", "masks", "short", "long", "need"]
+    met = met.select(*wanted)
+    if _by_grams(t):
+        met = met.unionByName(_meet_long(shorter, longer, keys, t, split, pair).select(*wanted))
+    common = lcs_length("alphabet", "masks", "short", "a")
     scored = met.selectExpr(
         *named, "a", "b", "need", "short + long AS both", f"{common} AS common"
     ).where("common >= need")

@@ -116,3 +116,36 @@ def test_order_decides_who_leads(spark):
 def test_threshold_is_checked(spark):
     with pytest.raises(ValueError):
         S.similar_pairs(spark.createDataFrame([("a",)], "label string"), 0.0)
+
+
+@pytest.mark.parametrize("long,block_rows", [(32, 4_000), (6, 5)])
+def test_long_labels_meet_over_pairs_of_characters(spark, monkeypatch, long, block_rows):
+    monkeypatch.setattr(S, "LONG", long)
+    monkeypatch.setattr(S, "BLOCK_ROWS", block_rows)
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(4, 90))) for _ in range(25)]
+    found = set(base)
+    for x in base:
+        for _ in range(3):
+            y = list(x)
+            for _ in range(rng.randint(1, max(1, len(x) // 6))):
+                y[rng.randrange(len(y))] = rng.choice(["", "z", "é", "ab"])
+            found.add("".join(y))
+    labels = sorted(x for x in found if x)
+    df = spark.createDataFrame([(x,) for x in labels], "label string")
+    got = {(r.a, r.b) for r in S.similar_pairs(df, 0.85).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(labels, 2) if ratio(a, b) >= 0.85 - 1e-9}
+    half = len(labels) // 2
+    sides = [spark.createDataFrame([(x,) for x in part], "label string") for part in (labels[:half], labels[half:])]
+    got = {(r.left, r.right) for r in S.pairs_between(*sides, 0.9).collect()}
+    assert got == {(a, b) for a in labels[:half] for b in labels[half:] if ratio(a, b) >= 0.9 - 1e-9}
+
+
+def test_keys_of_a_label_grow_with_its_length(spark):
+    rng = random.Random(6)
+    for n in (200, 5_000):
+        one = spark.createDataFrame([("".join(rng.choice("abcdefghij ") for _ in range(n)),)], "label string")
+        grams = S._grams(one, [], 0.85)
+        counts = grams.groupBy("gram", "nth").count().withColumnRenamed("count", "often")
+        assert S._rarest(grams, counts, [], 0.85).count() <= n
+        assert S._blocks(one, [], 0.85, probe=True).count() == 0
