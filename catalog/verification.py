@@ -12,8 +12,8 @@ from dqspark.lineage import cut, scratch_path
 from dqspark.operators.charts import chart_data
 from dqspark.operators.scorecard import scorecard
 from dqspark.operators.verify import check_chart, recheck, scatter_count
-from dqspark.plans.actions import Intent
-from dqspark.sources.audit import append_log, merge_logs, read_log
+from dqspark.plans.actions import Intent, vet_plan
+from dqspark.sources.audit import append_log, merge_logs, read_log, vetting_log
 
 BAR = Intent("bar", ("l_returnflag", "l_quantity"), "categorical", 4.0)
 
@@ -183,6 +183,28 @@ def audit_trail(spark, sf_dir):
     )
 
 
+@query(
+    "audit_vetting",
+    """SELECT user_id::VARCHAR AS run_id, event_id AS seq,
+  CASE WHEN event_id % 3 = 0 THEN 'code' ELSE 'llm' END AS actor,
+  CASE WHEN event_id % 3 = 0 THEN 'rejected_invalid_action' ELSE 'proposed' END AS action,
+  event_type AS column_name FROM events""",
+)
+def audit_vetting(spark, sf_dir):
+    """Vetted proposals of many data sets as rows of the trail."""
+    n = F.col("event_id")
+    plan = dirt.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("dataset_id"),
+        n.alias("seq"),
+        F.col("event_type").alias("column"),
+        F.when(n % 3 == 0, "magic_fix").otherwise("impute_mean").alias("action_type"),
+        F.lit("why").alias("rationale"),
+    )
+    known = plan.select("dataset_id", "column").distinct()
+    log = vetting_log(vet_plan(plan, known), "cleaning_plan")
+    return log.select("run_id", "seq", "actor", "action", F.get_json_object("detail", "$.column").alias("column_name"))
+
+
 @query(
     "audit_merge",
     """SELECT event_id AS seq, 'code' AS actor FROM events

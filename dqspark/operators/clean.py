@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from dqspark.functions.dates import CANDIDATE_FORMATS, parse_date, spark_pattern
 from dqspark.functions.text import clean_label
 from dqspark.lineage import cut
-from dqspark.operators.frequency import frequency_table, mode_of
+from dqspark.operators.frequency import frequency_table, modes_of
 from dqspark.operators.profile import date_rates, fences
 from dqspark.operators.quantiles import column_quantiles
 from dqspark.operators.similarity import DEFAULT_THRESHOLD, label_mapping
@@ -108,10 +108,14 @@ def fit(df: DataFrame, actions: Sequence[Action], order_by: str | None = None) -
                 capped = a.params.get("cap_percentile") is not None
                 fitted[a.seq].bounds = tuple(at) if capped else fences(*at)
 
+    filled = [a for a in actions if a.action_type == "impute_mode"]
+    if filled:
+        modes = modes_of(df, [a.column for a in filled])
+        for a in filled:
+            fitted[a.seq].value = modes[a.column]
+
     for a in actions:
-        if a.action_type == "impute_mode":
-            fitted[a.seq].value = mode_of(df, a.column)
-        elif a.action_type == "standardize_categories":
+        if a.action_type == "standardize_categories":
             t = a.params.get("fuzzy_threshold")
             mapping = cut(
                 label_mapping(df, a.column, DEFAULT_THRESHOLD if t is None else t, order_by)

@@ -73,6 +73,30 @@ def top_values(frequencies: DataFrame, k: int = TOP_LABELS) -> DataFrame:
     return frequencies.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def modes_of(df: DataFrame, columns: Sequence[str]) -> dict[str, Column | None]:
+    """The mode of every column as ``mode_of`` gives it; columns of a kind share one pass."""
+    kinds: dict[str, list[str]] = {}
+    out: dict[str, Column | None] = {}
+    for c in columns:
+        kind = df.schema[c].dataType
+        if isinstance(kind, (T.IntegralType, T.FloatType, T.DoubleType, T.StringType, T.TimestampType)):
+            kinds.setdefault(_exact_type(kind), []).append(c)
+        else:  # their text has another order than their values
+            out[c] = mode_of(df, c)
+    for kind, cols in kinds.items():
+        best = top_values(frequency_table(_comparable(df, cols), cols, kind), 1)
+        found = {r["column"]: r["value"] for r in best.select("column", "value").collect()}  # a row per column
+        for c in cols:
+            value = found.get(c)
+            if value is None:
+                out[c] = None
+            elif isinstance(df.schema[c].dataType, T.TimestampType):
+                out[c] = F.timestamp_micros(F.lit(int(value)))
+            else:
+                out[c] = F.lit(value).cast(df.schema[c].dataType)
+    return out
+
+
 def mode_of(df: DataFrame, column: str) -> Column | None:
     """The most frequent value, the smallest on ties, as a literal of the column's type; ``None``
     for an empty column.

@@ -168,10 +168,12 @@ def _order_statistics(
     schema = T.StructType(key_fields + _TARGET_FIELDS)
     targets = _first_targets(data, keys, probs)
     done: list[Row] = []
+    if keys:
+        targets = cut(targets)  # read twice where there are many groups
     for step in range(PASSES + 1):
         rows = targets.limit(BROADCAST_ROWS + 1).collect()
         if len(rows) > BROADCAST_ROWS:
-            targets = cut(targets)
+            targets = cut(targets) if step else targets
             for later in range(step, PASSES):
                 targets = cut(_narrow(data, targets, keys, last=later == PASSES - 1))
             settled = spark.createDataFrame(done, schema)

@@ -146,3 +146,23 @@ def test_lines_that_do_not_fit_are_kept(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,n\n1,2\nx,3\n")
     df = read_delimited(spark, str(tmp_path), schema="id int, n int", corrupt_column="_corrupt_record").cache()
     assert sorted((r.id is None, r._corrupt_record) for r in df.collect()) == [(False, None), (True, "x,3")]
+
+
+def test_modes_of_all_kinds_are_filled_together(spark):
+    import decimal
+
+    rows = [(1, "b", 2.5, decimal.Decimal("10.0"), True), (1, "a", 2.5, decimal.Decimal("9.0"), True), (None,) * 5, (2, "a", 1.0, None, False)]
+    df = spark.createDataFrame(rows, "i int, s string, d double, n decimal(5,1), t boolean")
+    out = apply_plan(df, [Action(c, "impute_mode") for c in df.columns]).df
+    assert (1, "a", 2.5, decimal.Decimal("9.0"), True) in [tuple(r) for r in out.collect()]
+    assert [dict(f.jsonValue())["type"] for f in out.schema] == [dict(f.jsonValue())["type"] for f in df.schema]
+
+
+def test_trail_of_profiles_and_checks(spark, mixed):
+    from dqspark.operators.profile import profile
+    from dqspark.sources.audit import check_log, profile_log
+
+    logged = profile_log(profile(mixed, ["age", "salary"]), "r").orderBy("seq").collect()
+    assert [(r.seq, r.action) for r in logged] == [(0, "profiled_column"), (1, "profiled_column")]
+    checks = check_chart(mixed, "c", Intent("bar", ("status",)))
+    assert [(r.seq, r.action, r.run_id) for r in check_log(checks, "r").collect()] == [(1, "check_verified", "r")]
