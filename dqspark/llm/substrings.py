@@ -29,12 +29,13 @@ from dqspark.llm.common import ship, written
 
 LENGTH, GRAM = 50, 16
 WIDTH = LENGTH - GRAM + 1
-#: Bytes of documents handled as one chunk, of text per task of anchors, and of a shard of stretches.
-CHUNK, BUCKET, SHARD = 4 << 20, 8 << 20, 1 << 18
+#: Bytes of documents handled as one chunk, of text per task of anchors, of stretches merged together, and
+#: of a shard of them.
+CHUNK, BUCKET, BATCH, SHARD = 8 << 20, 8 << 20, 1 << 16, 1 << 14
 #: Windows of one document looked at together; a position must fit into the low bits of a key.
 SLICE, LOW = 1 << 22, np.uint64(24)
 NO_ID = np.iinfo(np.int64).max
-SEPARATOR = 0xFF  # in no UTF-8 text
+SEPARATOR = b"\xff"  # in no UTF-8 text
 C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -98,7 +99,7 @@ class Chunk:
 def squeezed(thing) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(thing, protocol=5))
+    return zstandard.ZstdCompressor(level=5).compress(pickle.dumps(thing, protocol=5))
 
 
 def loosened(blob: bytes):
@@ -138,14 +139,15 @@ def short(h: np.ndarray) -> np.ndarray:
 
 
 def packed(h: np.ndarray) -> bytes:
-    """Numbers below 2^48 in six bytes each."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    """Ascending numbers below 2^48 as differences, first all lowest bytes, last the highest, mostly zero."""
+    steps = np.diff(h, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
 
 
 def unpacked(blob: bytes) -> np.ndarray:
     out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel().astype(np.uint64)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(6, -1).T
+    return np.cumsum(out.view("<u8").ravel().astype(np.uint64))
 
 
 def asked(chunk: Chunk, buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -188,8 +190,8 @@ def member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
 def stretches(chunk: Chunk, again: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     """Per bucket the different stretches of text around repeated anchors of a chunk.
 
-    A stretch is all bytes of the windows of one anchor. With it go its anchor's hash, the smallest id
-    in the chunk, and every place where it begins with the id there.
+    A stretch is all bytes of the windows of one anchor. With it go 32 bits of the anchor's hash and every
+    place where it begins with the id there, both as differences, which are small.
     """
     h, first, last, doc = chunk.anchors()
     h = short(h)
@@ -211,10 +213,10 @@ def stretches(chunk: Chunk, again: np.ndarray, buckets: int) -> Iterator[tuple[i
             (
                 b"".join(texts),
                 np.array([len(t) for t in texts], np.int32),
-                np.array([e[0] for e in own.values()], np.uint64),
+                np.array([e[0] & 0xFFFFFFFF for e in own.values()], np.uint32),
                 np.array([len(e[1]) for e in own.values()], np.int32),
-                np.array([a for e in own.values() for a in e[1]], np.int64),
-                np.array([i for e in own.values() for i in e[2]], np.int64),
+                np.diff(np.array([a for e in own.values() for a in e[1]], np.int64), prepend=0),
+                np.diff(np.array([i for e in own.values() for i in e[2]], np.int64), prepend=0),
             )
         )
 
@@ -240,108 +242,125 @@ def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         step *= 2
 
 
+def before(b: np.ndarray) -> np.ndarray:
+    """For every suffix of a shard, where the suffix stands that has one more symbol in front."""
+    out = np.empty(len(b), np.int32)
+    out[np.argsort(b, kind="stable")] = np.arange(len(b), dtype=np.int32)
+    return out
+
+
 def merged(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave the suffixes of shards by their first ``depth`` symbols, from the transforms alone.
 
-    Gives the shard of every suffix in order, and the length of the prefix that each has in common with
-    the one before (``depth`` where that is as long or longer).
+    Gives the suffixes in order, as places in the transforms one after the other, and how many symbols each
+    has in common with the one before (known to two symbols, which a round reads at once;
+    ``depth`` where it is that or more).
     """
-    z = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
-    symbols = np.concatenate(transforms)
-    block = np.zeros(len(z), np.int32)
-    common = np.full(len(z), depth, np.int32)
+    sizes = [len(t) for t in transforms]
+    offsets = np.cumsum([0, *sizes[:-1]])
+    symbols = np.concatenate(transforms).astype(np.uint16)
+    step = np.concatenate([before(t) + np.int32(o) for t, o in zip(transforms, offsets)])
+    at = np.arange(len(symbols), dtype=np.int32)  # of every shard in its own order; between shards in any
+    block = np.zeros(len(at), np.int32)
+    common = np.full(len(at), depth, np.int16)
     common[:1] = 0
-    next_ = np.empty_like(symbols)
-    for h in range(depth):
-        next_[np.argsort(z, kind="stable")] = symbols  # the j-th suffix of a shard reads its j-th symbol
-        order = np.argsort(next_, kind="stable")
-        z, block, s = z[order], block[order], next_[order]
-        border = np.empty(len(z), bool)
+    both = (symbols[step] << np.uint16(8)) | symbols  # the two symbols in front of a suffix
+    leap = step[step]
+    for h in range(0, depth, 2):
+        once = depth - h == 1
+        key = (symbols if once else both)[at]
+        order = np.argsort(key, kind="stable")
+        key, block, at = key[order], block[order], (step if once else leap)[at[order]]
+        border = np.empty(len(at), bool)
         border[:1] = False
-        border[1:] = (s[1:] != s[:-1]) | (block[1:] != block[:-1])
+        border[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
         common[border & (common == depth)] = h
         block = np.cumsum(border, dtype=np.int32)
-    return z, common
+    return at, common
 
 
-def smallest_ids(texts: list[bytes], ids: np.ndarray, depth: int = LENGTH, shard: int = SHARD) -> list[np.ndarray]:
-    """For each window of each text, the smallest id of all texts that hold the same window."""
+def smallest_ids(texts: list[bytes], ids: np.ndarray, depth: int = LENGTH, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each text, text after text, the smallest id of all texts that hold the same
+    window; and how many windows each text has."""
     sizes = np.array([len(t) + 1 for t in texts])
-    shards = (np.cumsum(sizes) - 1) // shard
-    groups = np.split(np.arange(len(texts)), np.flatnonzero(np.diff(shards)) + 1)
-    transforms, values, orders = [], [], []
-    for group in groups:
-        text = np.frombuffer(b"".join(texts[i] + bytes([SEPARATOR]) for i in group), np.uint8)
-        b, order = transform(text)
-        value = np.full(len(text), NO_ID)
-        at = np.concatenate([[0], np.cumsum(sizes[group])])
-        for i, a in zip(group.tolist(), at.tolist()):
-            value[a : a + sizes[i] - depth] = ids[i]
-        transforms.append(b)
-        orders.append(order)
-        values.append(value[order])
-    z, common = merged(transforms, depth)
-    by_shard = np.argsort(z, kind="stable")
-    value = np.empty(len(z), np.int64)
-    value[by_shard] = np.concatenate(values)
+    ends = np.cumsum(sizes)
+    whole = np.frombuffer(b"".join([x for t in texts for x in (t, SEPARATOR)]), np.uint8)
+    windows = np.maximum(sizes - depth, 0)
+    place = np.arange(len(whole)) - np.repeat(ends - sizes, sizes)
+    is_window = place < np.repeat(windows, sizes)
+    value = np.where(is_window, np.repeat(ids, sizes), NO_ID)
+    numbers = (ends - 1) // shard
+    cuts = [0, *ends[np.flatnonzero(np.diff(numbers))].tolist(), len(whole)]
+    made = [transform(whole[a:z]) for a, z in zip(cuts, cuts[1:])]
+    suffixes = np.concatenate([order + a for (_, order), a in zip(made, cuts)])
+    at, common = merged([b for b, _ in made], depth)
+    at = suffixes[at]
     begins = np.flatnonzero(common < depth)  # intervals of equal windows
-    least = np.minimum.reduceat(value, begins)[np.cumsum(common < depth) - 1]
-    out, at = [], 0
-    for group, order in zip(groups, orders):
-        own = np.empty(len(order), np.int64)
-        own[order] = least[by_shard[at : at + len(order)]]
-        at += len(order)
-        a = 0
-        for i in group.tolist():
-            out.append(own[a : a + sizes[i] - depth])
-            a += sizes[i]
-    return out
+    least = np.minimum.reduceat(value[at], begins)
+    out = np.empty(len(whole), np.int64)
+    out[at] = np.repeat(least, np.diff(np.append(begins, len(at))))
+    return out[is_window], windows
+
+
+def expanded(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each first one on, as many as told, one run after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def covered(pdf: pd.DataFrame) -> pd.DataFrame:
     """For every chunk in a bucket, the bytes that its stretches lose: begins and ends."""
-    sent = [loosened(b) for b in pdf["stretches"]]
+    sent = [(*x[:4], np.cumsum(x[4]), np.cumsum(x[5])) for x in map(loosened, pdf["stretches"])]
     known: dict[bytes, int] = {}
-    anchors, least, each = [], [], []
+    each, lows, anchors = [], [], []
     for data, sizes, hashes, counts, _, ids in sent:
         ends = np.cumsum(sizes).tolist()
-        low = np.minimum.reduceat(ids, np.concatenate([[0], np.cumsum(counts)[:-1]])).tolist()
-        own = []
-        for a, z, h, i in zip([0, *ends[:-1]], ends, hashes.tolist(), low):
-            k = known.setdefault(data[a:z], len(known))
-            if k == len(anchors):
-                anchors.append(h)
-                least.append(i)
-            else:
-                least[k] = min(least[k], i)
-            own.append(k)
-        each.append(own)
-    texts, least, anchors = list(known), np.array(least, np.int64), np.array(anchors, np.uint64)
+        each.append(np.array([known.setdefault(data[a:z], len(known)) for a, z in zip([0, *ends[:-1]], ends)]))
+        lows.append(np.minimum.reduceat(ids, np.cumsum(counts) - counts))
+        anchors.append(hashes)
+    texts, own = list(known), np.concatenate(each)
+    least = np.full(len(texts), NO_ID)
+    np.minimum.at(least, own, np.concatenate(lows))
+    anchor = np.empty(len(texts), np.uint32)
+    anchor[own] = np.concatenate(anchors)
+    # (two anchors that share 32 bits are merged together, which changes no window)
     # an anchor with a single stretch needs no merging: its copies are equal throughout
-    _, which, copies = np.unique(anchors, return_inverse=True, return_counts=True)
+    _, which, copies = np.unique(anchor, return_inverse=True, return_counts=True)
     unlike = np.flatnonzero(copies[which] > 1)
-    by_window = dict(zip(unlike.tolist(), smallest_ids([texts[i] for i in unlike], least[unlike]))) if len(unlike) else {}
+    # runs of windows with the same smallest id: one for a stretch that stands alone
+    size = np.array([len(t) for t in texts])
+    first, last, low, of = [np.zeros(len(texts), np.int64)], [size - LENGTH], [least], [np.arange(len(texts))]
+    if len(unlike):
+        # anchors share no window, so a few of them at a time are merged, as much as a cache holds
+        unlike = unlike[np.argsort(anchor[unlike], kind="stable")]
+        other = np.flatnonzero(np.diff(anchor[unlike])) + 1
+        so_far = np.cumsum(size[unlike])
+        cuts = other[np.flatnonzero(np.diff(so_far[other - 1] // BATCH))] if len(other) else []
+        parts = [smallest_ids([texts[i] for i in part], least[part]) for part in np.split(unlike, cuts)]
+        values, windows = (np.concatenate(x) for x in zip(*parts))
+        text = np.repeat(unlike, windows)
+        number = np.arange(len(values)) - np.repeat(np.cumsum(windows) - windows, windows)
+        begin = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (text[1:] != text[:-1])]))
+        end = np.append(begin[1:], len(values)) - 1
+        alone = np.ones(len(texts), bool)
+        alone[unlike] = False
+        first, last, low, of = ([x[0][alone]] for x in (first, last, low, of))
+        for xs, x in ((first, number[begin]), (last, number[end]), (low, values[begin]), (of, text[begin])):
+            xs.append(x)
+    first, last, low, of = map(np.concatenate, (first, last, low, of))
+    order = np.argsort(of, kind="stable")
+    first, last, low = first[order], last[order], low[order]
+    runs = np.bincount(of, minlength=len(texts))
+    start = np.cumsum(runs) - runs
     rows = []
-    for chunk, own, (_, sizes, _, counts, places, ids) in zip(pdf["chunk"].tolist(), each, sent):
-        begins, ends = [], []
-        starts = np.concatenate([[0], np.cumsum(counts)])
-        for k, size, a, z in zip(own, sizes.tolist(), starts[:-1].tolist(), starts[1:].tolist()):
-            windows = by_window.get(k)
-            at, who = places[a:z], ids[a:z]
-            if windows is None or (windows == windows[0]).all():
-                low = least[k] if windows is None else windows[0]
-                hit = at[who > low]
-                begins.append(hit)
-                ends.append(hit + size)
-                continue
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(windows)) + 1, [len(windows)]])
-            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                hit = at[who > windows[x]]
-                begins.append(hit + x)
-                ends.append(hit + y - 1 + LENGTH)
-        begins, ends = np.concatenate(begins), np.concatenate(ends)
-        if len(begins):
-            rows.append((chunk, squeezed((begins, ends))))
+    for chunk, k, (_, _, _, counts, places, ids) in zip(pdf["chunk"].tolist(), each, sent):
+        k = np.repeat(k, counts)
+        run = expanded(start[k], runs[k])
+        place, who = np.repeat(places, runs[k]), np.repeat(ids, runs[k])
+        hit = who > low[run]
+        if hit.any():
+            run, place = run[hit], place[hit]
+            rows.append((chunk, squeezed((place + first[run], place + last[run] + LENGTH))))
     return pd.DataFrame(rows, columns=["chunk", "gone"])
 
 
