@@ -22,10 +22,11 @@ def line_windows(docs: DataFrame) -> DataFrame:
     k1, k2 = row_keys(docs, ["doc_id", "text"])
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), docs["doc_id"].alias("id"), F.split(docs["text"], "\n").alias("l"))
     rows = rows.where(F.size("l") >= 3)
+    said = WORD_CHAR.replace("\\", "\\\\")  # within a SQL string
     windows = F.expr(
         "transform(sequence(0, size(l) - 3), i -> struct(i AS at,"
         " xxhash64(l[i], l[i + 1], l[i + 2]) AS h1, xxhash64('w', l[i + 2], l[i + 1], l[i]) AS h2,"
-        rf" l[i] RLIKE '{WORD_CHAR}' OR l[i + 1] RLIKE '{WORD_CHAR}' OR l[i + 2] RLIKE '{WORD_CHAR}' AS said))"
+        rf" l[i] RLIKE '{said}' OR l[i + 1] RLIKE '{said}' OR l[i + 2] RLIKE '{said}' AS said))"
     )
     return rows.select("k1", "k2", "id", F.inline(windows)).where("said").drop("said")
 

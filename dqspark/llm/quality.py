@@ -25,7 +25,7 @@ RULES: tuple[tuple[str, str, str | None], ...] = (
     ("symbols", "n_symbols > 0.2 * n_words", None),
     ("capitals", "n_upper > 0.5 * word_chars", None),
     ("shouting", "n_exclaim > 0.3 * n_words", None),
-    ("lines", "n_dup_lines > 0.3 * n_lines", None),
+    ("lines", "n_dup_lines > 0.7 * n_lines", None),
     ("windows", "n_repeat_words > 0.4 * n_words", "n_words >= 50 AND n_repeat_words < 0.1 * n_words"),
     ("variety", "n_distinct < 0.15 * n_words", None),
     ("lengths", "word_chars < 2 * n_words OR word_chars > 14 * n_words", None),
@@ -111,9 +111,10 @@ class VoteModel:
     good: list[dict[str, float]]
 
     def log_odds(self, pattern: str) -> float:
-        """The logarithm of the odds that a document with these votes is bad."""
+        """The logarithm of the odds that a document with these votes is bad; who abstains says nothing."""
         total = math.log(self.bad_share / (1 - self.bad_share))
-        return total + sum(math.log(b[v] / g[v]) for b, g, v in zip(self.bad, self.good, pattern, strict=True))
+        cast = [x for x in zip(self.bad, self.good, pattern, strict=True) if x[2] != "-"]
+        return total + sum(math.log(b[v] / g[v]) for b, g, v in cast)
 
     def accuracy(self) -> dict[str, float]:
         """Per rule: how often its votes are right, where it votes."""
@@ -125,16 +126,17 @@ class VoteModel:
         return out
 
 
-#: Votes counted before any is seen: a rule that rejects is held to be right nine times in ten.
-PRIOR = {"bad": {"r": 4.5, "k": 0.5, "-": 5.0}, "good": {"r": 0.5, "k": 4.5, "-": 45.0}}
+#: Votes counted before any is seen, and the largest share of good documents that a rule may vote to reject.
+PRIOR = {"bad": {"r": 4.5, "k": 0.5, "-": 5.0}, "good": {"r": 0.5, "k": 1.5, "-": 8.0}}
+FALSE_REJECTS = 0.01
 
 
 def fit(counts: dict[str, int], rounds: int = 100) -> VoteModel:
     """Expectation-maximisation over vote patterns and how many documents have each.
 
-    Starts from the belief that a vote to reject is right. Abstaining is an outcome with
-    probabilities of its own, so the silence of a rule that fits one kind of junk says little.
-    Without documents the prior stands.
+    Starts from the belief that a vote to reject is right, and holds on to this much of it: a rule
+    rejects at most ``FALSE_REJECTS`` of the good documents. Else, where rules find different kinds of
+    junk, the commonest kind could be learned as the good one. Without documents the prior stands.
     """
     patterns = sorted(counts)
     belief = {p: 0.9 if "r" in p else 0.05 for p in patterns}
@@ -148,6 +150,8 @@ def fit(counts: dict[str, int], rounds: int = 100) -> VoteModel:
                     total[p[i]] += counts[p] * (belief[p] if side == "bad" else 1 - belief[p])
                 whole = sum(total.values())
                 votes[side].append({v: n / whole for v, n in total.items()})
+                if side == "good":
+                    votes[side][-1]["r"] = min(votes[side][-1]["r"], FALSE_REJECTS)
         share = (1 + sum(counts[p] * belief[p] for p in patterns)) / (10 + sum(counts.values()))
         model = VoteModel(share, votes["bad"], votes["good"])
         now = {p: 1 / (1 + math.exp(-max(-700.0, min(700.0, model.log_odds(p))))) for p in patterns}
