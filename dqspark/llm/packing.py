@@ -10,8 +10,8 @@ the minimum of a sliding window, kept in a monotone queue.
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +27,7 @@ LENGTH, END_TOKEN = 4096, 2
 SENTENCE_CUT, OTHER_CUT = 16, 128
 #: Tokens between cut places where there is no better one; tokens of a round; words remembered.
 STRIDE, ROUND, WORDS = 256, 1 << 18, 1_000_000
+CLOSING = b".,!?;:*$&#%"
 FREE = [1 << k for k in range(LENGTH.bit_length())]  # windows of these lengths are not padded
 
 
@@ -39,6 +40,7 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -52,37 +54,63 @@ class WordTokens:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1 << 12, np.int64)  # where each word's ids begin; its successor's is their end
 
-    def learn(self, words: list[bytes]) -> None:
-        """Put the ids of new words behind those of the known ones."""
-        known, n = self.known, len(self.known)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        lists = [e.ids for e in found]
-        ends = self.bounds[n] + np.cumsum([len(x) for x in lists])
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """Put the ids of new words behind those of the known ones; gives all words that are new.
+
+        Closing punctuation after a letter or digit is a part of its own in the splitting pattern, and ASCII
+        letters are lower-cased: a word is looked up as its stem, and only new stems are encoded.
+        """
+        known = self.known
+        stems, parts = {}, []
+        for w in words:
+            stem = w.rstrip(CLOSING)
+            if not stem or not stem[-1:].isalnum():
+                stem = w
+            parts.append((stem.lower() if stem.isascii() else stem, w[len(stem) :]))
+            for x in parts[-1]:
+                if x and x not in known:
+                    stems[x] = None
+        if stems:
+            found = self.tokenizer.encode_batch_fast([x.decode() for x in stems], add_special_tokens=False)
+            lists = [e.ids for e in found]
+            self.store(list(stems), np.array([i for x in lists for i in x], np.uint32), list(map(len, lists)))
+        rest = [(w, *p) for w, p in zip(words, parts) if w not in known]
+        if rest:
+            ids, sizes = self.gather([known[x] for _, *p in rest for x in p if x])
+            first = np.cumsum([0] + [2 if closing else 1 for _, _, closing in rest[:-1]])
+            self.store([r[0] for r in rest], ids, np.add.reduceat(sizes, first))
+        return [*stems, *(r[0] for r in rest)]
+
+    def store(self, words: list[bytes], ids: np.ndarray, sizes) -> None:
+        n, used = len(self.known), int(self.bounds[len(self.known)])
         while n + len(words) >= len(self.bounds):
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        while ends[-1] > len(self.ids):
+        while used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.bounds[n] : ends[-1]] = [i for x in lists for i in x]
-        self.bounds[n + 1 : n + 1 + len(words)] = ends
-        known.update(zip(words, range(n, n + len(words))))
+        self.ids[used : used + len(ids)] = ids
+        self.bounds[n + 1 : n + 1 + len(words)] = used + np.cumsum(sizes)
+        self.known.update(zip(words, range(n, n + len(words))))
+
+    def gather(self, found: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words one after the other, and how many each has."""
+        w = np.array(found, np.int64)
+        starts, sizes = self.bounds[w], self.bounds[w + 1] - self.bounds[w]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, then the end token."""
         if any(a in text for a in self.added):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array([*ids, END_TOKEN], np.uint32)
-        words, known = text.encode().split(), self.known
+        words, known, new = text.encode().split(), self.known, []
         if not words:
             return np.array([END_TOKEN], np.uint32)
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            self.learn(new)
-        w = np.array([known[x] for x in words], np.int64)
-        starts, sizes = self.bounds[w], self.bounds[w + 1] - self.bounds[w]
-        ends = np.cumsum(sizes)
-        out = np.empty(int(ends[-1]) + 1, np.uint32)
-        out[:-1] = self.ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
-        out[-1] = END_TOKEN
+        found = list(map(known.get, words))
+        if None in found:
+            new = self.learn(list({w: None for w, k in zip(words, found) if k is None}))
+            found = [known[w] if k is None else k for w, k in zip(words, found)]
+        out = np.append(self.gather(found)[0], np.uint32(END_TOKEN))
         if len(known) > WORDS:  # the memory is full: what this text brought goes again
             for x in new:
                 del known[x]
@@ -120,27 +148,31 @@ def best_cuts(places: np.ndarray, cost: np.ndarray, length: int = LENGTH) -> lis
     """The cheapest cuts: the places (first and last included) at which windows begin and end."""
     n = len(places)
     at, pay = places.tolist(), cost.tolist()
-    free: list[list[int]] = [[] for _ in range(n)]
+    free: dict[int, list[int]] = {}
     for size in FREE:
         if size <= length:
-            hit = np.searchsorted(places, places - size)
-            for j in np.flatnonzero(places[np.minimum(hit, n - 1)] == places - size).tolist():
-                free[j].append(int(hit[j]))
+            hit = np.minimum(np.searchsorted(places, places - size), n - 1)
+            ends = np.flatnonzero(places[hit] == places - size)
+            for j, i in zip(ends.tolist(), hit[ends].tolist()):
+                free.setdefault(j, []).append(i)
     best, come = [0] * n, [0] * n
-    queue: deque[int] = deque([0])
     key = [0] * n  # cost so far plus place: its minimum over the window is the best cut before
+    queue, head = [0], 0
     for j in range(1, n):
         p = at[j]
-        while at[queue[0]] < p - length:
-            queue.popleft()
-        i = queue[0]
-        low, prev = key[i] + length - p, i
-        for i in free[j]:
-            if best[i] < low:
-                low, prev = best[i], i
+        far = p - length
+        while at[queue[head]] < far:
+            head += 1
+        prev = queue[head]
+        low = key[prev] - far
+        if j in free:
+            for i in free[j]:
+                if best[i] < low:
+                    low, prev = best[i], i
         low += pay[j]
-        best[j], come[j], key[j] = low, prev, low + p
-        while queue and key[queue[-1]] >= low + p:
+        best[j], come[j] = low, prev
+        key[j] = low = low + p
+        while len(queue) > head and key[queue[-1]] >= low:
             queue.pop()
         queue.append(j)
     out = [n - 1]
