@@ -49,15 +49,14 @@ CANDIDATE_FORMATS = [
     "%d %b %Y",
     "%d %B %Y",
     "%d-%b-%Y",
-    "%Y-%m-%dT%H:%M:%S%z",
-    "%Y-%m-%dT%H:%M:%S.%f%z",
-    "%Y-%m-%d %H:%M:%S%z",
     "%m/%d/%Y %I:%M:%S %p",
     "%m/%d/%Y %I:%M %p",
     "%Y-%m-%d %I:%M:%S %p",
     "%a, %d %b %Y %H:%M:%S",
     "%A, %B %d, %Y",
 ]
+# Formats with an offset from UTC, tried after those.
+ZONED_FORMATS = ["%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%S.%f%z", "%Y-%m-%d %H:%M:%S%z"]
 
 
 class UnknownDateFormat(ValueError):

@@ -74,7 +74,9 @@ def top_values(frequencies: DataFrame, k: int = TOP_LABELS) -> DataFrame:
 
 
 def modes_of(df: DataFrame, columns: Sequence[str]) -> dict[str, Column | None]:
-    """The mode of every column as ``mode_of`` gives it; columns of a kind share one pass."""
+    """The mode of every column as a literal of its type, the smallest value on ties; ``None`` for an empty
+    column. Columns of a kind share one pass, and instants never go through text.
+    """
     kinds: dict[str, list[str]] = {}
     out: dict[str, Column | None] = {}
     for c in columns:
@@ -82,7 +84,8 @@ def modes_of(df: DataFrame, columns: Sequence[str]) -> dict[str, Column | None]:
         if isinstance(kind, (T.IntegralType, T.FloatType, T.DoubleType, T.StringType, T.TimestampType)):
             kinds.setdefault(_exact_type(kind), []).append(c)
         else:  # their text has another order than their values
-            out[c] = mode_of(df, c)
+            value = mode_of(df, c)
+            out[c] = value if value is None else F.lit(value).cast(kind)
     for kind, cols in kinds.items():
         best = top_values(frequency_table(_comparable(df, cols), cols, kind), 1)
         found = {r["column"]: r["value"] for r in best.select("column", "value").collect()}  # a row per column
@@ -97,24 +100,17 @@ def modes_of(df: DataFrame, columns: Sequence[str]) -> dict[str, Column | None]:
     return out
 
 
-def mode_of(df: DataFrame, column: str) -> Column | None:
-    """The most frequent value, the smallest on ties, as a literal of the column's type; ``None``
-    for an empty column.
+def mode_of(df: DataFrame, column: str) -> str | None:
+    """The most frequent value as text, the smallest on ties; ``None`` for an empty column.
 
     A two-stage count and a distributed top-1, where ``mode()`` would hold every distinct value
     in one task.
     """
-    kind = df.schema[column].dataType
     counted = (
-        _comparable(df, [column])
-        .where(ref(column).isNotNull())
+        df.where(ref(column).isNotNull())
         .groupBy(ref(column).alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     best = counted.orderBy(F.desc("n"), "value").limit(1).select(F.col("value").cast("string"))
     row = best.first()
-    if row is None:
-        return None
-    if isinstance(kind, T.TimestampType):
-        return F.timestamp_micros(F.lit(int(row[0])))
-    return F.lit(row[0]).cast(kind)
+    return row and row[0]

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.functions.dates import CANDIDATE_FORMATS, parse_date
+from dqspark.functions.dates import CANDIDATE_FORMATS, ZONED_FORMATS, parse_date
 from dqspark.operators.frequency import distinct_counts, frequency_table, top_values
 from dqspark.operators.quantiles import column_quantiles
 from dqspark.operators.similarity import DEFAULT_THRESHOLD, near_duplicates
@@ -85,7 +85,7 @@ def _missing(rows: Column, valid: Column) -> Column:
     return F.round(F.try_divide(rows - valid, rows), DIGITS)
 
 
-def date_rates(frequencies: DataFrame, formats: Sequence[str] = CANDIDATE_FORMATS) -> DataFrame:
+def date_rates(frequencies: DataFrame, formats: Sequence[str] = (*CANDIDATE_FORMATS, *ZONED_FORMATS)) -> DataFrame:
     """``(column, date_format, rate)``: the best format per column, the earlier one on ties.
 
     Works on the frequency table, so each distinct text is parsed once.

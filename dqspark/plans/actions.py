@@ -91,7 +91,10 @@ def read_plan(plan: DataFrame, dataset_id: str | None = None) -> list[Action]:
     """
     if "dataset_id" in plan.columns:
         if dataset_id is None:
-            raise ValueError("the plan table holds plans of many datasets: name one")
+            held = [r[0] for r in plan.select("dataset_id").distinct().limit(2).collect()]
+            if len(held) > 1:
+                raise ValueError("the plan table holds plans of many datasets: name one")
+            dataset_id = held[0] if held else None
         plan = plan.where(F.col("dataset_id") == dataset_id)
     rows = plan.orderBy("seq").collect()
     return [

@@ -90,7 +90,7 @@ def read_delimited(
     """A delimited text table with a header; fields may be quoted, a quote inside is doubled.
 
     Delimiter and encoding are detected per file where not given: files that share both are read
-    together, and the parts are united by column name. ``multi_line`` allows line ends
+    together, and the parts are united by column name (files with other columns are an error). ``multi_line`` allows line ends
     inside quotes; a file is then read by one task. Without ``schema`` types are inferred, which reads the
     data once more. With ``corrupt_column`` lines that do not fit are kept there as text.
     """
@@ -123,7 +123,9 @@ def read_delimited(
             wanted = wanted.add(corrupt_column, T.StringType())
             reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
         parts.append(reader.schema(wanted).csv(files))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), _same_types(parts))
+    if len({frozenset(df.columns) for df in parts}) > 1:
+        raise ValueError(f"files below {path} have different columns: {[df.columns for df in parts]}")
+    return reduce(DataFrame.unionByName, _same_types(parts))
 
 
 def _same_types(parts: list[DataFrame]) -> list[DataFrame]:

@@ -65,7 +65,7 @@ def test_plans_of_many_data_sets(spark):
     left = approved(plan, rejected)
     assert read_plan(left, "a") == [] and [a.column for a in read_plan(left, "b")] == ["y"]
     with pytest.raises(ValueError):
-        read_plan(left)
+        read_plan(plan)
 
 
 def test_an_action_with_a_wrong_parameter_is_skipped(spark):
