@@ -134,8 +134,10 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(fps))
     placed = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("component"))
-    ids = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    return rows, placed.join(ids, "component").select("fp", "component", "component_id")
+    ids = placed.groupBy(F.col("component").alias("of")).agg(F.min("first").alias("component_id"))
+    # null-safe, so that the join has an exchange of its own and a large component is split
+    placed = placed.join(ids, F.col("component").eqNullSafe(F.col("of")))
+    return rows, placed.select("fp", "component", "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
