@@ -158,7 +158,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns; of rows
     with that same id, the one with the smallest key."""
     rows, placed = near_duplicates(docs)
-    first = rows.join(placed, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return first_rows(docs, rows, placed, "fp")
+
+
+def first_rows(docs: DataFrame, rows: DataFrame, placed: DataFrame, by: str) -> DataFrame:
+    """The first row of each component, with all its columns; ``by`` leads from a row to its component."""
+    first = rows.join(placed, by).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = first.groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
     k1, k2 = row_keys(docs, ["doc_id", "text"])
     every = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
