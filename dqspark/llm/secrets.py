@@ -1,6 +1,6 @@
 """Secrets in texts: named patterns, and a battery of randomness tests for strings without a name.
 
-A run of encoded characters that no pattern covers is flagged if it looks drawn at random from its
+A part of a run of encoded characters that no pattern covers is flagged if it looks drawn at random from its
 encoding's alphabet (chi-squared test of uniform symbols, runs test, serial correlation: none may
 reject) and if ordinary writing is rejected as its origin. That rejection rests on how seldom two of its
 symbols agree; the longer the string, the smaller its p-value can get. Over the whole corpus the
@@ -20,8 +20,14 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: Runs that the battery looks at.
-RUN = r"[A-Za-z0-9+/=_-]{20,}"
+#: Stands for the characters of a base span where runs are looked for.
+MASK = "\x01"
+#: Runs that the battery looks at; what a base span leaves of a run may be as short as a part.
+RUN = r"[A-Za-z0-9+/=_-]{20,}|(?<=\x01)[A-Za-z0-9+/=_-]{16,}|[A-Za-z0-9+/=_-]{16,}(?=\x01)"
+#: Parts of a run: between the '=' inside it; where such a part fits no encoding, by alphabet.
+PART = r"[A-Za-z0-9+/_-]{16,}(?:=+$)?"
+FITS = r"^(?:[A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$"
+NARROW = (r"[A-Za-z0-9+/]{16,}(?:=+$)?", r"[A-Za-z0-9_-]{16,}(?:=+$)?")
 #: Encoding, pattern of the whole string, alphabet, chance that two symbols of ordinary writing in it agree.
 ENCODINGS = (
     ("hex", "^([0-9]*[a-f]+[0-9a-f]*|[0-9]*[A-F]+[0-9A-F]*)$", "0123456789abcdef", 0.125),
@@ -64,6 +70,29 @@ def spans_of(text: str, pattern: str, group: str | None = None, least: int = 0)
     return F.expr(f"CASE WHEN {text} RLIKE '{p}' THEN {let} ELSE {NO_SPANS} END")
 
 
+def masked(text: str, pattern: str, group: int = 0, least: int = 0) -> Column:
+    """The text with ``MASK`` for every character of a match whose group is not shorter than ``least``."""
+    p = pattern.replace("\\", "\\\\").replace("'", "\\'")
+    whole, kept = (f"regexp_extract_all({text}, '{p}', {g})" for g in (0, group))
+    covers = f"zip_with({whole}, {kept}, (m, g) -> if(length(g) >= {least}, repeat('{MASK}', length(m)), m))"
+    joined = f"array_join(zip_with(split({text}, '{p}', -1), {covers}, (a, m) -> concat(a, coalesce(m, ''))), '')"
+    return F.expr(f"CASE WHEN {text} RLIKE '{p}' THEN {joined} ELSE {text} END")
+
+
+def parts(runs: DataFrame) -> DataFrame:
+    """The parts of runs that are tested, with their places: a name glued to a key, or the folders before it,
+    are not of the key's encoding."""
+
+    def cut(df: DataFrame, *patterns: str) -> DataFrame:
+        places = F.array_distinct(F.concat(*[spans_of("s", p) for p in patterns]))
+        df = df.withColumn("place", F.explode(places))
+        place = "start + place.start AS start", "start + place.stop AS stop"
+        return df.selectExpr("k1", "k2", *place, "substr(s, place.start + 1, place.stop - place.start) AS s")
+
+    found = cut(runs, PART)
+    return found.where(F.col("s").rlike(FITS)).union(cut(found.where(~F.col("s").rlike(FITS)), *NARROW))
+
+
 def normal_cdf(z: str) -> str:
     """The normal distribution function by its logistic approximation, right to 0.0002."""
     return f"(1 / (1 + exp(least(700D, greatest(-700D, -1.5976D * ({z}) - 0.07056D * pow({z}, 3))))))"
@@ -160,21 +189,25 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     found = text.select(
         "k1", "k2", "doc_id", "t",
         spans_of("t", ASSIGN, "1", 8).alias("assign"), spans_of("t", ACCESS).alias("access"),
-        spans_of("t", HEX).alias("hex"), spans_of("t", RUN).alias("run"),
+        spans_of("t", HEX).alias("hex"), masked("t", ASSIGN, 1, 8).alias("u"),
     )
+    for pattern in (ACCESS, HEX):
+        found = found.withColumn("u", masked("u", pattern))
+    found = found.withColumn("run", spans_of("u", RUN))
     tagged = ", ".join(
         f"transform({kind}, x -> struct(x.start AS start, {i} AS kind, x.stop AS stop))" for i, kind in enumerate(KINDS[:3])
     )
     found = found.withColumn("base", F.expr(f"sort_array(concat({tagged}))"))
-    free = "filter(run, r -> NOT exists(base, b -> b.start < r.stop AND r.start < b.stop))"
-    strings = f"transform({free}, r -> struct(r.start AS start, r.stop AS stop, substr(t, r.start + 1, r.stop - r.start) AS s))"
+    strings = "transform(run, r -> struct(r.start AS start, r.stop AS stop, substr(t, r.start + 1, r.stop - r.start) AS s))"
     found = written(found.select("k1", "k2", "doc_id", "base", F.expr(strings).alias("run")), "secrets")
-    tested = battery(found.where(F.size("run") > 0).select("k1", "k2", F.inline("run")))
+    tested = battery(parts(found.where(F.size("run") > 0).select("k1", "k2", F.inline("run"))))
     tested = written(tested.select("k1", "k2", "start", "stop", "band", "bucket", "looks_random"), "battery")
     flagged = tested.join(F.broadcast(thresholds(tested)), "band").where("bucket >= least AND looks_random")
     more = flagged.groupBy("k1", "k2").agg(
         F.collect_set(F.struct("start", F.lit(3).alias("kind"), "stop")).alias("more")
     )
+    inner = "exists(more, y -> y <> x AND y.start <= x.start AND x.stop <= y.stop)"
+    more = more.withColumn("more", F.expr(f"filter(more, x -> NOT {inner})"))
     every = found.join(more, ["k1", "k2"], "left")
     spans = F.expr("sort_array(concat(base, coalesce(more, filter(base, x -> false))))")
     return every.select("doc_id", "base", spans.alias("spans"))

@@ -156,6 +156,26 @@ def test_secret_spans(spark):
     assert flagged <= set(keys) and len(flagged) >= 4
 
 
+def test_secrets_glued_to_names_and_paths(spark):
+    rng = random.Random(15)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def key(n, alphabet):
+        return "".join(rng.choice(alphabet) for _ in range(n))
+
+    glued = [("AWS_SECRET_ACCESS_KEY=", letters + upper + "+/"), ("SIGNING_KEY=", letters + upper), ("x=", letters), ("/my-app/", letters + upper)]
+    cases = [(name, key(60, alphabet)) for name, alphabet in glued for _ in range(6)]
+    cases += [("AKIAABCDEFGH1234=", key(60, letters + upper)) for _ in range(6)]  # a base span in the same run
+    rows = scan_secrets(documents(spark, [f"see {name}{k} there" for name, k in cases])).collect()
+    seen = collections.Counter()
+    for r in rows:
+        name, k = cases[r.doc_id]
+        start = 4 + len(name)
+        seen[name] += any(s.kind == 3 and s.start >= start - len("app/") and s.stop == start + len(k) for s in r.spans)
+    assert set(seen) == {name for name, _ in cases} and min(seen.values()) >= 4, seen
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert quality_rules(none).count() == 0
