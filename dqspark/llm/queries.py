@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqspark.llm import urls
+from dqspark.llm.divergence import audit_sources
 from dqspark.llm.kdtree import top_k
 from dqspark.llm.lines import dedup_lines
 from dqspark.llm.mixing import mix
@@ -146,3 +147,50 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 @query("op9_exact_top_k", TOP_K_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), every=50)
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+),
+w AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+),
+l AS MATERIALIZED (
+  SELECT lang, term, count(*)::HUGEINT AS c FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM l GROUP BY lang),
+k AS MATERIALIZED (
+  SELECT g.lang, g.source, l.term, l.c AS lc, coalesce(x.c, 0)::HUGEINT AS c
+  FROM g JOIN l ON g.lang = l.lang
+  LEFT JOIN (SELECT lang, source, term, count(*) AS c FROM w GROUP BY ALL) x
+    ON x.lang = g.lang AND x.source = g.source AND x.term = l.term
+),
+t AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM k GROUP BY lang, source),
+p AS MATERIALIZED (
+  SELECT k.lang, k.source, k.term, k.c, 1 + 1000000000 * (k.c + 2) // (t.n + 2 * v.v)::HUGEINT AS p,
+         1 + 1000000000 * (k.lc + 2) // (v.n + 2 * v.v)::HUGEINT AS q
+  FROM k JOIN t ON t.lang = k.lang AND t.source = k.source JOIN v ON v.lang = k.lang
+),
+s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts
+) WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
