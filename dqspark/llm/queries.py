@@ -17,6 +17,7 @@ from dqspark.llm.packing import pack
 from dqspark.llm.quality import BASE, quality_rules
 from dqspark.llm.secrets import scan_secrets, told
 from dqspark.llm.simhash import simhash_components
+from dqspark.llm.spans import align_tokens
 from dqspark.llm.substrings import remove_repeats
 from dqspark.llm.tokens import token_counts
 
@@ -194,3 +195,8 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 @query("op11_source_divergence", DIVERGENCE_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
