@@ -20,6 +20,7 @@ from dqspark.llm.simhash import simhash_components
 from dqspark.llm.spans import align_tokens
 from dqspark.llm.substrings import remove_repeats
 from dqspark.llm.tokens import token_counts
+from dqspark.llm.toxicity import judge_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -200,3 +201,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_token_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
