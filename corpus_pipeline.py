@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dqspark.llm.alike import keep_distinct
 from dqspark.llm.common import written
 from dqspark.llm.lines import drop_repeated_lines
 from dqspark.llm.mixing import mixed_documents
 from dqspark.llm.packing import pack
 from dqspark.llm.quality import keep_good
 from dqspark.llm.queries import tokenizer_file
+from dqspark.llm.simhash import keep_one
 
 #: SQL can express neither the learned votes nor the mix and the packing; tests compare with brute force.
 ORACLE_SQL = None
@@ -27,8 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, of similarity 0.8 or more over five-word shingles."""
-    return keep_distinct(docs)
+    """One document, that of the smallest id, of each group linked by fingerprints of at most four different bits."""
+    return keep_one(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
