@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,29 @@ from pyspark.sql import functions as F
 from dqspark.llm.common import ship, written
 
 MARK = "▁"
-#: Words a worker remembers, and the longest one remembered; words of documents that go into one chunk.
-WORDS, LONG, CHUNK = 400_000, 64, 1 << 20
+#: Words a worker remembers, and the longest one remembered; different pairs of documents that go
+#: into one chunk, and documents that are split into words together.
+WORDS, LONG, CHUNK, TOGETHER = 400_000, 64, 1 << 20, 1024
 
 
 @dataclass
 class Aligned:
-    """The tokens of a text and where they meet. ``pairs`` holds each overlapping pair of tokens, A's id in the upper half."""
+    """The tokens of some texts and where they meet. ``pairs`` holds the overlapping pairs of tokens of all texts, A's
+    id in the upper half, those of text i from ``bounds[i]`` to ``bounds[i + 1]``; ``sound`` says whether both sides
+    give back the text's bytes."""
+
+    sound: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    bounds: np.ndarray
+    pairs: np.ndarray
+    told: list[bytes]
+
+
+@dataclass
+class Document:
+    """As above for one text."""
 
     n_a: int
     n_b: int
@@ -41,7 +58,7 @@ class Aligned:
     told: bytes
 
 
-NOTHING = Aligned(0, 0, 0, np.zeros(0, np.int64), b"")
+NOTHING = Document(0, 0, 0, np.zeros(0, np.int64), b"")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -52,12 +69,15 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def token_ends(coarse: np.ndarray, whole: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Where each token ends, in bytes.
+def token_ends(coarse: np.ndarray, whole: np.ndarray, lengths: np.ndarray, stops: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where each token ends, in bytes; the tokens of a text end before ``stops``, and its last one where the text does.
 
     ``whole``: the spans show that the token ends where a character does, so its span's end is a cut. From
     one cut to the next the other tokens end where their decoded bytes do.
     """
+    coarse, whole = coarse.copy(), whole.copy()
+    some = np.diff(stops, prepend=0) > 0
+    coarse[stops[some] - 1], whole[stops[some] - 1] = ends[some], True
     if whole.all():
         return coarse
     sums = np.concatenate([[0], np.cumsum(lengths)])
@@ -76,83 +96,123 @@ class Aligner:
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         alphabet = byte_alphabet()
-        self.a_bytes = {i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        vocabulary = self.a.get_vocab()
+        self.a_bytes: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.a_bytes[i] = bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
         n = self.b.get_piece_size()
         names = [self.b.id_to_piece(i) for i in range(n)]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
         # characters that stand before a mark in some piece: no cut after those
         before = {p[i] for p in names for i in range(len(p) - 1) if p[i + 1] == MARK}
         self.cut = re.compile(f"(?<=[^\\s{re.escape(''.join(sorted(before | {MARK})))}]) (?=.)", re.DOTALL)
+        self.a_size, self.b_size = (np.array([len(x) for x in own]) for own in (self.a_bytes, self.b_bytes))
+        # ids in writing, with what follows them: inside a group, and at its end
+        signs = ((self.a_bytes, b","), (self.a_bytes, b"|"), (self.b_bytes, b","), (self.b_bytes, b";"))
+        self.written = np.array([b"%d" % i + sign for own, sign in signs for i in range(len(own))], object)
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.words: list[Aligned | None] = []
-
-    def align(self, text: str, a, b) -> Aligned | None:
-        """The alignment of one text given its encodings; None if a side does not give back the text's bytes."""
-        spaced = " " + text
-        whole = spaced.encode()
-        ids_a = a.ids
-        ids_b = [p.id for p in b.pieces]
-        own_a, own_b = [self.a_bytes[i] for i in ids_a], [self.b_bytes[i] for i in ids_b]
-        if b"".join(own_a) != whole or b"".join(own_b) != whole:
-            return None
-        at = np.arange(len(whole) + 1)  # where each character begins
-        if len(whole) > len(spaced):
-            at = np.cumsum([0, *(len(c.encode()) for c in spaced)])
-        spans_a = np.array(a.offsets, np.int64)
+        self.words = Aligned(*(np.zeros(0, t) for t in (bool, int, int, int)), np.zeros(1, int), np.zeros(0, np.int64), [])
+
+    def align(self, texts: list[str]) -> Aligned:
+        """The alignment of non-empty texts, all in one go: they lie one after the other, each with its blank before it."""
+        spaced = [" " + t for t in texts]
+        own = [t.encode() for t in spaced]
+        a = self.a.encode_batch(spaced, add_special_tokens=False)
+        b = [x.pieces for x in self.b.encode(texts, return_type="proto", num_threads=1)]
+        n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+        ids_a = np.fromiter(chain.from_iterable(x.ids for x in a), np.int64, n_a.sum())
+        ids_b, begin, end = np.array([v for x in b for p in x for v in (p.id, p.begin, p.end)], np.int64).reshape(-1, 3).T
+        sizes = np.array([len(x) for x in own])
+        ends = np.cumsum(sizes)
+        sound = self.gives_back(own, ids_a, n_a, ids_b, n_b)
+
+        # A's spans are characters of its text
+        code = np.frombuffer("".join(spaced).encode("utf-32-le"), np.uint32)
+        at = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])
+        chars = np.array([len(t) for t in spaced])
+        spans = np.array(list(chain.from_iterable(x.offsets for x in a)), np.int64) + np.repeat(np.cumsum(chars) - chars, n_a)[:, None]
         # a token that ends within a character has a successor whose span begins before its own ends
-        whole_a = np.append(spans_a[1:, 0] >= spans_a[:-1, 1], True)
-        e_a = token_ends(at[spans_a[:, 1]], whole_a, np.array([len(x) for x in own_a]))
-        # the message leaves out the blank put before the text; the bytes of a character but the last have no width
-        spans_b = np.array([(p.begin, p.end) for p in b.pieces], np.int64)
-        e_b = token_ends(spans_b[:, 1] + 1, spans_b[:, 1] > spans_b[:, 0], np.array([len(x) for x in own_b]))
-        common = np.intersect1d(e_a, e_b)
-        ends = np.union1d(e_a, e_b)  # between two of them lies one token of each side
-        of_a, of_b = np.searchsorted(e_a, ends), np.searchsorted(e_b, ends)
-        pairs = (np.array(ids_a, np.int64)[of_a] << 32) | np.array(ids_b, np.int64)[of_b]
-        last_a = (np.searchsorted(e_a, common) + 1).tolist()
-        last_b = (np.searchsorted(e_b, common) + 1).tolist()
-        told, i, j = [], 0, 0
-        for x, y in zip(last_a, last_b):
-            told.append(f"{','.join(map(str, ids_a[i:x]))}|{','.join(map(str, ids_b[j:y]))}")
-            i, j = x, y
-        return Aligned(len(ids_a), len(ids_b), len(common), pairs, ";".join(told).encode())
-
-    def align_all(self, texts: list[str]) -> list[Aligned | None]:
-        a = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        b = self.b.encode(texts, return_type="proto", num_threads=1)
-        return [self.align(*x) for x in zip(texts, a, b)]
+        e_a = token_ends(at[spans[:, 1]], np.append(spans[1:, 0] >= spans[:-1, 1], True), self.a_size[ids_a], np.cumsum(n_a), ends)
+        # B's are bytes of its text, without the blank before it; bytes of a character but the last have no width
+        first = np.repeat(ends - sizes + 1, n_b)
+        e_b = token_ends(end + first, end > begin, self.b_size[ids_b], np.cumsum(n_b), ends)
+
+        if not sound.all():  # what is not given back has no places that could be compared
+            whole = np.repeat(sound, n_a), np.repeat(sound, n_b)
+            ids_a, e_a, ids_b, e_b = ids_a[whole[0]], e_a[whole[0]], ids_b[whole[1]], e_b[whole[1]]
+            n_a, n_b = n_a * sound, n_b * sound
+        common = np.intersect1d(e_a, e_b, assume_unique=True)
+        cuts = np.union1d(e_a, e_b)  # between two of them lies one token of each side
+        pairs = (ids_a[np.searchsorted(e_a, cuts)] << 32) | ids_b[np.searchsorted(e_b, cuts)]
+        bounds = np.concatenate([[0], np.searchsorted(cuts, ends, "right")])
+        n_groups = np.diff(np.concatenate([[0], np.searchsorted(common, ends, "right")]))
+
+        group_a, group_b = np.searchsorted(common, e_a), np.searchsorted(common, e_b)
+        place_a = np.arange(len(e_a)) + np.searchsorted(group_b, group_a, "left")
+        place_b = np.arange(len(e_b)) + np.searchsorted(group_a, group_b, "right")
+        sign = np.zeros(len(e_a) + len(e_b), np.int64)
+        k_a, k_b = len(self.a_bytes), len(self.b_bytes)
+        sign[place_a] = ids_a + k_a * np.isin(e_a, common, assume_unique=True)
+        sign[place_b] = ids_b + 2 * k_a + k_b * np.isin(e_b, common, assume_unique=True)
+        said = self.written[sign].tolist()
+        stops = np.cumsum(n_a + n_b).tolist()
+        told = [b"".join(said[i:j])[:-1] for i, j in zip([0, *stops], stops)]
+        return Aligned(sound, n_a, n_b, n_groups, bounds, pairs, told)
+
+    def gives_back(self, own: list[bytes], ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """For each text whether the tokens' bytes of both sides are the text's bytes."""
+        sound = np.ones(len(own), bool)
+        for names, ids, n in ((self.a_bytes, ids_a, n_a), (self.b_bytes, ids_b, n_b)):
+            parts = [names[i] for i in ids.tolist()]
+            stops = np.cumsum(n).tolist()
+            sound &= [b"".join(parts[i:j]) == whole for whole, i, j in zip(own, [0, *stops], stops)]
+        return sound
 
     def learn(self, words: Iterable[str]) -> None:
         """Align words that are not known yet."""
         new = [w for w in dict.fromkeys(words) if w not in self.known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update(zip(part, range(len(self.words), len(self.words) + len(part))))
-            self.words.extend(self.align_all(part))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        blocks = [self.words, *(self.align(new[at : at + 8192]) for at in range(0, len(new), 8192))]
+        if len(blocks) > 1:
+            self.words = joined(blocks)
 
-    def batch(self, texts: list[str]) -> Iterator[Aligned]:
+    def batch(self, texts: list[str]) -> Iterator[Document]:
         """The alignment of each text; a text that a side does not give back has no tokens."""
         if len(self.known) > WORDS:
-            self.known, self.words = {}, []
+            self.forget()
         split = [self.cut.split(t) if t else [] for t in texts]
         self.learn(w for parts in split for w in parts if len(w) <= LONG)
         for text, parts in zip(texts, split):
             if not parts:
                 yield NOTHING
                 continue
-            found = [self.words[self.known[w]] if len(w) <= LONG else self.align_all([w])[0] for w in parts]
-            if None in found:  # decided on the whole text
-                found = self.align_all([text])
-                if None in found:
+            source = self.words
+            if any(len(w) > LONG for w in parts):
+                source = self.align(parts)  # with the long words in their places
+                at = np.arange(len(parts))
+            else:
+                at = np.array([self.known[w] for w in parts])
+            if not source.sound[at].all():  # decided on the whole text
+                source, at = self.align([text]), np.array([0])
+                if not source.sound[0]:
                     yield NOTHING
                     continue
-            yield Aligned(
-                sum(x.n_a for x in found),
-                sum(x.n_b for x in found),
-                sum(x.n_groups for x in found),
-                np.concatenate([x.pairs for x in found]),
-                b";".join([x.told for x in found]),
-            )
+            starts, sizes = source.bounds[at], source.bounds[at + 1] - source.bounds[at]
+            ends = np.cumsum(sizes)
+            pairs = source.pairs[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
+            counts = (int(x[at].sum()) for x in (source.n_a, source.n_b, source.n_groups))
+            yield Document(*counts, pairs, b";".join([source.told[i] for i in at.tolist()]))
+
+
+def joined(blocks: list[Aligned]) -> Aligned:
+    """The alignments of several lists of texts as that of one list."""
+    before = np.cumsum([0] + [len(x.pairs) for x in blocks[:-1]])
+    bounds = np.concatenate([[0], *(x.bounds[1:] + n for x, n in zip(blocks, before))])
+    arrays = [np.concatenate([getattr(x, k) for x in blocks]) for k in ("sound", "n_a", "n_b", "n_groups")]
+    return Aligned(*arrays, bounds, np.concatenate([x.pairs for x in blocks]), [t for x in blocks for t in x.told])
 
 
 @lru_cache(maxsize=2)
@@ -186,8 +246,8 @@ def aligned_chunks(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
         for batch in batches:
             id_type = batch.column(0).type
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for at in range(0, len(ids), 256):
-                for doc_id, x in zip(ids[at : at + 256], aligner(byte_level, pieces).batch(texts[at : at + 256])):
+            for at in range(0, len(ids), TOGETHER):
+                for doc_id, x in zip(ids[at : at + TOGETHER], aligner(byte_level, pieces).batch(texts[at : at + TOGETHER])):
                     pairs, times = np.unique(x.pairs, return_counts=True)
                     told = hashlib.sha256(x.told).hexdigest() if x.n_a else ""
                     rows.append((doc_id, x.n_a, x.n_b, x.n_groups, len(x.pairs), told, pairs, times))
