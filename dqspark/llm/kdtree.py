@@ -38,7 +38,14 @@ class Tree:
 
 def exact(a: np.ndarray) -> np.ndarray:
     """Numbers in the fastest form in which sums of products are exact: doubles, else Python's own."""
-    return a.astype(np.float64) if not a.size or np.abs(a).max() < 1 << 20 else a.astype(object)
+    if not a.size or np.abs(a).max() < 1 << 20:
+        return a.astype(np.float64)
+    return whole(a)
+
+
+def whole(a: np.ndarray) -> np.ndarray:
+    """Numbers as Python's own whole numbers."""
+    return np.array([int(x) for x in a.ravel()], object).reshape(a.shape)
 
 
 def build(points: np.ndarray, ids: np.ndarray) -> Tree:
@@ -57,8 +64,9 @@ def build(points: np.ndarray, ids: np.ndarray) -> Tree:
     node = 0
     while node < len(span):
         a, b = span[node]
-        wide = int(np.argmax(high[node] - low[node]))
-        if b - a > LEAF and high[node][wide] > low[node][wide]:
+        width = high[node] - low[node]
+        wide = int(width.argmax()) if width.size else 0  # vectors without components are all the same
+        if b - a > LEAF and width.any():
             order[a:b] = order[a:b][np.argsort(points[order[a:b], wide], kind="stable")]
             child[node] = len(span)
             add(a, (a + b) // 2)
@@ -75,7 +83,7 @@ def search(tree: Tree, queries: np.ndarray, own: np.ndarray, kth: np.ndarray, k:
     """
     q, points, low, high = exact(queries), exact(tree.points), exact(tree.low), exact(tree.high)
     if object in (q.dtype, points.dtype):
-        q, points, low, high = (x.astype(object) for x in (queries, tree.points, tree.low, tree.high))
+        q, points, low, high = (whole(x) for x in (queries, tree.points, tree.low, tree.high))
     bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
     closed = np.full(bounds.shape, -np.inf)
     closed[:, 0] = bounds[:, 0].astype(float)
@@ -112,22 +120,24 @@ def search(tree: Tree, queries: np.ndarray, own: np.ndarray, kth: np.ndarray, k:
 
 
 def whole_vectors(table: DataFrame, ident: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """``id`` and ``v``, the components times ``scale``, rounded down; rows without an id, without a
-    vector, or with a component that is NULL or not finite are left out."""
-    x = F.transform(table[vector], lambda c: c.cast("double"))
+    """``id`` and ``v``, the components times ``scale``, rounded down, as doubles that hold them exactly; rows without an
+    id, without a vector, or with a component that is NULL or not finite, itself or times ``scale``, are left out."""
+    x = F.transform(table[vector], lambda c: c.cast("double") * scale)
     df = table.select(table[ident].cast("bigint").alias("id"), x.alias("x"))
-    sound = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(2.0**50)))
+    sound = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     df = df.where("id IS NOT NULL AND x IS NOT NULL").where(sound)
-    return df.select("id", F.transform("x", lambda c: F.floor(c * scale).cast("bigint")).alias("v"), F.size("x").alias("dim"))
+    # a double of 2^53 or more has no fraction
+    floor = F.transform("x", lambda c: F.when(F.abs(c) < F.lit(2.0**53), F.floor(c).cast("double")).otherwise(c))
+    return df.select("id", floor.alias("v"), F.size("x").alias("dim"))
 
 
 def top_k(table: DataFrame, every: int, k: int = 5, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each row whose id is divisible by ``every``, the ``k`` other rows with the largest inner
     products: ``query_id``, ``rank``, ``vec_id``, ``score``; ties go to the smaller id.
 
-    Vectors that are NULL, or hold a NULL or a component that is not finite, take no part (nor
-    do such beyond 2^50, whose products no long could hold). Vectors of different
-    lengths do not meet. Of equal vectors only the k + 1 smallest ids can ever be returned, so only
+    Vectors that are NULL, or hold a NULL or a component that is not finite (or not so once multiplied), take no part.
+    Scores are exact, however large the components; one that no long can hold is given as the nearest that can. Vectors of different
+    lengths do not meet; those without components score 0 with each other. Of equal vectors only the k + 1 smallest ids can ever be returned, so only
     those enter a tree, however many copies there are; repeated rows count once. An empty table gives an
     empty one; other columns are not read.
     """
@@ -145,7 +155,7 @@ def top_k(table: DataFrame, every: int, k: int = 5, ident: str = "vec_id", vecto
 
     def packed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         pdf = pdf.sort_values("id")
-        return np.stack(pdf["v"].to_numpy()).reshape(len(pdf), -1), pdf["id"].to_numpy(np.int64)
+        return np.stack(pdf["v"].to_numpy()).astype(np.float64), pdf["id"].to_numpy(np.int64)
 
     def planted(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "tree": [pickle.dumps(build(*packed(pdf)))]})

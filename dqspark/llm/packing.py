@@ -11,6 +11,7 @@ the minimum of a sliding window, kept in a monotone queue.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,9 +26,12 @@ from dqspark.llm.common import ship
 LENGTH, END_TOKEN = 4096, 2
 #: What a cut costs, in tokens of padding: within a document at a sentence's end, and elsewhere.
 SENTENCE_CUT, OTHER_CUT = 16, 128
-#: Tokens between cut places where there is no better one; tokens of a round; words remembered.
-STRIDE, ROUND, WORDS = 256, 1 << 18, 1_000_000
+#: Tokens between cut places where there is no better one; tokens of a round; words remembered; characters of
+#: texts that are encoded together.
+STRIDE, ROUND, WORDS, CHARS = 256, 1 << 18, 1_000_000, 1 << 20
 CLOSING = b".,!?;:*$&#%"
+#: A word that ends in a letter or digit and closing punctuation, else a word as it is.
+PARTS = re.compile(rb"^(?:(.*[0-9A-Za-z])([" + re.escape(CLOSING) + rb"]*)|(.+))$", re.MULTILINE)
 FREE = [1 << k for k in range(LENGTH.bit_length())]  # windows of these lengths are not padded
 
 
@@ -61,15 +65,9 @@ class WordTokens:
         letters are lower-cased: a word is looked up as its stem, and only new stems are encoded.
         """
         known = self.known
-        stems, parts = {}, []
-        for w in words:
-            stem = w.rstrip(CLOSING)
-            if not stem or not stem[-1:].isalnum():
-                stem = w
-            parts.append((stem.lower() if stem.isascii() else stem, w[len(stem) :]))
-            for x in parts[-1]:
-                if x and x not in known:
-                    stems[x] = None
+        found = PARTS.findall(b"\n".join(words))  # no word holds a line end
+        parts = [(stem.lower() if stem.isascii() else stem, closing) for stem, closing in ((a or c, b) for a, b, c in found)]
+        stems = {x: None for p in parts for x in p if x and x not in known}
         if stems:
             found = self.tokenizer.encode_batch_fast([x.decode() for x in stems], add_special_tokens=False)
             lists = [e.ids for e in found]
@@ -98,23 +96,29 @@ class WordTokens:
         ends = np.cumsum(sizes)
         return self.ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a text, then the end token."""
-        if any(a in text for a in self.added):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return np.array([*ids, END_TOKEN], np.uint32)
-        words, known, new = text.encode().split(), self.known, []
-        if not words:
-            return np.array([END_TOKEN], np.uint32)
-        found = list(map(known.get, words))
-        if None in found:
-            new = self.learn(list({w: None for w, k in zip(words, found) if k is None}))
-            found = [known[w] if k is None else k for w, k in zip(words, found)]
-        out = np.append(self.gather(found)[0], np.uint32(END_TOKEN))
-        if len(known) > WORDS:  # the memory is full: what this text brought goes again
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, then the end token. Words new to all of them are learned together."""
+        known, new = self.known, []
+        # added tokens are found before a text is lower-cased; a word is looked up in lower case, so one that
+        # becomes such a token only then must not be looked up
+        whole = [any(a in low for a in self.added) for low in map(str.lower, texts)]
+        split = [[] if w else t.encode().split() for w, t in zip(whole, texts)]
+        found = [list(map(known.get, words)) for words in split]
+        open_ = [i for i, f in enumerate(found) if None in f]
+        if open_:
+            new = self.learn(list(dict.fromkeys(w for i in open_ for w, k in zip(split[i], found[i]) if k is None)))
+            for i in open_:
+                found[i] = [known[w] if k is None else k for w, k in zip(split[i], found[i])]
+        for text, own, is_whole in zip(texts, found, whole):
+            if is_whole:
+                yield np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_TOKEN], np.uint32)
+            elif own:
+                yield np.append(self.gather(own)[0], np.uint32(END_TOKEN))
+            else:
+                yield np.array([END_TOKEN], np.uint32)
+        if len(known) > WORDS:  # the memory is full: what these texts brought goes again
             for x in new:
                 del known[x]
-        return out
 
 
 @lru_cache(maxsize=2)
@@ -189,8 +193,7 @@ class Packer:
         self.open: list[list] = []  # document's index, its ids, how many of them are packed
         self.size = 0
 
-    def add(self, doc: int, text: str) -> Iterator[tuple]:
-        ids = self.tokens.encode(text)
+    def add(self, doc: int, ids: np.ndarray) -> Iterator[tuple]:
         self.open.append([doc, ids, 0])
         self.size += len(ids)
         if self.size >= ROUND:
@@ -221,6 +224,19 @@ class Packer:
         del self.open[:k]
 
 
+def together(texts: list[str]) -> Iterator[list[str]]:
+    """Neighbouring texts, of ``CHARS`` characters in all unless one alone is longer."""
+    some, size = [], 0
+    for t in texts:
+        if some and size + len(t) > CHARS:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t)
+    if some:
+        yield some
+
+
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
@@ -237,8 +253,9 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(word_tokens(tokenizer), TaskContext.get().partitionId() << 40)
-        ids, rows = [], []
+        tokens = word_tokens(tokenizer)
+        packer = Packer(tokens, TaskContext.get().partitionId() << 40)
+        ids, rows, before = [], [], 0
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*rows))
@@ -249,9 +266,12 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(doc_id)
-                rows.extend(packer.add(len(ids) - 1, text or ""))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for some in together(texts):
+                for doc_id, own in zip(batch.column(0).slice(len(ids) - before, len(some)).to_pylist(), tokens.encode(some)):
+                    ids.append(doc_id)
+                    rows.extend(packer.add(len(ids) - 1, own))
+            before += len(texts)
             if rows:
                 yield out()
                 rows.clear()

@@ -45,8 +45,8 @@ def features(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
     """One row per document: the carried columns as ``row``, and the counted properties.
 
     Positions of repeated three-word windows are found by sorting, within the document, the
-    hashes of its windows with the position in the lowest bits. A chance collision of hashes could
-    only happen between windows of one document (for 20,000 words about one in 10^6 documents).
+    hashes of its windows with the position in the lowest bits; of windows that share a hash the words
+    themselves are sorted and compared, so the counts are exact.
     """
     row = F.struct(*[docs[c] for c in carry])
     df = docs.select(row.alias("row"), F.coalesce(docs["text"], F.lit("")).alias("t"))
@@ -66,7 +66,7 @@ def features(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
     packed = F.expr("transform(sequence(0, n - 3), i -> shiftleft(shiftright("
                     "xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)), bits), bits) | i)")
     none = F.array().cast("array<bigint>")
-    df = df.withColumn("v", F.when(F.col("n") >= 3, packed).otherwise(none)).drop("w")
+    df = df.withColumn("v", F.when(F.col("n") >= 3, packed).otherwise(none))
     df = df.withColumn("v", F.sort_array("v"))
     # the windows whose predecessor in hash order has the same hash, and those predecessors
     twice = F.when(
@@ -76,6 +76,12 @@ def features(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
     df = df.withColumn("twice", twice)
     at = "transform(twice, i -> v[i{}] & (shiftleft(1L, bits) - 1))"
     df = df.withColumn("at", F.expr(f"array_distinct(concat({at.format('')}, {at.format(' - 1')}))"))
+    # of those the ones whose words are the same: hashes only pick them
+    window = "concat_ws(' ', get(w, cast(i AS int)), get(w, cast(i AS int) + 1), get(w, cast(i AS int) + 2))"
+    df = df.withColumn("same", F.expr(f"sort_array(transform(at, i -> named_struct('k', {window}, 'i', i)))")).drop("w", "at")
+    twin = "same[j].k <=> get(same, j - 1).k OR same[j].k <=> get(same, j + 1).k"
+    exact = F.expr(f"transform(filter(sequence(0, size(same) - 1), j -> {twin}), j -> same[j].i)")
+    df = df.withColumn("at", F.when(F.size("same") >= 2, exact).otherwise(none))
     covered = F.expr("size(array_distinct(concat(at, transform(at, x -> x + 1), transform(at, x -> x + 2))))")
     return df.select(
         "row",

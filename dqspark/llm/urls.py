@@ -23,8 +23,8 @@ RULES = (
 )
 #: Absolute and protocol-relative links in HTML; the group is the host.
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
-#: The mass of rank given out, the share of it that follows links (a ratio), and the rounds.
-MASS, FOLLOW, OF, ROUNDS = 10**12, 85, 100, 20
+#: The mass of rank given out, the share of it that follows links (a ratio), and the rounds between two tables.
+MASS, FOLLOW, OF, ROUNDS = 10**12, 85, 100, 6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,7 +70,9 @@ def ranks(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
     ``seeds``: ``host``, ``trusted``, ``blocked`` (weights). Each kind of seed shares ``MASS`` by weight;
     each round a host passes ``FOLLOW`` / ``OF`` of its trust to the hosts it links to and of its
-    distrust to those that link to it, by number of links. Rounds end early once nothing changes.
+    distrust to those that link to it, by number of links. All start from nothing, so ranks only grow, and, being
+    whole numbers below ``MASS``, come to rest; rounds go on until they do. What is passed over one more link shrinks by
+    ``FOLLOW`` / ``OF``, so that takes some 170 rounds where links go on so far, and few where they do not.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     back = edges.groupBy("dst").agg(F.sum("n").alias("total"))
@@ -83,19 +85,23 @@ def ranks(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     given = [F.expr(f"cast({c} * {MASS}BD DIV {s or 1} AS bigint)").alias(c) for c, s in zip(("trusted", "blocked"), sums)]
     named = seeds.select("host", *given).union(edges.select("src", F.lit(0), F.lit(0))).union(edges.select("dst", F.lit(0), F.lit(0)))
     start = named.groupBy("host").agg(F.max("trusted").alias("trusted"), F.max("blocked").alias("blocked"))
-    state = written(start.select("*", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust")), "ranks")
-    for _ in range(ROUNDS):
-        sent = state.join(moves, "host").groupBy(F.col("to").alias("host")).agg(
-            F.sum(F.expr("if(along, trust * n DIV total, 0)")).alias("got_trust"),
-            F.sum(F.expr("if(along, 0, distrust * n DIV total)")).alias("got_distrust"),
-        )
-        rank = "({0} * {1} + coalesce({2}, 0) * {3}) DIV {4}"
-        now = state.join(sent, "host", "left").select(
-            "host", "trusted", "blocked",
-            F.expr(rank.format("trusted", OF - FOLLOW, "got_trust", FOLLOW, OF)).alias("trust"),
-            F.expr(rank.format("blocked", OF - FOLLOW, "got_distrust", FOLLOW, OF)).alias("distrust"),
-            F.col("trust").alias("was_trust"), F.col("distrust").alias("was_distrust"),
-        )
+    zero = F.lit(0).cast("bigint")
+    state = start.select("*", zero.alias("trust"), zero.alias("distrust"))
+    while True:
+        for _ in range(ROUNDS):
+            passed = "cast(cast({0} AS decimal(38,0)) * n DIV total AS bigint)"
+            sent = state.join(moves, "host").groupBy(F.col("to").alias("host")).agg(
+                F.sum(F.expr(f"if(along, {passed.format('trust')}, 0L)")).alias("got_trust"),
+                F.sum(F.expr(f"if(along, 0L, {passed.format('distrust')})")).alias("got_distrust"),
+            )
+            rank = "cast(({0} * {1} + coalesce({2}, 0L) * {3}) DIV {4} AS bigint)"
+            now = state.join(sent, "host", "left").select(
+                "host", "trusted", "blocked",
+                F.expr(rank.format("trusted", OF - FOLLOW, "got_trust", FOLLOW, OF)).alias("trust"),
+                F.expr(rank.format("blocked", OF - FOLLOW, "got_distrust", FOLLOW, OF)).alias("distrust"),
+                F.col("trust").alias("was_trust"), F.col("distrust").alias("was_distrust"),
+            )
+            state = now.drop("was_trust", "was_distrust")
         now = written(now, "ranks")
         state = now.drop("was_trust", "was_distrust")
         if now.where("trust <> was_trust OR distrust <> was_distrust").isEmpty():
@@ -126,7 +132,7 @@ def filter_urls(pages: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in SQL, its rounds written out; one more round after the last change changes nothing."""
+    """The same in SQL, its rounds as a recursion that ends when no rank changes."""
     cases = "\n".join(
         f"    WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'"
         for h, _, p in (r.partition("/") for r, _ in sorted(RULES, key=lambda r: -len(r[0])))
@@ -134,21 +140,8 @@ def oracle() -> str:
     says = " ".join(f"WHEN '{r}' THEN '{s}'" for r, s in RULES)
     link = LINK.replace("'", "''")
     keep = OF - FOLLOW
-    rounds = ""
-    for i in range(1, ROUNDS + 1):
-        rounds += f""",
-s{i} AS MATERIALIZED (
-  SELECT s.host, trusted, blocked0,
-         CAST((trusted * {keep} + coalesce(t, 0) * {FOLLOW}) // {OF} AS BIGINT) AS trust,
-         CAST((blocked0 * {keep} + coalesce(b, 0) * {FOLLOW}) // {OF} AS BIGINT) AS distrust
-  FROM s{i - 1} s LEFT JOIN (
-    SELECT dst AS host, sum(trust * n // total) AS t FROM edges JOIN outs USING (src) JOIN s{i - 1} ON host = src GROUP BY dst
-  ) x USING (host) LEFT JOIN (
-    SELECT src AS host, sum(distrust * n // total) AS b FROM edges JOIN backs USING (dst) JOIN s{i - 1} ON host = dst GROUP BY src
-  ) y USING (host)
-)"""
     return rf"""
-WITH r AS (
+WITH RECURSIVE r AS (
   SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ),
 h AS (
@@ -172,14 +165,33 @@ edges AS MATERIALIZED (
 ),
 outs AS (SELECT src, sum(n) AS total FROM edges GROUP BY src),
 backs AS (SELECT dst, sum(n) AS total FROM edges GROUP BY dst),
-s0 AS MATERIALIZED (
-  SELECT host, max(tr) AS trusted, max(bl) AS blocked0, max(tr) AS trust, max(bl) AS distrust FROM (
+start AS MATERIALIZED (
+  SELECT host, max(tr) AS trusted, max(bl) AS blocked FROM (
     SELECT host, CAST(tr::HUGEINT * {MASS} // greatest(1, (SELECT sum(tr) FROM seeds)) AS BIGINT) AS tr,
            CAST(bl::HUGEINT * {MASS} // greatest(1, (SELECT sum(bl) FROM seeds)) AS BIGINT) AS bl FROM seeds
     UNION ALL SELECT src, 0, 0 FROM edges UNION ALL SELECT dst, 0, 0 FROM edges
   ) GROUP BY host
-){rounds}
+),
+moves AS MATERIALIZED (
+  SELECT src AS host, dst AS onto, n, total, true AS along FROM edges JOIN outs USING (src)
+  UNION ALL SELECT dst, src, n, total, false FROM edges JOIN backs USING (dst)
+),
+s AS (
+  SELECT 0 AS i, host, trusted, blocked, 0::BIGINT AS trust, 0::BIGINT AS distrust, true AS moved FROM start
+  UNION ALL
+  SELECT i + 1, host, trusted, blocked, new_trust, new_distrust, new_trust <> trust OR new_distrust <> distrust FROM (
+    SELECT s.*, CAST((trusted * {keep} + coalesce(t, 0) * {FOLLOW}) // {OF} AS BIGINT) AS new_trust,
+           CAST((blocked * {keep} + coalesce(b, 0) * {FOLLOW}) // {OF} AS BIGINT) AS new_distrust
+    FROM s LEFT JOIN (
+      SELECT onto, sum(CASE WHEN along THEN trust::HUGEINT * n // total ELSE 0 END) AS t,
+             sum(CASE WHEN along THEN 0 ELSE distrust::HUGEINT * n // total END) AS b
+      FROM s JOIN moves USING (host) GROUP BY onto
+    ) ON onto = s.host
+    WHERE (SELECT bool_or(moved) FROM s)
+  )
+),
+last AS (SELECT host, trust, distrust FROM s WHERE i = (SELECT max(i) FROM s))
 SELECT page_id, j.host, path, rule,
        coalesce(says, CASE WHEN distrust > trust THEN 'block' END, 'allow') AS verdict
-FROM j LEFT JOIN s{ROUNDS} s ON j.host = s.host
+FROM j LEFT JOIN last s ON j.host = s.host
 """

@@ -7,11 +7,12 @@ import zlib
 import numpy as np
 import pytest
 from helpers import SCHEMA, awkward, documents, prose
+from tokenizers import Tokenizer
 
 from dqspark.llm import substrings, urls
 from dqspark.llm.kdtree import top_k
 from dqspark.llm.mixing import mix, mixed_documents, permuted, targets
-from dqspark.llm.packing import LENGTH, best_cuts, pack, word_tokens
+from dqspark.llm.packing import LENGTH, WordTokens, best_cuts, pack, word_tokens
 from dqspark.llm.queries import tokenizer_file
 from dqspark.llm.simhash import fingerprint, keep_one, simhash_components
 
@@ -330,21 +331,24 @@ def test_ranks_are_those_of_a_plain_loop(spark):
     hosts = [f"h{i}" for i in range(30)]
     edges = collections.Counter((rng.choice(hosts), rng.choice(hosts)) for _ in range(120))
     edges = {e: n for e, n in edges.items() if e[0] != e[1]}
-    seeds = {h: (rng.choice([0, 0, 3]), rng.choice([0, 0, 2])) for h in hosts[:20]}
+    # a chain far longer than any number of rounds between two tables, of very many links each
+    edges |= {(f"c{i}", f"c{i + 1}"): 10**8 for i in range(60)}
+    seeds = {h: (rng.choice([0, 0, 3]), rng.choice([0, 0, 2])) for h in hosts[:20]} | {"c0": (3, 0), "c60": (0, 2)}
     sums = [max(1, sum(s[k] for s in seeds.values())) for k in (0, 1)]
     names = sorted({*seeds, *(x for e in edges for x in e)})
     start = {h: tuple(seeds.get(h, (0, 0))[k] * urls.MASS // sums[k] for k in (0, 1)) for h in names}
-    state, out, back = dict(start), collections.Counter(), collections.Counter()
+    state, out, back = {h: (0, 0) for h in names}, collections.Counter(), collections.Counter()
     for (a, b), n in edges.items():
         out[a] += n
         back[b] += n
-    for _ in range(urls.ROUNDS):
+    before = None
+    while state != before:
         t, d = collections.Counter(), collections.Counter()
         for (a, b), n in edges.items():
             t[b] += state[a][0] * n // out[a]
             d[a] += state[b][1] * n // back[b]
         keep = urls.OF - urls.FOLLOW
-        state = {h: tuple((start[h][k] * keep + x[h] * urls.FOLLOW) // urls.OF for k, x in ((0, t), (1, d))) for h in names}
+        before, state = state, {h: tuple((start[h][k] * keep + x[h] * urls.FOLLOW) // urls.OF for k, x in ((0, t), (1, d))) for h in names}
     got = urls.ranks(
         spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n bigint"),
         spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, trusted bigint, blocked bigint"),
@@ -360,3 +364,27 @@ def test_empty_tables(spark):
     assert pack(none, tokenizer_file("word_bpe_49k.json")).count() == 0
     assert top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), 50).count() == 0
     assert urls.filter_urls(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_packed_ids_of_added_tokens_in_any_case(spark):
+    """Strings of added tokens, in whatever case and company, give the ids that the library gives."""
+    rng = random.Random(17)
+    parts = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|StartOfText|>", "<|startoftext|>", "<|endoftext|", "Word", "word.", "x!!", "É!", "<|", "#a#", "\n"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "  "]) for _ in range(rng.randrange(0, 12))) for _ in range(3000)]
+    file = tokenizer_file("word_bpe_49k.json")
+    library = Tokenizer.from_file(file)
+    for text, ids in zip(texts, WordTokens(file).encode(texts)):
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_top_k_of_empty_and_huge_vectors(spark):
+    rows = [(0, []), (1, []), (2, []), (50, [2.0**60, 1.0]), (51, [3.0, 2.0**55]), (52, [1.5, -0.25]), (53, [2.0**60, 2.0]), (100, [2.0, 7.0])]
+    rows += [(54, [float("inf"), 1.0]), (55, None), (56, [1.0, None])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    whole = {i: [int(256 * x // 1) for x in v] for i, v in rows if i in (0, 1, 2, 50, 51, 52, 53, 100)}
+    want = []
+    for q in (0, 50, 100):
+        scores = [(sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q])]
+        held = sorted((-max(-(2**63) + 1, min(2**63 - 1, s)), i) for s, i in scores)  # in the range of a long
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(held[:5], 1)]
+    assert sorted(tuple(r) for r in top_k(table, 50).collect()) == want
