@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import dirt, query
-from dqspark.operators.charts import chart_data, histogram, line
+from dqspark.operators.charts import chart_data, heatmap, histogram, line, scatter
 from dqspark.plans.actions import Intent
 
 
@@ -121,6 +121,38 @@ def chart_corr(spark, sf_dir):
     return out.withColumn("corr", F.round("corr", 6) + 0.0)
 
 
+WIDE = [*CORR, "l_linenumber", *(f"v{i}" for i in range(12))]
+#: Columns made of others by the same arithmetic on both sides, some with missing cells, one constant.
+MADE = ", ".join(f"l_extendedprice / (l_partkey % {i + 3} + 1) + l_quantity * {i} AS v{i}" for i in range(11)) + ", 2.5 + 0 * l_tax AS v11"
+
+
+@query(
+    "chart_corr_wide",
+    f"""WITH {dirt.LINEITEM}, w AS (SELECT *, {MADE} FROM d),
+c AS ({" UNION ALL ".join(
+    f"SELECT '{a}' AS column_a, '{b}' AS column_b, CASE WHEN 'v11' IN ('{a}', '{b}') THEN NULL ELSE corr({a}, {b}) END AS corr FROM w"
+    for a in WIDE for b in WIDE)})
+SELECT column_a, column_b, round(corr, 5) + 0.0 AS corr FROM c""",
+)
+def chart_corr_wide(spark, sf_dir):
+    """All pairs of many columns from one scan; a constant column has no correlation."""
+    df = dirt.lineitem(spark, sf_dir).withColumn("l_tax", F.nanvl("l_tax", F.lit(None).cast("double")))
+    out = heatmap(df.selectExpr("*", *MADE.split(", ")), WIDE)
+    return out.withColumn("corr", F.round("corr", 5) + 0.0)
+
+
+@query(
+    "chart_scatter_sample",
+    f"""WITH {dirt.LINEITEM}, p AS (SELECT l_quantity AS x, l_discount AS y,
+    md5(concat_ws('|', '7', l_orderkey::VARCHAR, l_linenumber::VARCHAR)) AS o
+  FROM d WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL)
+SELECT x, y, (SELECT count(*) FROM p) AS n_points FROM (SELECT * FROM p ORDER BY o, x, y LIMIT 2000)""",
+)
+def chart_scatter_sample(spark, sf_dir):
+    df = dirt.lineitem(spark, sf_dir)
+    return scatter(df, "l_quantity", "l_discount", max_points=2000, key=["l_orderkey", "l_linenumber"], seed=7)
+
+
 @query(
     "chart_pie_sum",
     """SELECT c_mktsegment AS label, round(sum(c_acctbal), 2) AS total,

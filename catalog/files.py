@@ -54,26 +54,29 @@ def csv_quotes(spark, sf_dir):
     docs = dirt.table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text", "lang")
     docs.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
     schema = "doc_id bigint, n_chars bigint, text string, lang string"
-    df = read_delimited(spark, path, delimiter=",", encoding="utf-8", schema=schema, multi_line=True)
+    df = read_delimited(spark, path, delimiter=",", encoding="utf-8", schema=schema)
     return df.select("doc_id", "n_chars", F.sha2("text", 256).alias("text_sha256"), "lang")
 
 
 @query(
     "csv_mixed_files",
     """SELECT p_partkey, p_name || ' café' AS p_name, p_size FROM part
-UNION ALL SELECT s_suppkey, s_name || ' naïve', s_nationkey FROM supplier""",
+UNION ALL SELECT 9007199254740993 + s_suppkey, 'a "quoted"' || chr(10) || 'naïve ' || s_name, s_nationkey FROM supplier""",
 )
 def csv_mixed_files(spark, sf_dir):
-    """One folder, two encodings and two delimiters."""
+    """One folder, two encodings, two delimiters, ids of two widths, and line ends inside quotes."""
     path = scratch_path(spark, "mixed")
     part = dirt.table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" café")).alias("p_name"), "p_size")
     other = dirt.table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("p_partkey"), F.concat("s_name", F.lit(" naïve")).alias("p_name"), F.col("s_nationkey").alias("p_size")
+        (F.col("s_suppkey") + F.lit(9007199254740993)).alias("p_partkey"),
+        F.concat(F.lit('a "quoted"\nnaïve '), "s_name").alias("p_name"),
+        F.col("s_nationkey").alias("p_size"),
     )
     part.write.option("header", True).mode("append").csv(path)
-    other.write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").mode("append").csv(path)
+    written = other.write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").option("escape", '"')
+    written.mode("append").csv(path)
     df = read_delimited(spark, path)
-    return df.select(F.col("p_partkey").cast("bigint"), "p_name", F.col("p_size").cast("int"))
+    return df.select("p_partkey", "p_name", F.col("p_size").cast("int"))
 
 
 @query(

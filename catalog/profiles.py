@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import dirt, query
+from dqspark.lineage import scratch_path
 from dqspark.operators.clean import apply_fitted, fit
 from dqspark.operators.frequency import (
     approximate_distinct_counts,
@@ -12,6 +13,7 @@ from dqspark.operators.frequency import (
     frequency_table,
     top_values,
 )
+from dqspark.operators.frequent import frequent_values
 from dqspark.operators.profile import (
     column_fences,
     column_moments,
@@ -21,6 +23,8 @@ from dqspark.operators.profile import (
     issue_count,
     profile,
 )
+from dqspark.operators.quantiles import grouped_quantiles
+from dqspark.operators.state import append_state, described, stored_state
 from dqspark.plans.actions import Action, numbered
 from dqspark.types import normalise_missing
 
@@ -143,6 +147,62 @@ def profile_top_values(spark, sf_dir):
     return top_values(e.unionByName(p))
 
 
+FREQUENT = ["l_returnflag", "l_linestatus", "l_partkey", "l_orderkey"]
+
+
+@query(
+    "frequent_values",
+    f"WITH {dirt.LINEITEM} " + _each(TOP.replace("{t}", "d").replace("{c} AS value", "{c}::VARCHAR AS value"), FREQUENT),
+)
+def most_frequent_values(spark, sf_dir):
+    """Labels and keys: some columns are settled by their summaries, some need the second count, some all of it."""
+    return frequent_values(dirt.lineitem(spark, sf_dir), FREQUENT)
+
+
+@query(
+    "quantiles_many_groups",
+    f"""WITH {dirt.LINEITEM} SELECT l_orderkey, l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1,
+  round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90
+FROM d GROUP BY ALL""",
+)
+def quantiles_many_groups(spark, sf_dir):
+    """Quartiles of tens of thousands of small groups, one of them NULL in part."""
+    keys = ["l_orderkey", "l_returnflag"]
+    found = grouped_quantiles(dirt.lineitem(spark, sf_dir), keys, "l_extendedprice", [0.25, 0.5, 0.9])
+    return found.select(*keys, *[F.round(F.get("q", i), 4).alias(n) for i, n in enumerate(("q1", "median", "p90"))])
+
+
+MERGED = """SELECT '{c}' AS "column", count(*) AS n_rows, count({c}) AS n_valid, round(avg({c}::DOUBLE), 4) AS mean,
+  round(stddev_samp({c}::DOUBLE), 4) AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, true AS distinct_near,
+  true AS ranks_near FROM d"""
+
+
+@query("profile_merged_states", f"WITH {dirt.LINEITEM} {_each(MERGED, NUMERIC)}")
+def profile_merged_states(spark, sf_dir):
+    """States of two halves of a table, stored one after the other and merged: moments exact, sketches near."""
+    df = normalise_missing(dirt.lineitem(spark, sf_dir))
+    path = scratch_path(spark, "state")
+    for half in (0, 1):
+        append_state(df.where(F.col("l_orderkey") % 2 == half), path, NUMERIC)
+    told = described(stored_state(spark, path), [0.25, 0.9])
+    quantiles = {r["column"]: r["q"] for r in told.select("column", "q").collect()}  # a row per column
+    ranks = []
+    for c, q in quantiles.items():
+        x = F.col(c).cast("double")
+        # the share of values below and up to an estimate must take in what it stands for
+        fits = F.lit(True)
+        for value, p in zip(q, (0.25, 0.9)):
+            fits = fits & (F.try_divide(F.count_if(x < value), F.count(x)) <= p + 0.02) & (F.try_divide(F.count_if(x <= value), F.count(x)) >= p - 0.02)
+        ranks.append(F.struct(F.lit(c).alias("column"), fits.alias("ranks_near")))
+    ranks = df.agg(F.array(*ranks).alias("r")).select(F.inline("r"))
+    near = F.abs(F.col("n_unique") - F.col("exact")) <= 0.05 * F.col("exact")
+    out = told.join(distinct_counts(df, NUMERIC).withColumnRenamed("n_unique", "exact"), "column").join(ranks, "column")
+    return out.select(
+        "column", "n_rows", "n_valid", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"),
+        "min", "max", near.alias("distinct_near"), "ranks_near",
+    )
+
+
 @query(
     "profile_date_like",
     f"""WITH {dirt.ORDERS}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import dirt, query
+from dqspark.lineage import scratch_path
 from dqspark.operators.tables import (
     between,
     conformance,
@@ -16,6 +17,7 @@ from dqspark.operators.tables import (
     required,
     sort_by,
     upsert_latest,
+    upsert_stored,
 )
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
@@ -87,6 +89,30 @@ def upsert(spark, sf_dir):
     return upsert_latest(existing, incoming, ["c_custkey"], "seq")
 
 
+@query(
+    "upsert_table",
+    """WITH t AS (SELECT o_custkey, o_totalprice, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey % 5 = 2),
+l AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS amount, max(o_orderkey) AS seq FROM t GROUP BY 1)
+SELECT c_custkey, coalesce(amount, c_acctbal) AS amount, coalesce(l.seq, c_custkey) AS seq, c_nationkey,
+  c_nationkey % 5 <> 2 OR c_nationkey NOT IN (SELECT c_nationkey FROM l JOIN customer ON c_custkey = o_custkey) AS same_file
+FROM customer LEFT JOIN l ON c_custkey = o_custkey""",
+)
+def upsert_table(spark, sf_dir):
+    """Customers stored by nation; orders of some nations' customers replace their amounts. Files of other nations stay."""
+    customer = dirt.table(spark, sf_dir, "customer")
+    stored = customer.select("c_custkey", F.col("c_acctbal").alias("amount"), F.col("c_custkey").alias("seq"), "c_nationkey")
+    path = scratch_path(spark, "customers")
+    stored.write.partitionBy("c_nationkey").parquet(path)
+    file = F.col("_metadata.file_path").alias("file")
+    before = [r["file"] for r in spark.read.parquet(path).select(file).distinct().collect()]  # a name per partition
+    nation = customer.where("c_nationkey % 5 = 2").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    incoming = dirt.table(spark, sf_dir, "orders").join(nation, "o_custkey").select(
+        F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("amount"), F.col("o_orderkey").alias("seq"), "c_nationkey"
+    )
+    upsert_stored(spark, path, incoming, ["c_custkey"], "seq", "c_nationkey")
+    return spark.read.parquet(path).select("c_custkey", "amount", "seq", "c_nationkey", F.col("_metadata.file_path").isin(before).alias("same_file"))
+
+
 def _rules(spark, sf_dir):
     active = dirt.table(spark, sf_dir, "customer").where(F.col("c_acctbal") > 0)
     return [

@@ -213,3 +213,21 @@ UNION ALL SELECT event_id, 'llm' FROM events""",
 def audit_merge(spark, sf_dir):
     seq = dirt.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"))
     return merge_logs(seq.withColumn("actor", F.lit("code")), seq.withColumn("actor", F.lit("llm")))
+
+
+@query(
+    "verify_mean_line",
+    """SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, round(avg(o_totalprice) + 1, 4) AS shown, round(avg(o_totalprice), 4) AS recomputed,
+  'verified' AS status FROM orders GROUP BY o_orderdate HAVING dayofmonth(o_orderdate) = 1""",
+)
+def verify_mean_line(spark, sf_dir):
+    """A right line of means is verified; where the first of each month is shown one too high, only those are found."""
+    df = dirt.table(spark, sf_dir, "orders").select("o_orderdate", "o_totalprice")
+    intent = Intent("line", ("o_orderdate", "o_totalprice"), "trend", mean=True)
+    status = check_chart(df, "line", intent).first()["status"]
+    shown = chart_data(df, intent)
+    shown = shown.withColumn("y", F.col("y") + F.when(F.dayofmonth("x") == 1, 1).otherwise(0))
+    found = recheck(df, intent, shown)
+    return found.select(
+        F.substring("item", 1, 10).alias("day"), F.round("shown", 4).alias("shown"), F.round("recomputed", 4).alias("recomputed"), F.lit(status).alias("status")
+    )

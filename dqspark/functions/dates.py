@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,6 +104,31 @@ def shape(fmt: str) -> str:
     ) + "$"
 
 
+# What a directive's shape can look like once digits are zeros and runs of letters are one letter.
+_DIGITS = {r"\d{4}": ["0000"], r"\d{2}": ["00"], r"\d{1,2}": ["0", "00"], r"\d{3}": ["000"], r"\d{6}": ["000000"]}
+_OFFSETS = ["a", *(sign + hours for sign in "+-" for hours in ("00:00", "0000"))]
+
+
+def sketch(c: Column) -> Column:
+    """The outline of a text: digits become zeros, a run of letters one letter."""
+    return F.regexp_replace(F.translate(c, "123456789", "0" * 9), "[A-Za-z]+", "a")
+
+
+def sketches(fmt: str) -> set[str]:
+    """Every outline that a text of the format can have."""
+    parts = []
+    for p in _tokens(fmt):
+        if p in WEEKDAYS:
+            parts.append(["a"])
+        elif p == "%z":
+            parts.append(_OFFSETS)
+        elif p.startswith("%"):
+            parts.append(_DIGITS.get(DIRECTIVES[p][2], ["a"]))
+        else:
+            parts.append([re.sub("[A-Za-z]+", "a", re.sub("[0-9]", "0", p))])
+    return {re.sub("a+", "a", "".join(x)) for x in product(*parts)}
+
+
 def parse_date(c: Column, fmt: str) -> Column:
     """The text as a ``timestamp_ntz``; NULL where it is not of the format.
 

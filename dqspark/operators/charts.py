@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dqspark.operators.gram import FIELDS, all_pairs, pair_moments
 from dqspark.operators.profile import fences
 from dqspark.operators.quantiles import grouped_quantiles
 from dqspark.plans.actions import Intent, chart_problem
@@ -12,10 +15,10 @@ from dqspark.types import (
     CATEGORICAL,
     NUMERIC,
     IncompatibleColumn,
-    chunks,
     classes,
     normalise_missing,
     ref,
+    require,
 )
 
 DEFAULT_BINS = 30
@@ -123,44 +126,42 @@ def line(df: DataFrame, x: str, y: str, mean: bool = False) -> DataFrame:
     return points.orderBy(F.col("x").asc_nulls_last(), F.col("y").asc_nulls_last())
 
 
-def scatter(df: DataFrame, x: str, y: str) -> DataFrame:
-    """All complete ``(x, y)`` points."""
-    df = _ready(df, "scatter", [x, y])
-    return df.select(ref(x).cast("double").alias("x"), ref(y).cast("double").alias("y")).where(
-        F.col("x").isNotNull() & F.col("y").isNotNull()
-    )
-
+def scatter(
+    df: DataFrame, x: str, y: str, max_points: int | None = None, key: Sequence[str] = (), seed: int = 0
+) -> DataFrame:
+    """All complete ``(x, y)`` points, or a sample of ``max_points`` with ``n_points``, their exact number, beside it.
 
-def pearson(x: Column, y: Column) -> Column:
-    """Pairwise complete correlation; NULL where a side is constant or there are too few rows."""
-    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+    The sample are the points whose hashes of seed and ``key`` (columns that tell rows apart) are the smallest: the same on any
+    partitioning, and tasks send ``max_points`` rows each at most. Rows of one key are taken together, in the
+    order of their points.
+    """
+    df = _ready(df, "scatter", [x, y])
+    points = [ref(x).cast("double").alias("x"), ref(y).cast("double").alias("y")]
+    complete = F.col("x").isNotNull() & F.col("y").isNotNull()
+    if max_points is None:
+        return df.select(*points).where(complete)
+    require(df, *key)
+    if not key:
+        raise ValueError("a sample of points needs the columns of a key")
+    cells = [F.coalesce(ref(c).cast("string"), F.lit("missing")) for c in key]
+    data = df.select(*points, F.md5(F.concat_ws("|", F.lit(str(seed)), *cells)).alias("order")).where(complete)
+    n = data.count()
+    return data.orderBy("order", "x", "y").limit(max_points).select("x", "y", F.lit(n).cast("bigint").alias("n_points"))
 
 
 def heatmap(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column_a, column_b, corr)``, the full symmetric matrix in long form.
+    """``(column_a, column_b, corr)``, the full symmetric matrix in long form, from one scan.
 
-    Half of it is computed, all pairs of a chunk in one scan.
+    Rows are taken pair by pair where both are present; NULL where a side is constant there or there are too few rows.
     """
     df = _ready(df, "heatmap", list(columns))
-    x = {c: ref(c).cast("double") for c in columns}
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    out = None
-    for part in chunks(pairs, 60):
-        row = df.agg(*[pearson(x[a], x[b]).alias(f"c{i}") for i, (a, b) in enumerate(part)])
-        cells = []
-        for i, (a, b) in enumerate(part):
-            for left, right in {(a, b), (b, a)}:
-                cells.append(
-                    F.struct(
-                        F.lit(left).alias("column_a"),
-                        F.lit(right).alias("column_b"),
-                        F.col(f"c{i}").alias("corr"),
-                    )
-                )
-        long = row.select(F.inline(F.array(*cells)))
-        out = long if out is None else out.unionByName(long)
-    return out
+    moments = pair_moments(df, columns).select("i", F.posexplode(F.arrays_zip(*FIELDS)).alias("j", "m")).select("i", "j", "m.*")
+    # a spread within the rounding of the mean is none
+    spread = lambda s, m: F.when(F.col(s) > F.col("n") * F.pow(F.lit(4e-15) * F.abs(m), F.lit(2)), F.sqrt(s))
+    corr = F.try_divide(F.col("product"), spread("square", "mean") * spread("other_square", "other_mean"))
+    corr = F.when(F.col("i") == F.col("j"), corr * F.lit(0.0) + 1).otherwise(corr)
+    found = moments.select("i", "j", F.when(F.col("n") > 1, corr).alias("corr"))
+    return all_pairs(df, columns).join(found, ["i", "j"], "left").select("column_a", "column_b", "corr")
 
 
 def pie(df: DataFrame, category: str, value: str | None = None) -> DataFrame:
@@ -182,7 +183,6 @@ CHARTS = {
     "histogram": lambda df, c: histogram(df, c[0]),
     "box": lambda df, c: box(df, c[0], c[1] if len(c) > 1 else None),
     "bar": lambda df, c: bar(df, c[0], c[1] if len(c) > 1 else None),
-    "line": lambda df, c: line(df, c[0], c[1]),
     "scatter": lambda df, c: scatter(df, c[0], c[1]),
     "heatmap": lambda df, c: heatmap(df, c),
     "pie": lambda df, c: pie(df, c[0], c[1] if len(c) > 1 else None),
@@ -194,4 +194,6 @@ def chart_data(df: DataFrame, intent: Intent) -> DataFrame:
     problem = chart_problem(intent.chart_type, list(intent.columns), classes(df))
     if problem:
         raise IncompatibleColumn(problem)
+    if intent.chart_type == "line":
+        return line(df, *intent.columns[:2], mean=intent.mean)
     return CHARTS[intent.chart_type](df, list(intent.columns))

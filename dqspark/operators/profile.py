@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.functions.dates import CANDIDATE_FORMATS, ZONED_FORMATS, parse_date
-from dqspark.operators.frequency import distinct_counts, frequency_table, top_values
+from dqspark.functions.dates import CANDIDATE_FORMATS, ZONED_FORMATS, parse_date, sketch, sketches
+from dqspark.operators.frequency import approximate_distinct_counts, distinct_counts, frequency_table, top_values
 from dqspark.operators.quantiles import column_quantiles
 from dqspark.operators.similarity import DEFAULT_THRESHOLD, near_duplicates
 from dqspark.types import (
@@ -29,6 +29,7 @@ FENCE = 1.5  # fixed value: fences lie this many interquartile ranges outside th
 LOOKS_LIKE_DATE = 0.5  # fixed value: a column is date-like above this share of parsed labels
 DIGITS = 4  # fixed value: shares and moments are rounded to this many digits
 CHUNK = 40
+LABELS = 1_000  # a text column of more different values is free text, unless named as one of labels
 
 
 def fences(q1: float, q3: float) -> tuple[float, float]:
@@ -88,23 +89,26 @@ def _missing(rows: Column, valid: Column) -> Column:
 def date_rates(frequencies: DataFrame, formats: Sequence[str] = (*CANDIDATE_FORMATS, *ZONED_FORMATS)) -> DataFrame:
     """``(column, date_format, rate)``: the best format per column, the earlier one on ties.
 
-    Works on the frequency table, so each distinct text is parsed once.
+    Works on the frequency table, so each distinct text is looked at once. Its outline is looked up among the
+    outlines that the formats can have, a few hundred; the text is parsed by the formats of that outline only, and
+    free text, whose outline is none of them, by no format.
     """
-    hits = [
-        F.coalesce(F.sum(F.when(parse_date(F.col("value"), f).isNotNull(), F.col("n"))), F.lit(0))
-        for f in formats
-    ]
-    named = [
-        F.struct(h.alias("hit"), F.lit(-i).alias("place"), F.lit(f).alias("date_format"))
-        for i, (h, f) in enumerate(zip(hits, formats))
-    ]
-    best = frequencies.groupBy("column").agg(
-        F.array_max(F.array(*named)).alias("best"), F.sum("n").alias("n")
-    )
-    return best.select(
+    spark = frequencies.sparkSession
+    outlines = [(s, i) for i, f in enumerate(formats) for s in sorted(sketches(f))]
+    dictionary = F.broadcast(spark.createDataFrame(outlines, "outline string, place int"))
+    known = frequencies.withColumn("outline", sketch(F.col("value"))).join(dictionary, "outline")
+    parsed = None
+    for i, f in enumerate(formats):
+        is_date = parse_date(F.col("value"), f).isNotNull()
+        parsed = F.when(F.col("place") == i, is_date) if parsed is None else parsed.when(F.col("place") == i, is_date)
+    hits = known.where(parsed).groupBy("column", "place").agg(F.sum("n").alias("hit"))
+    best = hits.groupBy("column").agg(F.max(F.struct("hit", (-F.col("place")).alias("place"))).alias("best"))
+    totals = frequencies.groupBy("column").agg(F.sum("n").alias("n"))
+    names = F.array(*[F.lit(f) for f in formats])
+    return totals.join(best, "column", "left").select(
         "column",
-        F.col("best.date_format").alias("date_format"),
-        F.try_divide(F.col("best.hit").cast("double"), F.col("n")).alias("rate"),
+        F.get(names, F.coalesce(-F.col("best.place"), F.lit(0))).alias("date_format"),
+        F.try_divide(F.coalesce(F.col("best.hit"), F.lit(0)).cast("double"), F.col("n")).alias("rate"),
     )
 
 
@@ -117,9 +121,9 @@ def profile(
     """The full column profile; fields that do not apply to a column's class are NULL.
 
     Near-duplicate labels are counted here and listed by ``near_duplicates``: their number is
-    unbounded, so they do not belong into one row. They are looked for in
-    ``near_duplicate_columns``, by default in every text column; name the label columns where a
-    table also holds free text.
+    unbounded, so they do not belong into one row. They are looked for in ``near_duplicate_columns``, by default in the text
+    columns of about ``LABELS`` different labels at most: pairs of free text grow with its square, so such columns must be
+    named. NULL pairs tell that a column was not looked at.
     """
     columns = list(columns or df.columns)
     require(df, *columns)
@@ -127,7 +131,10 @@ def profile(
     numeric = [c for c in columns if kinds[c] == NUMERIC]
     text = [c for c in columns if kinds[c] == CATEGORICAL]
     countable = [c for c in columns if kinds[c] != OTHER]
-    labels = text if near_duplicate_columns is None else list(near_duplicate_columns)
+    labels = list(near_duplicate_columns or [])
+    if near_duplicate_columns is None and text:
+        found = approximate_distinct_counts(df, text).collect()  # a row per column
+        labels = [r["column"] for r in found if r["n_unique"] <= LABELS]
 
     limits = column_fences(df, numeric)
     place = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])

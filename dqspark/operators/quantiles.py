@@ -17,12 +17,14 @@ bounds the rows of every window below.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqspark.lineage import cut
+from dqspark.operators.ranks import ranks_in_place
 from dqspark.types import chunks, double_literal, melt, quoted, ref
 
 PARTS = 65_536
@@ -201,6 +203,16 @@ def grouped_quantiles(
     data = df.select(
         *[ref(k).alias(n) for k, n in zip(keys, names)], ref(value).cast("double").alias("value")
     ).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    if names and data.agg(F.approx_count_distinct(F.struct(*names))).first()[0] > BROADCAST_ROWS:
+        out = _of_many_groups(data, names, probs)
+        return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "q")
+    out, small = _narrowed(data, names, probs)
+    out = out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "q")
+    return F.broadcast(out) if small else out
+
+
+def _narrowed(data: DataFrame, names: list[str], probs: Sequence[float]) -> tuple[DataFrame, bool]:
+    """Quantiles per group by narrowing, and whether the table is known to be small."""
     targets, small = _order_statistics(data, names, probs)
     found = targets.select(*names, "lo", F.explode("ranks").alias("r"))
 
@@ -210,12 +222,16 @@ def grouped_quantiles(
         return f"CASE WHEN {low} = {high} THEN {low} ELSE {between} END"
 
     quantiles = F.expr(f"array({', '.join(at(i) for i in range(len(probs)))})")
-    out = (
-        found.groupBy(*names)
-        .agg(quantiles.alias("q"))
-        .select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "q")
-    )
-    return F.broadcast(out) if small else out
+    return found.groupBy(*names).agg(quantiles.alias("q")), small
+
+
+def _of_many_groups(data: DataFrame, names: list[str], probs: Sequence[float]) -> DataFrame:
+    """Quantiles per group from one range shuffle; the groups on borders of its tasks, two a task at most, are narrowed."""
+    found = cut(ranks_in_place(data, names, probs))
+    border = found.where("q IS NULL").select(*[F.col(n).alias(f"b_{n}") for n in names]).distinct()
+    same = [F.col(n).eqNullSafe(F.col(f"b_{n}")) for n in names]
+    rest, _ = _narrowed(data.join(border, reduce(Column.__and__, same), "left_semi"), names, probs)
+    return found.where("q IS NOT NULL").select(*names, "q").unionByName(rest.select(*names, "q"))
 
 
 def _between(low: float, frac: float, high: float) -> float:

@@ -38,7 +38,8 @@ DEFAULT_THRESHOLD = 0.85  # fixed value: the threshold below which labels count
 SLACK = 1e-9
 BLOCK_ROWS = 4_000
 LONG = 32
-HEAD_ROWS = 2_000
+AHEAD = 16  # labels of a block that the first round of merging looks at
+SMALL = 2_000  # a table of no more labels is settled in one round: all its pairs are a bounded number
 
 
 def _need(t: float) -> str:
@@ -116,15 +117,20 @@ def _meet_long(
     return met.join(_with_masks(shorter).withColumnRenamed("label", "b"), [*keys, "b"])
 
 
-def _blocks(labels: DataFrame, keys: list[str], t: float, probe: bool) -> DataFrame:
-    """One row per label and block: ``short, long, i, part`` name the block besides ``keys``."""
+def _blocks(
+    labels: DataFrame, keys: list[str], t: float, probe: bool, carry: Sequence[str] | None = None
+) -> DataFrame:
+    """One row per label and block: ``short, long, i, part`` name the block besides ``keys``.
+
+    Carried along are the columns named, else what scoring needs of the shorter label.
+    """
     if _by_grams(t):
         labels = labels.where(F.length("label") < LONG)
     if probe:
         others = f"sequence(cast(ceil(length(label) * {t / (2 - t)!r}D - {SLACK!r}D) AS int), length(label))"
     else:
         others = f"sequence(length(label), cast(floor(length(label) * {(2 - t) / t!r}D + {SLACK!r}D) AS int))"
-    extra = [] if probe else ["alphabet", "masks"]
+    extra = list(carry) if carry is not None else [] if probe else ["alphabet", "masks"]
     sized = (
         labels.select(*keys, "label", *extra, F.expr(f"explode({others}) AS other"))
         .selectExpr(
@@ -294,40 +300,90 @@ def near_duplicates(
     )
 
 
-def _merge_rounds(ranked: DataFrame, threshold: float) -> DataFrame:
-    """``(label, canonical)`` from all pairs of a checkpointed ``(label, rank)`` table."""
-    pairs = similar_pairs(ranked, threshold)
-    a = ranked.select(F.col("label").alias("a"), F.col("rank").alias("rank_a"))
-    b = ranked.select(F.col("label").alias("b"), F.col("rank").alias("rank_b"))
-    sided = pairs.join(a, "a").join(b, "b")
-    forward = F.col("rank_a") < F.col("rank_b")
-    edges = cut(
-        sided.select(
-            F.when(forward, F.col("a")).otherwise(F.col("b")).alias("early"),
-            F.when(forward, F.col("rank_a")).otherwise(F.col("rank_b")).alias("early_rank"),
-            F.when(forward, F.col("b")).otherwise(F.col("a")).alias("late"),
-        )
+BLOCK = ["short", "long", "i", "part"]
+AS_INDEX, AS_PROBE = 1, 2
+
+
+def _block_rows(ranked: DataFrame, t: float) -> DataFrame:
+    """``(label, rank, role)`` and the block: every block in which a label can meet a similar one.
+
+    Labels met over pairs of characters play both roles in such a block.
+    """
+    carried = ["rank"]
+    index = _blocks(ranked, [], t, probe=False, carry=carried).withColumn("role", F.lit(AS_INDEX))
+    probe = _blocks(ranked, [], t, probe=True, carry=carried).withColumn("role", F.lit(AS_PROBE))
+    wanted = [*BLOCK, "label", "rank", "role"]
+    rows = index.select(*wanted).unionByName(probe.select(*wanted))
+    if not _by_grams(t):
+        return rows
+    grams = cut(_grams(ranked, [], t))
+    counts = grams.groupBy("gram", "nth").agg(F.count(F.lit(1)).alias("often"))
+    long = _rarest(grams, counts, [], t).join(ranked, "label")
+    return rows.unionByName(
+        long.selectExpr("-1 AS short", "-1 AS long", "cast(nth AS int) AS i", "gram AS part", "label", "rank", f"{AS_INDEX | AS_PROBE} AS role")
     )
-    members = edges.select("early").limit(0)
-    open_edges = edges
-    while not open_edges.isEmpty():
-        # Nothing undecided comes before these, so they lead; their neighbours are decided too.
-        new = open_edges.select("early").join(
-            open_edges.select(F.col("late").alias("early")).distinct(), "early", "left_anti"
-        )
-        new = new.distinct()
-        claimed = cut(open_edges.join(new, "early", "left_semi").select("late").distinct())
-        gone = claimed.select(F.col("late").alias("early"))
-        members = members.unionByName(gone)
-        open_edges = cut(
-            open_edges.join(claimed, "late", "left_anti").join(gone, "early", "left_anti")
-        )
-    # Whoever was never claimed leads, also one whose neighbours all went to others first.
-    return (
-        edges.join(members, "early", "left_anti")
-        .groupBy(F.col("late").alias("label"))
-        .agg(F.min_by("early", "early_rank").alias("canonical"))
+
+
+def _first_pairs(rows: DataFrame, t: float, first: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Similar pairs ``(early, late)`` among the first labels of each block, and the labels that are not
+    among the first in some block, so that earlier ones may be similar to them unseen; None where there is
+    none, so that these are all pairs. Without ``first`` all of each block are looked at."""
+    near, unsure = rows, None
+    if first is not None:
+        order = Window.partitionBy(*BLOCK).orderBy("rank")
+        ahead = cut(rows.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= first + 1))
+        bounds = ahead.where(F.col("place") == first + 1).select(*BLOCK, F.col("rank").alias("bound")).distinct()
+        unsure = cut(rows.join(bounds, BLOCK).where(F.col("rank") >= F.col("bound")).select("label").distinct())
+        unsure = None if unsure.isEmpty() else unsure
+        near = ahead.where(F.col("place") <= first)
+
+    def side(role: int, label: str, rank: str) -> DataFrame:
+        return near.where(F.col("role").bitwiseAND(role) > 0).select(*BLOCK, F.col("label").alias(label), F.col("rank").alias(rank))
+
+    met = (
+        side(AS_INDEX, "b", "rank_b")
+        .join(side(AS_PROBE, "a", "rank_a"), BLOCK)
+        .selectExpr("a", "b", "rank_a < rank_b AS forward", "length(b) AS short", "length(a) AS long")
+        .where("short < long OR (short = long AND a > b)")
+        .selectExpr("*", f"{_need(t)} AS need")
+        .where("need <= short")
+        .distinct()
     )
+    met = met.selectExpr("*", f"{bit_alphabet('b')} AS alphabet", f"{bit_masks('b')} AS masks")
+    met = met.where(f"{lcs_length('alphabet', 'masks', 'short', 'a')} >= need")
+    return cut(met.selectExpr("if(forward, a, b) AS early", "if(forward, b, a) AS late").distinct()), unsure
+
+
+def _leaders(ranked: DataFrame, t: float, first: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """``(label, rank)`` of the labels that surely lead, judged by the first labels of each block, and all similar pairs if
+    those were all.
+
+    One that is among the first in all its blocks has all its earlier similar labels in ``edges``. It leads once those
+    are claimed. The earliest label of all is always such a one.
+    """
+    edges, unsure = _first_pairs(_block_rows(ranked, t), t, first)
+    waiting = ranked if unsure is None else ranked.join(unsure, "label", "left_anti")
+    found, left = None, edges
+    while True:
+        behind = left.select(F.col("late").alias("label")).distinct()
+        new = waiting.join(behind, "label", "left_anti")
+        found = new if found is None else found.unionByName(new)
+        claimed = cut(left.join(new.select(F.col("label").alias("early")), "early", "left_semi").select("late").distinct())
+        if claimed.isEmpty():
+            return cut(found), edges if unsure is None else None
+        gone = claimed.select(F.col("late").alias("label"))
+        waiting = cut(waiting.join(behind, "label", "left_semi").join(gone, "label", "left_anti"))
+        left = cut(left.join(claimed, "late", "left_anti").join(claimed.withColumnRenamed("late", "early"), "early", "left_anti"))
+
+
+def _reached(leaders: DataFrame, others: DataFrame, t: float, edges: DataFrame | None = None) -> DataFrame:
+    """``(label, canonical, rank)``: the labels similar to a leader, with the earliest such leader. ``edges`` are all pairs, if known."""
+    if edges is not None:
+        pairs = edges.select(F.col("early").alias("left"), F.col("late").alias("right"))
+    else:
+        pairs = pairs_between(leaders, others, t)
+    pairs = pairs.join(leaders.withColumnRenamed("label", "left"), "left")
+    return pairs.groupBy(F.col("right").alias("label")).agg(F.min_by("left", "rank").alias("canonical"), F.min("rank").alias("rank"))
 
 
 def greedy_merge(ranked: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
@@ -339,37 +395,39 @@ def greedy_merge(ranked: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> Dat
     lexicographically first maximal independent set of the similarity graph, and a label belongs
     to the earliest leader next to it. Rounds find them in parallel (Blelloch et al., 2012).
 
-    One family of similar labels may hold a large part of a big table, and its pairs alone would
-    be quadratic. While it pays, the first ``HEAD_ROWS`` labels are therefore settled among
-    themselves and their leaders claim what they reach in the rest: that needs no pair between
-    two labels of the rest, and gives the same result.
+    A family of similar labels may hold a large part of a big table, and its pairs alone would be
+    quadratic. So a round looks at the first ``AHEAD`` labels of each block only, settles what they decide, and lets
+    the new leaders claim what they reach among all; families vanish from the blocks with their leaders. The
+    prefix grows fourfold from round to round, so what stays in a block are labels that truly are
+    not similar. Pairs of two members outside these prefixes are never made.
     """
+    t = _check(threshold)
     rest = cut(ranked.select("label", "rank"))
-    n = rest.count()
-    claims = []
-    while n > 2 * HEAD_ROWS:
-        head = cut(rest.orderBy("rank").limit(HEAD_ROWS))
-        inside = cut(_merge_rounds(head, threshold))
-        leaders = cut(head.join(inside, "label", "left_anti"))
-        tail = rest.join(head, "label", "left_anti")
-        reached = (
-            pairs_between(leaders, cut(tail), threshold)
-            .join(leaders.select(F.col("label").alias("left"), "rank"), "left")
-            .groupBy(F.col("right").alias("label"))
-            .agg(F.min_by("left", "rank").alias("canonical"))
-        )
-        reached = cut(reached)
-        claims += [inside, reached]
-        rest = cut(tail.join(reached, "label", "left_anti"))
-        left = rest.count()
-        pays = left < 0.8 * n
-        n = left
-        if not pays:
+    first, found, claims = AHEAD, [], []
+    left = rest.count()
+    while left:
+        leaders, edges = _leaders(rest, t, first if left > SMALL else None)
+        others = rest.join(leaders, "label", "left_anti")
+        reached = cut(_reached(leaders, others, t, edges))
+        found.append(leaders)
+        claims.append(reached)
+        if edges is not None:  # nothing is undecided
             break
-    mapping = _merge_rounds(rest, threshold)
+        rest = cut(others.select("label", "rank").join(reached, "label", "left_anti"))
+        left = rest.count()
+        first *= 4
+    mapping = ranked.selectExpr("label", "label AS canonical", "rank").limit(0)
     for claim in claims:
         mapping = mapping.unionByName(claim)
-    return mapping
+    if len(found) > 1:  # a label that was claimed may be next to a still earlier leader found after it
+        later = found[1]
+        for leaders in found[2:]:
+            later = later.unionByName(leaders)
+        before = claims[0]
+        for claim in claims[1:-1]:
+            before = before.unionByName(claim)
+        mapping = mapping.unionByName(_reached(cut(later), cut(before.select("label")), t))
+    return mapping.groupBy("label").agg(F.min_by("canonical", "rank").alias("canonical"))
 
 
 def label_mapping(

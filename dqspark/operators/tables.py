@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dqspark.lineage import cut
 from dqspark.types import normalise_missing, ref, require
 
 MIN_SCORE = 2.5  # fixed value: rows scored below this are not kept
+BROADCAST_PARTITIONS = 100_000  # names of partitions sent to every task, else joined by key
 
 
 def keep_best(
@@ -152,3 +154,24 @@ def first_rows(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
     """The first rows in an order, as a sample to look at: a distributed top-n, not a sort."""
     require(df, *order)
     return df.orderBy(*[ref(c).asc_nulls_last() for c in order]).limit(n)
+
+
+def upsert_stored(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], seq: str, partition: str) -> int:
+    """Upsert rows into a Parquet table stored by a partition column; gives the number of partitions rewritten.
+
+    Only partitions that incoming rows fall into are read, merged and replaced, by a dynamic overwrite
+    after the merged rows have been written elsewhere in full; files of other partitions are not touched. A key must stay in
+    its partition. Among incoming rows of one key the last (by ``seq``) wins, and new keys are added.
+    """
+    require(incoming, *keys, seq, partition)
+    schema = spark.read.parquet(path).schema  # from the table's footers and folder names
+    stored = spark.read.schema(schema).parquet(path)
+    require(stored, *keys, seq, partition)
+    incoming = cut(incoming.select(*[ref(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]))
+    touched = incoming.select(ref(partition).alias("touched")).distinct()
+    same = ref(partition).eqNullSafe(F.col("touched"))
+    existing = stored.join(F.broadcast(touched) if touched.count() <= BROADCAST_PARTITIONS else touched, same, "left_semi")
+    merged = cut(upsert_latest(existing, incoming, keys, seq).select(*[ref(c) for c in schema.names]))
+    # a large partition is split among tasks, small ones share one
+    merged.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return merged.select(ref(partition)).distinct().count()

@@ -60,13 +60,14 @@ class Action:
 
 @dataclass(frozen=True)
 class Intent:
-    """One wanted chart."""
+    """One wanted chart. ``mean`` says of a line that it shows one averaged point for each x."""
 
     chart_type: str
     columns: tuple[str, ...]
     category: str = ""
     priority_score: float = 0.0
     rationale: str = ""
+    mean: bool = False
 
     def __post_init__(self) -> None:
         if self.chart_type not in CHART_TYPES:

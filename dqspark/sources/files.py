@@ -29,18 +29,21 @@ def _every_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def probe_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, delimiter, encoding)`` for every file below a path, in one pass over their lines.
+    """``(file, delimiter, encoding, quoted_ends)`` for every file below a path, in one pass over their lines.
 
     A delimiter is judged by the share of lines that hold it equally often (its most common
     count above zero). A file is ``utf-8`` where every line is valid UTF-8, else ``iso-8859-1``.
     Counts are combined per file before the shuffle; large files are split among tasks. An empty
-    file has the fallback delimiter and is ``utf-8``.
+    file has the fallback delimiter and is ``utf-8``. ``quoted_ends``: some line has an odd number of quotes, so that a
+    quoted field goes on in the next.
     """
     lines = _lines(spark, path)
-    lines = lines.withColumn("sound", F.is_valid_utf8("value"))
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+    lines = lines.withColumn("sound", F.is_valid_utf8("value")).withColumn("odd", quotes % 2 == 1)
     counted = lines.select(
         "file",
         "sound",
+        "odd",
         F.inline(
             F.array(
                 *[
@@ -54,17 +57,19 @@ def probe_files(spark: SparkSession, path: str) -> DataFrame:
         ),
     )
     votes = counted.groupBy("file", "place", "times").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and("sound").alias("sound")
+        F.count(F.lit(1)).alias("n"), F.bool_and("sound").alias("sound"), F.bool_or("odd").alias("odd")
     )
     best = votes.groupBy("file").agg(
         F.max(F.when(F.col("times") > 0, F.struct("n", -F.col("place")))).alias("best"),
         F.bool_and("sound").alias("sound"),
+        F.bool_or("odd").alias("odd"),
     )
     names = F.array(*[F.lit(d) for d in DELIMITERS])
     return _every_file(spark, path).join(best, "file", "left").select(
         "file",
         F.coalesce(F.get(names, (-F.col("best.col2")).cast("int")), F.lit(FALLBACK)).alias("delimiter"),
         F.when(F.coalesce("sound", F.lit(True)), "utf-8").otherwise("iso-8859-1").alias("encoding"),
+        F.coalesce("odd", F.lit(False)).alias("quoted_ends"),
     )
 
 
@@ -84,35 +89,36 @@ def read_delimited(
     delimiter: str | None = None,
     encoding: str | None = None,
     schema: T.StructType | str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     corrupt_column: str | None = None,
 ) -> DataFrame:
     """A delimited text table with a header; fields may be quoted, a quote inside is doubled.
 
-    Delimiter and encoding are detected per file where not given: files that share both are read
-    together, and the parts are united by column name (files with other columns are an error). ``multi_line`` allows line ends
-    inside quotes; a file is then read by one task. Without ``schema`` types are inferred, which reads the
+    Delimiter, encoding and whether line ends occur inside quotes (``multi_line``) are detected per file where not given: files
+    that share them are read together, and the parts are united by column name (files with other columns are an error). A file
+    with line ends inside quotes is read by one task, others are split. Whole numbers stay whole, of whatever widths. Without ``schema`` types are inferred, which reads the
     data once more. With ``corrupt_column`` lines that do not fit are kept there as text.
     """
-    groups = [(delimiter or FALLBACK, encoding or "utf-8", [path])]
-    if delimiter is None or encoding is None:
+    groups = [(delimiter or FALLBACK, encoding or "utf-8", bool(multi_line), [path])]
+    if delimiter is None or encoding is None or multi_line is None:
         found = probe_files(spark, path).select(
             "file",
             F.lit(delimiter).alias("delimiter") if delimiter else "delimiter",
             F.lit(encoding).alias("encoding") if encoding else "encoding",
+            F.lit(multi_line).alias("multi") if multi_line is not None else F.col("quoted_ends").alias("multi"),
         )
-        kinds = found.groupBy("delimiter", "encoding").agg(F.collect_set("file").alias("files"))
-        groups = [(r["delimiter"], r["encoding"], r["files"]) for r in kinds.collect()]  # names of files
+        kinds = found.groupBy("delimiter", "encoding", "multi").agg(F.collect_set("file").alias("files"))
+        groups = [tuple(r) for r in kinds.collect()]  # names of files
         if len(groups) == 1:
-            groups = [(*groups[0][:2], [path])]
+            groups = [(*groups[0][:3], [path])]
     parts = []
-    for sep, charset, files in sorted(groups):
+    for sep, charset, multi, files in sorted(groups):
         reader = (
             spark.read.option("header", True)
             .option("sep", sep)
             .option("encoding", charset)
             .option("escape", '"')
-            .option("multiLine", multi_line)
+            .option("multiLine", multi)
             .option("mode", "PERMISSIVE")
         )
         wanted = schema
@@ -128,17 +134,25 @@ def read_delimited(
     return reduce(DataFrame.unionByName, _same_types(parts))
 
 
+def _common_type(found: set[T.DataType]) -> T.DataType:
+    """The type that holds the values of all: whole numbers stay whole, other numbers become doubles, all else text."""
+    if len(found) == 1:
+        return next(iter(found))
+    if all(isinstance(t, T.IntegralType) for t in found):
+        return T.LongType()
+    whole = all(isinstance(t, T.IntegralType) or (isinstance(t, T.DecimalType) and t.scale == 0) for t in found)
+    if whole:  # the reader infers decimals without a fraction for numbers beyond a long
+        return T.DecimalType(38, 0)
+    return T.DoubleType() if all(isinstance(t, T.NumericType) for t in found) else T.StringType()
+
+
 def _same_types(parts: list[DataFrame]) -> list[DataFrame]:
-    """Columns whose types were inferred differently become numbers where all are, else text."""
+    """Columns whose types were inferred differently get their common type."""
     kinds: dict[str, set] = {}
     for df in parts:
         for f in df.schema.fields:
             kinds.setdefault(f.name, set()).add(f.dataType)
-    to = {
-        c: T.DoubleType() if all(isinstance(t, T.NumericType) for t in found) else T.StringType()
-        for c, found in kinds.items()
-        if len(found) > 1
-    }
+    to = {c: _common_type(found) for c, found in kinds.items() if len(found) > 1}
     return [df.select(*[ref(c).cast(to[c]).alias(c) if c in to else ref(c) for c in df.columns]) for df in parts]
 
 

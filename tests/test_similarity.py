@@ -66,11 +66,12 @@ def test_pairs_equal_brute_force(monkeypatch, spark, labels, truth, t, block_row
     assert len(got) == len(set(got)) and set(got) == want
 
 
-@pytest.mark.parametrize("head_rows", [2_000, 60])
-def test_merge_equals_the_walk(monkeypatch, spark, labels, truth, head_rows):
-    monkeypatch.setattr(S, "HEAD_ROWS", head_rows)
+@pytest.mark.parametrize("first,small", [(16, 2_000), (16, 0), (1, 0)])
+def test_merge_equals_the_walk(monkeypatch, spark, labels, truth, first, small):
+    monkeypatch.setattr(S, "AHEAD", first)
+    monkeypatch.setattr(S, "SMALL", small)
     rng = random.Random(11)
-    for t in (0.6, 0.85):
+    for t in (0.85,) if first == 1 else (0.6, 0.85):
         order = list(labels)
         rng.shuffle(order)
         df = spark.createDataFrame([(x, i) for i, x in enumerate(order)], "label string, rank int")
@@ -86,6 +87,39 @@ def test_claims_are_not_chained(spark):
     assert [tuple(r) for r in S.greedy_merge(df, 0.9).collect()] == [(chain[1], chain[0])]
 
 
+def test_pairs_of_a_merge_grow_with_the_labels(spark, monkeypatch):
+    """Families of similar labels, one after the other in rank: four times the members, about four times the pairs."""
+    looked_at = []
+    monkeypatch.setattr(S, "SMALL", 0)
+    first_pairs, between = S._first_pairs, S.pairs_between
+    monkeypatch.setattr(S, "_first_pairs", lambda *a: (out := first_pairs(*a), looked_at.append(out[0].count()))[0])
+    monkeypatch.setattr(S, "pairs_between", lambda *a: (out := between(*a), looked_at.append(out.count()))[0])
+    sums = []
+    for members in (100, 400):
+        rng = random.Random(members)
+        rows = []
+        for family in range(20):
+            stem = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(16))
+            rows += [(stem[:13] + f"{i:03d}", family * members + i) for i in range(members)]
+        looked_at.clear()
+        mapping = S.greedy_merge(spark.createDataFrame(rows, "label string, rank int"), 0.8)
+        assert mapping.count() == 20 * (members - 1)
+        assert mapping.select("canonical").distinct().count() == 20
+        sums.append(sum(looked_at))
+    assert sums[0] < 20 * 100 * 20 and sums[1] <= 4.5 * sums[0]
+
+
+def test_an_earlier_leader_found_later_still_claims(spark, monkeypatch):
+    monkeypatch.setattr(S, "AHEAD", 1)
+    monkeypatch.setattr(S, "SMALL", 0)
+    rng = random.Random(8)
+    order = ["".join(rng.choice("ab") for _ in range(rng.randint(5, 9))) for _ in range(60)]
+    order = list(dict.fromkeys(order))
+    truth = {(min(a, b), max(a, b)): ratio(a, b) for a, b in itertools.combinations(order, 2)}
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(order)], "label string, rank int")
+    assert {r.label: r.canonical for r in S.greedy_merge(df, 0.85).collect()} == greedy(order, truth, 0.85)
+
+
 def test_near_duplicates_ignore_case(spark):
     rows = [("Active",), ("ACTIVE",), ("actve",), ("idle",), (None,), ("",)]
     df = spark.createDataFrame(rows, "s string")
