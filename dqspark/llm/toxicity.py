@@ -25,7 +25,7 @@ from dqspark.llm.common import ship, written
 from dqspark.llm.mixing import mixed64
 
 #: Labelled documents that the fit reads at most (those with the smallest hashes of their ids), as its one bound.
-LABELLED = 1 << 15
+LABELLED = 1 << 14
 #: Two rows of so many counters hold the counts of units; a unit's count is the smaller of its two.
 WIDTH = 1 << 19
 SPARE = 2 * WIDTH
@@ -155,7 +155,7 @@ class Model:
     def token_scores(self, at: np.ndarray, left_out: bool | None = None) -> np.ndarray:
         """What each word adds, given its counters. With ``left_out`` a document with all these words is taken out of the
         counts of its side (toxic or not) first."""
-        toxic, clean = (x[at].min(axis=2) - (left_out is side) for x, side in ((self.toxic, True), (self.clean, False)))
+        toxic, clean = (x[at].min(axis=2).astype(float) - (left_out is side) for x, side in ((self.toxic, True), (self.clean, False)))
         spare = at[:, :, 0] == SPARE
         toxic[spare] = clean[spare] = 0
         value, z = log_odds(toxic, clean, self.n_toxic, self.n_clean)
@@ -269,10 +269,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """
     texts = written(labelled_texts(docs, labels), "labelled")
     sides = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
-    found = counted(texts).toPandas()  # two rows of counters at most
-    model = Model(np.zeros(SPARE + 1), np.zeros(SPARE + 1), 0.0, 0.0)
-    model.toxic[found["counter"]], model.clean[found["counter"]] = found["toxic"], found["clean"]
-    model.n_toxic, model.n_clean = model.toxic.sum() / 2, model.clean.sum() / 2
+    found = counted(texts).toArrow()  # two rows of counters at most
+    model = Model(np.zeros(SPARE + 1, np.float32), np.zeros(SPARE + 1, np.float32), 0.0, 0.0)
+    at, toxic, clean = (c.to_numpy() for c in found.columns)
+    model.toxic[at], model.clean[at] = toxic, clean
+    model.n_toxic, model.n_clean = toxic.sum() / 2, clean.sum() / 2
     if len(sides) < 2:
         return model
     ship(docs.sparkSession)
