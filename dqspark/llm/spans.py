@@ -28,8 +28,8 @@ from dqspark.llm.common import ship, written
 
 MARK = "▁"
 #: Words a worker remembers, and the longest one remembered; different pairs of documents that go
-#: into one chunk, and documents that are split into words together.
-WORDS, LONG, CHUNK, TOGETHER = 400_000, 64, 1 << 20, 1024
+#: into one chunk, documents that are split into words together, and words that are encoded as one text.
+WORDS, LONG, CHUNK, TOGETHER, LINE = 400_000, 64, 1 << 20, 1024, 256
 
 
 @dataclass
@@ -105,7 +105,10 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
         # characters that stand before a mark in some piece: no cut after those
         before = {p[i] for p in names for i in range(len(p) - 1) if p[i + 1] == MARK}
-        self.cut = re.compile(f"(?<=[^\\s{re.escape(''.join(sorted(before | {MARK})))}]) (?=.)", re.DOTALL)
+        last = f"[^\\s{re.escape(''.join(sorted(before | {MARK})))}]"
+        self.cut = re.compile(f"(?<={last}) (?=.)", re.DOTALL)
+        # words that may stand before others: no token crosses the blank after them
+        self.regular = re.compile(f"[^{MARK}]*(?<={last})", re.DOTALL)
         self.a_size, self.b_size = (np.array([len(x) for x in own]) for own in (self.a_bytes, self.b_bytes))
         # ids in writing, with what follows them: inside a group, and at its end
         signs = ((self.a_bytes, b","), (self.a_bytes, b"|"), (self.b_bytes, b","), (self.b_bytes, b";"))
@@ -116,18 +119,32 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.words = Aligned(*(np.zeros(0, t) for t in (bool, int, int, int)), np.zeros(1, int), np.zeros(0, np.int64), [])
 
-    def align(self, texts: list[str]) -> Aligned:
-        """The alignment of non-empty texts, all in one go: they lie one after the other, each with its blank before it."""
-        spaced = [" " + t for t in texts]
+    def lines(self, texts: list[str]) -> list[int]:
+        """Where texts that are encoded together begin, and the number of texts."""
+        out, open_ = [], 0
+        for i, t in enumerate(texts):
+            if not open_:
+                out.append(i)
+            open_ = (open_ + 1) % LINE if self.regular.fullmatch(t) else 0
+        return [*out, len(texts)]
+
+    def align(self, texts: list[str], alone: bool = False) -> Aligned:
+        """The alignment of non-empty texts, all in one go: they lie one after the other, each with its blank before it.
+        As many as tokens cannot cross are encoded as one, unless ``alone``."""
+        begins = range(len(texts) + 1) if alone else self.lines(texts)
+        lines = [" ".join(texts[i:j]) if j - i > 1 else texts[i] for i, j in zip(begins, begins[1:])]
+        spaced = [" " + t for t in lines]
         own = [t.encode() for t in spaced]
         a = self.a.encode_batch(spaced, add_special_tokens=False)
-        b = [x.pieces for x in self.b.encode(texts, return_type="proto", num_threads=1)]
+        b = [x.pieces for x in self.b.encode(lines, return_type="proto", num_threads=1)]
         n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
         ids_a = np.fromiter(chain.from_iterable(x.ids for x in a), np.int64, n_a.sum())
         ids_b, begin, end = np.array([v for x in b for p in x for v in (p.id, p.begin, p.end)], np.int64).reshape(-1, 3).T
+        sound = self.gives_back(own, ids_a, n_a, ids_b, n_b)
+        if not alone and not sound.all():
+            return self.align(texts, alone=True)
         sizes = np.array([len(x) for x in own])
         ends = np.cumsum(sizes)
-        sound = self.gives_back(own, ids_a, n_a, ids_b, n_b)
 
         # A's spans are characters of its text
         code = np.frombuffer("".join(spaced).encode("utf-32-le"), np.uint32)
@@ -139,6 +156,10 @@ class Aligner:
         # B's are bytes of its text, without the blank before it; bytes of a character but the last have no width
         first = np.repeat(ends - sizes + 1, n_b)
         e_b = token_ends(end + first, end > begin, self.b_size[ids_b], np.cumsum(n_b), ends)
+        if not alone:  # from lines to texts
+            ends = at[np.cumsum([len(t) + 1 for t in texts])]
+            n_a, n_b = (np.diff(np.searchsorted(e, ends, "right"), prepend=0) for e in (e_a, e_b))
+            sound = np.ones(len(texts), bool)
 
         if not sound.all():  # what is not given back has no places that could be compared
             whole = np.repeat(sound, n_a), np.repeat(sound, n_b)
