@@ -10,6 +10,7 @@ the minimum of a sliding window, kept in a monotone queue.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -108,7 +109,7 @@ class WordTokens:
         if open_:
             new = self.learn(list(dict.fromkeys(w for i in open_ for w, k in zip(split[i], found[i]) if k is None)))
             for i in open_:
-                found[i] = [known[w] if k is None else k for w, k in zip(split[i], found[i])]
+                found[i] = list(map(known.__getitem__, split[i]))
         for text, own, is_whole in zip(texts, found, whole):
             if is_whole:
                 yield np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_TOKEN], np.uint32)
@@ -253,6 +254,13 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles; looking for them would walk through all remembered words
+        try:
+            yield from streamed(batches)
+        finally:
+            gc.enable()
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(tokenizer)
         packer = Packer(tokens, TaskContext.get().partitionId() << 40)
         ids, rows, before = [], [], 0
