@@ -1,15 +1,18 @@
 """Mixing sources to target weights, block by block.
 
-The words of each source, its documents in the order of their ids, form one stream cut into blocks
-of ``BLOCK`` words. A source takes part in the mix with as many slots as its target asks for. Every
-slot is thrown into an output shard, which makes the counts of the sources in the shards a
-multinomial draw with fixed totals. The slots of a source run through its blocks in the order of
-a pseudorandom permutation of the block numbers, a new one for every pass, so a block is
-taken at most once more than any other. Slots and blocks meet in a join by block number.
+The words of each source, its documents in the order of a hash of their rows, form one stream cut
+into blocks of ``BLOCK`` words. A source takes part in the mix with as many slots as its target asks
+for. How many of them each output shard gets is drawn: the counts of the sources in the shards are
+multinomial, given that a source's counts add up to its slots, and are found by halving the range of
+shards with binomial draws, so that any task can tell a shard's counts without the others. A shard
+owns the next run of that many slots of the source. The slots of a source run through its blocks in
+the order of a pseudorandom permutation of the block numbers, a new one for every pass, so a block
+is taken at most once more than any other. Slots and blocks meet in a join by block number.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 
 from dqspark.llm.common import row_keys, ship, words, written
 
-#: Words of a block; ids of documents summed up together; slots that one row unfolds to; slots of a shard.
-BLOCK, IDS, FAN, SHARD = 32, 1024, 4096, 1 << 20
+#: Words of a block; groups that a source's documents are summed up in; slots of a shard, on average.
+BLOCK, GROUPS, SHARD = 32, 1 << 20, 1 << 15
 WEIGHTS, SHARE, REPEATS, SEED = (3, 1, 2), 1.5, 2, 7
 
 
@@ -105,67 +108,124 @@ def laid_out(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     names = F.broadcast(sources.select("rank", F.col("source").alias("name")))
     rows = rows.join(names, rows.source.eqNullSafe(names.name)).drop("source", "name")
-    # a sum over a whole source is two sums: over some hundred neighbouring ids, and over those groups
-    ids = F.expr(f"coalesce(floor(try_cast(doc_id AS double) / {IDS}), -1 - pmod(k1, {IDS}))").cast("bigint")
-    rows = rows.withColumn("ids", ids)
-    before = Window.partitionBy("rank").orderBy("ids").rowsBetween(Window.unboundedPreceding, -1)
-    groups = rows.groupBy("rank", "ids").agg(F.sum("size").alias("n"))
-    groups = groups.select("rank", "ids", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("rank", "ids").orderBy("doc_id", "k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.join(groups, ["rank", "ids"])
-    rows = rows.select("k1", "k2", "doc_id", "rank", "size", (F.col("base") + F.col("inside")).alias("start"))
-    return written(rows, "layout"), sources
+    # a sum over a whole source is two sums: over the documents of a group of hashes, and over the groups
+    rows = rows.withColumn("part", F.pmod("k1", F.lit(GROUPS)))
+    some = rows.where("size > 0")
+    before = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    groups = some.groupBy("rank", "part").agg(F.sum("size").alias("n"))
+    groups = groups.select("rank", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("rank", "part").orderBy("k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
+    some = some.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(groups, ["rank", "part"])
+    some = some.select("k1", "k2", "doc_id", "rank", "size", (F.col("base") + F.col("inside")).alias("start"))
+    empty = rows.where("size = 0").select("k1", "k2", "doc_id", "rank", "size", F.lit(0).cast("bigint").alias("start"))
+    return written(some.unionByName(empty), "layout"), sources
+
+
+@functools.lru_cache(1 << 12)
+def drawn_left(source: int, low: int, high: int, slots: int) -> int:
+    """How many of the slots thrown into shards ``low`` to ``high`` fall into the lower half of these."""
+    random = np.random.Generator(np.random.Philox(np.random.SeedSequence((SEED, source, low, high))))
+    return int(random.binomial(slots, ((low + high) // 2 - low) / (high - low)))
+
+
+def drawn(shard: int, shards: int, source: int, slots: int) -> tuple[int, int]:
+    """The first slot and the number of slots of a source that a shard owns."""
+    low, high, first = 0, shards, 0
+    while high - low > 1:
+        middle, left = (low + high) // 2, drawn_left(source, low, high, slots)
+        if shard < middle:
+            high, slots = middle, left
+        else:
+            low, first, slots = middle, first + left, slots - left
+    return first, slots
+
+
+def owned(shard: pd.Series, shards: pd.Series, source: pd.Series, slots: pd.Series) -> pd.DataFrame:
+    """``drawn`` for many shards and sources."""
+    return pd.DataFrame(
+        [drawn(*map(int, row)) for row in zip(shard, shards, source, slots)], columns=["first", "count"]
+    ).astype("int64")
+
+
+def shard_table(sources: DataFrame) -> DataFrame:
+    """The draw: ``shard``, ``rank``, ``blocks``, and the run of the source's slots that the shard owns,
+    ``first`` and ``count``. Shards with none of a source have no row for it."""
+    spark = sources.sparkSession
+    n, total = sources.agg(F.count("*"), F.coalesce(F.sum("slots"), F.lit(0))).first()
+    shards = max(1, -(-total // SHARD))
+    tasks = min(max(1, n * shards), max(spark.sparkContext.defaultParallelism, shards // 64))
+    every = spark.range(0, n * shards, 1, tasks).select(
+        F.expr(f"id DIV {max(1, n)}").alias("shard"), F.expr(f"id % {max(1, n)}").cast("int").alias("rank")
+    )
+    every = every.join(F.broadcast(sources.select("rank", "blocks", "slots")), "rank").where("slots > 0")
+    draw = F.pandas_udf(owned, "first bigint, count bigint")
+    every = every.withColumn("own", draw("shard", F.lit(shards), "rank", "slots"))
+    return every.select("shard", "rank", "blocks", "own.first", "own.count").where("count > 0")
 
 
 def slot_table(sources: DataFrame) -> DataFrame:
     """The mix: ``shard``, ``place`` (its order there), ``rank`` and ``block`` of every slot."""
-    total = sources.agg(F.sum("slots")).collect()[0][0] or 0
-    shards = max(1, -(-total // SHARD))
-    runs = sources.where("slots > 0").select(
-        "rank", "blocks", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) DIV {FAN})")).alias("run")
-    )
-    runs = runs.repartition("rank", "run")
-    slots = runs.select(
-        "rank",
-        "blocks",
-        F.explode(F.expr(f"sequence(run * {FAN}, least(slots, (run + 1) * {FAN}) - 1)")).alias("slot"),
+    slots = shard_table(sources).select(
+        "shard", "rank", "blocks", F.explode(F.expr("sequence(first, first + count - 1)")).alias("slot")
     )
     draw = F.pandas_udf(block_of_slot, "bigint")
-    place = F.xxhash64(F.lit(SEED), "rank", "slot")
     return slots.select(
-        F.pmod(place, F.lit(shards)).alias("shard"),
-        place.alias("place"),
+        "shard",
+        F.xxhash64(F.lit(SEED), "rank", "slot").alias("place"),
         "rank",
         draw("slot", "blocks", F.col("rank").cast("bigint")).alias("block"),
     )
 
 
-def pieces(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each document cut at block borders: ``block``, ``from`` and ``words`` (counted in the document),
-    and ``times``, how often the mix takes the block."""
-    times = slot_table(sources).groupBy("rank", "block").agg(F.count("*").alias("times"))
+def cut_at_blocks(rows: DataFrame) -> DataFrame:
+    """Each document with words cut at block borders: ``block``, ``from`` and ``words`` (counted in the document)."""
     first, last = f"start DIV {BLOCK}", f"(start + size - 1) DIV {BLOCK}"
     cut = rows.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence({first}, {last})")))
-    cut = cut.join(times, ["rank", "block"], "left").na.fill(0, ["times"])
     begin = F.expr(f"greatest(start, block * {BLOCK})")
     end = F.expr(f"least(start + size, (block + 1) * {BLOCK})")
     return cut.withColumn("from", begin - F.col("start")).withColumn("words", end - begin)
 
 
+def pieces(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """The pieces of documents with ``times``, how often the mix takes their block, and the least and
+    greatest shard that does, ``low`` and ``high``."""
+    found = slot_table(sources).groupBy("rank", "block")
+    found = found.agg(F.count("*").alias("times"), F.min("shard").alias("low"), F.max("shard").alias("high"))
+    return cut_at_blocks(rows).join(found, ["rank", "block"], "left").na.fill(0, ["times"])
+
+
 def mix(docs: DataFrame) -> DataFrame:
-    """Per document: ``doc_id``, ``size``, ``source_size``, ``target`` and ``taken``.
+    """Per document: ``doc_id``, ``size``, ``source_size``, ``target``, ``taken``, and the least and
+    greatest output shard that holds a part of it, ``first_shard`` and ``last_shard`` (NULL: none does).
 
     NULL and empty texts have no words and are never taken; NULL is a source of its own, the last.
-    Documents with NULL ids come first in their source. Repeated rows are documents of their own.
-    The same rows give the same mix, whatever their partitions. An empty table gives an empty one;
-    other columns are not read.
+    Repeated rows, and rows with NULL ids, are documents of their own. The same rows give the same
+    mix, whatever their partitions. An empty table gives an empty one; other columns are not read.
     """
     rows, sources = laid_out(docs)
-    taken = pieces(rows, sources).groupBy("rank", "start", "doc_id", "size").agg(F.sum(F.expr("words * times")).alias("taken"))
+    taken = pieces(rows, sources).groupBy("rank", "start", "doc_id", "size").agg(
+        F.sum(F.expr("words * times")).alias("taken"),
+        F.min("low").alias("first_shard"),
+        F.max("high").alias("last_shard"),
+    )
     empty = rows.where("size = 0").select("rank", "start", "doc_id", "size", F.lit(0).cast("bigint").alias("taken"))
-    every = taken.unionByName(empty).join(F.broadcast(sources), "rank")
-    return every.select("doc_id", "size", "source_size", "target", "taken")
+    every = taken.unionByName(empty, allowMissingColumns=True).join(F.broadcast(sources), "rank")
+    return every.select("doc_id", "size", "source_size", "target", "taken", "first_shard", "last_shard")
+
+
+def mixed_blocks(docs: DataFrame) -> DataFrame:
+    """The mix itself, shard by shard: ``shard``, ``place`` (a block's order in its shard), ``source``,
+    ``block``, and the pieces that make up the block, in order: ``doc_id``, ``piece`` (first word,
+    counted in the document) and ``words``.
+
+    A block that lies in several documents has one row for each. Rows are dealt and sorted by
+    shard, so that each is one run of an output file. Without words there are no rows.
+    """
+    rows, sources = laid_out(docs)
+    found = slot_table(sources).join(cut_at_blocks(rows), ["rank", "block"])
+    found = found.join(F.broadcast(sources.select("rank", "source")), "rank")
+    found = found.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place", "start")
+    return found.select("shard", "place", "source", "block", "doc_id", F.col("from").alias("piece"), "words")
 
 
 def cut_texts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[str]:
@@ -193,7 +253,8 @@ def cut_texts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[str]:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them, with their columns: those in no block are left out, a
-    document taken twice comes twice, and its text holds the blocks of that pass."""
+    document taken twice comes twice, and its text holds the blocks of that pass. NULL and empty
+    texts are in no block; an empty table gives an empty one."""
     rows, sources = laid_out(docs)
     spans = (
         pieces(rows, sources)

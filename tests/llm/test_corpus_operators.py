@@ -9,9 +9,9 @@ import pytest
 from helpers import SCHEMA, awkward, documents, prose
 from tokenizers import Tokenizer
 
-from dqspark.llm import substrings, urls
+from dqspark.llm import mixing, substrings, urls
 from dqspark.llm.kdtree import top_k
-from dqspark.llm.mixing import mix, mixed_documents, permuted, targets
+from dqspark.llm.mixing import drawn, mix, mixed_blocks, mixed_documents, permuted, targets
 from dqspark.llm.packing import LENGTH, WordTokens, best_cuts, pack, word_tokens
 from dqspark.llm.queries import tokenizer_file
 from dqspark.llm.simhash import fingerprint, keep_one, simhash_components
@@ -194,6 +194,54 @@ def test_mix(spark):
     assert words == collections.Counter({r.doc_id: r.taken for r in rows if r.taken})
 
 
+def test_shard_counts_are_multinomial():
+    """A source's counts add up to its slots in runs without gaps, and spread as thrown slots do."""
+    slots, shards, squares = 400_000, 200, []
+    for source in range(20):
+        runs = [drawn(s, shards, source, slots) for s in range(shards)]
+        at = 0
+        for first, count in runs:
+            assert first == at
+            at += count
+        assert at == slots
+        squares.append(sum((c - slots / shards) ** 2 for _, c in runs) / (slots / shards))
+    # chi-squared with 199 degrees of freedom each: mean 199, standard deviation 20
+    assert abs(np.mean(squares) - 199) < 5 * 20 / 20**0.5
+    assert drawn(0, 1, 3, 17) == (0, 17)
+
+
+def test_blocks_of_shards(spark, monkeypatch):
+    """Every shard holds the slots that it drew, and the documents' counts are those of the blocks."""
+    monkeypatch.setattr(mixing, "SHARD", 64)
+    rng = random.Random(21)
+    docs = documents(spark, [None, ""] + [prose(rng, rng.randint(1, 200)) for _ in range(150)])
+    _, sources = mixing.laid_out(docs)
+    table = {r["rank"]: r for r in sources.collect()}
+    shards = -(-sum(r.slots for r in table.values()) // 64)
+    assert shards > 5
+    want = collections.Counter()
+    for rank, r in table.items():
+        for s in range(shards):
+            first, count = drawn(s, shards, rank, r.slots)
+            for slot in range(first, first + count):
+                again, at = divmod(slot, r.blocks)
+                key = np.array([rank * 1_000_003 + again * 7_919 + 7], np.uint64)
+                block = int(permuted(np.array([at], np.uint64), np.array([r.blocks], np.uint64), key)[0])
+                want[s, r.source, block] += 1
+    rows = mixed_blocks(docs).collect()
+    assert [(r.shard, r.place) for r in rows] == sorted((r.shard, r.place) for r in rows)
+    assert collections.Counter({(r.shard, r.source, r.block, r.place): 1 for r in rows}).total() == want.total()
+    found = collections.Counter((s, x, b) for s, x, b, _ in {(r.shard, r.source, r.block, r.place) for r in rows})
+    assert found == want
+    taken, held = collections.Counter(), collections.defaultdict(set)
+    for r in rows:
+        taken[r.doc_id] += r.words
+        held[r.doc_id].add(r.shard)
+    for r in mix(docs).collect():
+        assert r.taken == taken[r.doc_id]
+        assert (r.first_shard, r.last_shard) == ((min(held[r.doc_id]), max(held[r.doc_id])) if r.taken else (None, None))
+
+
 def test_mix_of_repeated_rows(spark):
     docs = documents(spark, ["a b c"] * 5 + [None, ""], ids=[1, 1, 1, None, None, None, 2], sources=["s"] * 7)
     rows = mix(docs).collect()
@@ -360,7 +408,7 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert substrings.remove_repeats(none).count() == 0
     assert simhash_components(none).count() == 0 and keep_one(none).count() == 0
-    assert mix(none).count() == 0 and mixed_documents(none).count() == 0
+    assert mix(none).count() == 0 and mixed_documents(none).count() == mixed_blocks(none).count() == 0
     assert pack(none, tokenizer_file("word_bpe_49k.json")).count() == 0
     assert top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), 50).count() == 0
     assert urls.filter_urls(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
