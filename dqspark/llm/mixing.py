@@ -16,7 +16,6 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,11 +72,11 @@ def permuted(i: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 6) ->
     return out.astype(np.int64)
 
 
-def block_of_slot(slot: pd.Series, blocks: pd.Series, source: pd.Series) -> pd.Series:
-    """The block that a slot of a source takes."""
-    j, n = slot.to_numpy(np.uint64), blocks.to_numpy(np.uint64)
-    key = source.to_numpy(np.uint64) * np.uint64(1_000_003) + (j // n) * np.uint64(7_919) + np.uint64(SEED)
-    return pd.Series(permuted(j % n, n, key))
+def blocks_of(slot: np.ndarray, blocks: int, source: int) -> np.ndarray:
+    """The blocks that slots of a source take."""
+    j, n = slot.astype(np.uint64), np.uint64(blocks)
+    key = np.uint64(source * 1_000_003 + SEED) + (j // n) * np.uint64(7_919)
+    return permuted(j % n, np.full(len(j), n), key)
 
 
 def laid_out(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,41 +139,34 @@ def drawn(shard: int, shards: int, source: int, slots: int) -> tuple[int, int]:
     return first, slots
 
 
-def owned(shard: pd.Series, shards: pd.Series, source: pd.Series, slots: pd.Series) -> pd.DataFrame:
-    """``drawn`` for many shards and sources."""
-    return pd.DataFrame(
-        [drawn(*map(int, row)) for row in zip(shard, shards, source, slots)], columns=["first", "count"]
-    ).astype("int64")
+def unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slots of shards and sources, one batch for each of these: ``shard``, ``rank``, ``slot``, ``block``."""
+    for batch in batches:
+        for shard, rank, shards, blocks, slots in zip(*(c.to_pylist() for c in batch.columns)):
+            first, count = drawn(shard, shards, rank, slots)
+            if count:
+                slot = np.arange(first, first + count)
+                found = blocks_of(slot, blocks, rank)
+                arrays = [np.full(count, shard), np.full(count, rank, np.int32), slot, found]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["shard", "rank", "slot", "block"])
 
 
-def shard_table(sources: DataFrame) -> DataFrame:
-    """The draw: ``shard``, ``rank``, ``blocks``, and the run of the source's slots that the shard owns,
-    ``first`` and ``count``. Shards with none of a source have no row for it."""
+def slot_table(sources: DataFrame) -> DataFrame:
+    """The mix: ``shard``, ``place`` (its order there), ``rank`` and ``block`` of every slot.
+
+    A task draws the counts of some shards and unfolds the slots that these own, a shard and source at a time.
+    """
     spark = sources.sparkSession
     n, total = sources.agg(F.count("*"), F.coalesce(F.sum("slots"), F.lit(0))).first()
     shards = max(1, -(-total // SHARD))
-    tasks = min(max(1, n * shards), max(spark.sparkContext.defaultParallelism, shards // 64))
+    tasks = max(1, min(n * shards, max(spark.sparkContext.defaultParallelism, shards // 64)))
     every = spark.range(0, n * shards, 1, tasks).select(
         F.expr(f"id DIV {max(1, n)}").alias("shard"), F.expr(f"id % {max(1, n)}").cast("int").alias("rank")
     )
-    every = every.join(F.broadcast(sources.select("rank", "blocks", "slots")), "rank").where("slots > 0")
-    draw = F.pandas_udf(owned, "first bigint, count bigint")
-    every = every.withColumn("own", draw("shard", F.lit(shards), "rank", "slots"))
-    return every.select("shard", "rank", "blocks", "own.first", "own.count").where("count > 0")
-
-
-def slot_table(sources: DataFrame) -> DataFrame:
-    """The mix: ``shard``, ``place`` (its order there), ``rank`` and ``block`` of every slot."""
-    slots = shard_table(sources).select(
-        "shard", "rank", "blocks", F.explode(F.expr("sequence(first, first + count - 1)")).alias("slot")
-    )
-    draw = F.pandas_udf(block_of_slot, "bigint")
-    return slots.select(
-        "shard",
-        F.xxhash64(F.lit(SEED), "rank", "slot").alias("place"),
-        "rank",
-        draw("slot", "blocks", F.col("rank").cast("bigint")).alias("block"),
-    )
+    every = every.join(F.broadcast(sources), "rank").where("slots > 0")
+    slots = every.select("shard", "rank", F.lit(shards).cast("bigint").alias("shards"), "blocks", "slots")
+    slots = slots.mapInArrow(unfolded, "shard bigint, rank int, slot bigint, block bigint")
+    return slots.select("shard", F.xxhash64(F.lit(SEED), "rank", "slot").alias("place"), "rank", "block")
 
 
 def cut_at_blocks(rows: DataFrame) -> DataFrame:
