@@ -14,7 +14,7 @@ import gc
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +28,8 @@ LENGTH, END_TOKEN = 4096, 2
 #: What a cut costs, in tokens of padding: within a document at a sentence's end, and elsewhere.
 SENTENCE_CUT, OTHER_CUT = 16, 128
 #: Tokens between cut places where there is no better one; tokens of a round; words remembered; characters of
-#: texts that are encoded together.
-STRIDE, ROUND, WORDS, CHARS = 256, 1 << 18, 1_000_000, 1 << 20
+#: texts that are split together; words that are encoded together.
+STRIDE, ROUND, WORDS, CHARS, TOGETHER = 256, 1 << 18, 1_000_000, 1 << 20, 1 << 12
 CLOSING = b".,!?;:*$&#%"
 #: A word that ends in a letter or digit and closing punctuation, else a word as it is.
 PARTS = re.compile(rb"^(?:(.*[0-9A-Za-z])([" + re.escape(CLOSING) + rb"]*)|(.+))$", re.MULTILINE)
@@ -70,9 +70,12 @@ class WordTokens:
         parts = [(stem.lower() if stem.isascii() else stem, closing) for stem, closing in ((a or c, b) for a, b, c in found)]
         stems = {x: None for p in parts for x in p if x and x not in known}
         if stems:
-            found = self.tokenizer.encode_batch_fast([x.decode() for x in stems], add_special_tokens=False)
-            lists = [e.ids for e in found]
-            self.store(list(stems), np.array([i for x in lists for i in x], np.uint32), list(map(len, lists)))
+            every = list(stems)
+            for i in range(0, len(every), TOGETHER):  # what the tokenizer returns is many times the size of the ids
+                some = every[i : i + TOGETHER]
+                found = self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
+                lists = [e.ids for e in found]
+                self.store(some, np.array([i for x in lists for i in x], np.uint32), list(map(len, lists)))
         rest = [(w, *p) for w, p in zip(words, parts) if w not in known]
         if rest:
             ids, sizes = self.gather([known[x] for _, *p in rest for x in p if x])
@@ -225,10 +228,12 @@ class Packer:
         del self.open[:k]
 
 
-def together(texts: list[str]) -> Iterator[list[str]]:
-    """Neighbouring texts, of ``CHARS`` characters in all unless one alone is longer."""
+def together(texts: Iterable) -> Iterator[list[str]]:
+    """Neighbouring texts, of ``CHARS`` characters in all unless one alone is longer. Arrow values
+    become strings one by one; NULL is an empty text."""
     some, size = [], 0
     for t in texts:
+        t = (t.as_py() if isinstance(t, pa.Scalar) else t) or ""
         if some and size + len(t) > CHARS:
             yield some
             some, size = [], 0
@@ -274,12 +279,11 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for some in together(texts):
+            for some in together(batch.column(1)):
                 for doc_id, own in zip(batch.column(0).slice(len(ids) - before, len(some)).to_pylist(), tokens.encode(some)):
                     ids.append(doc_id)
                     rows.extend(packer.add(len(ids) - 1, own))
-            before += len(texts)
+            before += len(batch)
             if rows:
                 yield out()
                 rows.clear()
