@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import _hashlib
+import ctypes
 import re
 from functools import reduce
+from urllib.parse import quote
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +18,8 @@ from dqspark.types import ref
 # Delimiters looked for, in this order of preference, and what is used without one.
 DELIMITERS = [",", "\t", ";", "|"]
 FALLBACK = ","
+# Bytes of a file that one task hashes, bytes read at a time, and bytes of OpenSSL's SHA256_CTX (112, no pointers).
+RANGE, BLOCK, STATE = 128 << 20, 4 << 20, 128
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -201,22 +207,63 @@ def digest(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 16)
 
 
+def _by_ranges(spark: SparkSession, files: list[tuple[str, int]], salt: str) -> list[tuple[str, int, str]]:
+    """``(file, bytes, fingerprint)`` of long files, ``RANGE`` bytes a task.
+
+    SHA-256 is sequential, but what it has come to is a few numbers: a task goes on from those of the range before and
+    hands on its own, by way of the driver. Files go side by side, a job for each range of the longest. Python's
+    hashlib cannot hand a state on, so the functions of its OpenSSL are called themselves; one built without them is an error.
+    """
+
+    def hashed(row: tuple[str, int, int, bytes | None]) -> tuple[str, bytes]:
+        file, start, end, state = row
+        sha = ctypes.CDLL(_hashlib.__file__)
+        context = ctypes.create_string_buffer(state or bytes(STATE), STATE)
+        if state is None:
+            sha.SHA256_Init(context)
+        scheme, _, rest = file.partition(":")
+        store, place = FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+        with store.open_input_file(place) as f:
+            f.seek(start)
+            while start < end:
+                part = f.read(min(BLOCK, end - start))
+                if not part:
+                    raise OSError(f"{file} has become shorter")
+                sha.SHA256_Update(context, part, ctypes.c_size_t(len(part)))
+                start += len(part)
+        return file, context.raw
+
+    def closed(state: bytes) -> str:
+        sha, context, out = ctypes.CDLL(_hashlib.__file__), ctypes.create_string_buffer(state, STATE), ctypes.create_string_buffer(32)
+        sha.SHA256_Update(context, salt.encode(), ctypes.c_size_t(len(salt.encode())))
+        sha.SHA256_Final(out, context)
+        return out.raw.hex()[:16]
+
+    states: dict[str, bytes] = {}
+    for start in range(0, max(n for _, n in files), RANGE):
+        rows = [(f, start, min(n, start + RANGE), states.get(f)) for f, n in files if n > start]
+        states.update(spark.sparkContext.parallelize(rows, len(rows)).map(hashed).collect())  # a state per long file
+    return [(f, n, closed(states[f])) for f, n in files]
+
+
 def fingerprints(spark: SparkSession, path: str, salt: str = "") -> DataFrame:
     """``(file, bytes, fingerprint)``: the first 16 hex digits of SHA-256 over content and salt.
 
-    A hash is sequential, so a file is one row of one task and must be below 2 GB.
+    A file of up to ``RANGE`` bytes is one row of one task; longer ones are read at once, range after range, a task each.
     """
     content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     salted = F.concat(F.col("content"), F.lit(salt).cast("binary")) if salt else F.col("content")
-    return content.select(
+    short = content.where(F.col("length") <= RANGE).select(
         F.col("path").alias("file"),
         F.col("length").alias("bytes"),
         digest(salted).alias("fingerprint"),
     )
+    long = [tuple(r) for r in content.where(F.col("length") > RANGE).select("path", "length").collect()]  # names of files
+    if not long:
+        return short
+    return short.unionByName(spark.createDataFrame(_by_ranges(spark, long, salt), "file string, bytes bigint, fingerprint string"))
 
 
 def changed_files(current: DataFrame, seen: DataFrame) -> DataFrame:
     """The files whose fingerprint has not been seen."""
     return current.join(seen.select("file", "fingerprint"), ["file", "fingerprint"], "left_anti")
-
-

@@ -197,6 +197,32 @@ def test_fingerprints(spark, folder):
     assert [os.path.basename(r.file) for r in changed] == ["b.csv"]
 
 
+def test_long_files_are_hashed_by_ranges(spark, folder, monkeypatch):
+    import hashlib
+
+    import dqspark.sources.files as files
+
+    path, _ = folder
+    monkeypatch.setattr(files, "RANGE", 1000)
+    monkeypatch.setattr(files, "BLOCK", 300)
+    sizes = {"under": 999, "one range": 1000, "over": 1001, "zwölf%20 #?": 2000, "long": 4321}
+    data = {name: os.urandom(n) for name, n in sizes.items()}
+    for name, content in data.items():
+        (path / name).write_bytes(content)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)  # no task may take more of a file than that
+    try:
+        for salt in ("", "Sheet1é"):
+            got = {(os.path.basename(r.file), r.bytes, r.fingerprint) for r in fingerprints(spark, str(path), salt).collect()}
+            assert got == {(n, len(c), hashlib.sha256(c + salt.encode()).hexdigest()[:16]) for n, c in data.items()}
+        seen = fingerprints(spark, str(path))
+        seen = spark.createDataFrame(seen.collect(), seen.schema)
+        (path / "long").write_bytes(data["long"][:-1] + bytes([data["long"][-1] ^ 1]))
+        changed = changed_files(fingerprints(spark, str(path)), seen).collect()
+        assert [os.path.basename(r.file) for r in changed] == ["long"]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert shared_dir(spark) == shared_dir(spark)
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
