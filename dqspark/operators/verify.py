@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dqspark.operators.charts import chart_data
 from dqspark.operators.gram import all_pairs, pair_sums
 from dqspark.plans.actions import Intent, chart_problem
-from dqspark.types import NUMERIC, chunks, classes, double_literal, normalise_missing, quoted, ref
+from dqspark.types import NUMERIC, classes, normalise_missing, quoted, ref
 
 TOLERANCE = 1e-9
 POINT_TOLERANCE = 1  # fixed value: a scatter may miss or add one point
@@ -96,27 +96,50 @@ def _histogram_again(df: DataFrame, column: str, shown: DataFrame) -> DataFrame:
     if lo is None:
         return df.sparkSession.createDataFrame([], ddl)
     width, slack = (hi - lo) / max(1, len(bins)), 1e-9 * max(abs(lo), abs(hi), hi - lo)
+    spans = [(float(r.bin_start), float(r.bin_end)) for r in bins if r.bin_start is not None and r.bin_end is not None]
+    below, upto = _counts_at(df.selectExpr(f"{x} AS x"), [e for s, t in spans for e in (s, s + slack, s - slack, t, t - slack, t + slack)])
     out = []
-    for part in chunks(bins, 30):
-        cells = []
-        for r in part:
-            if r.bin_start is None or r.bin_end is None:
-                cells += ["0", "0", "0"]
-                continue
-            s, e = double_literal(r.bin_start), double_literal(r.bin_end)
-            end = "<=" if r.bin == len(bins) else "<"
-            cells.append(f"count_if({x} >= {s} AND {x} {end} {e})")
-            cells.append(f"count_if({x} > {s} + {slack!r}D AND {x} < {e} - {slack!r}D)")
-            cells.append(f"count_if({x} >= {s} - {slack!r}D AND {x} <= {e} + {slack!r}D)")
-        row = df.selectExpr(*[f"{c} AS c{i}" for i, c in enumerate(cells)]).first()
-        for i, r in enumerate(part):
-            exact, least, most = row[3 * i : 3 * i + 3]
-            n = r.n if r.n is not None and least <= r.n <= most else exact
-            k = r.bin - 1
-            out.append((r.bin, lo + k * width, hi if k + 1 == len(bins) else lo + (k + 1) * width, n))
+    for r in bins:
+        exact, least, most = 0, 0, 0
+        if r.bin_start is not None and r.bin_end is not None:
+            s, e = float(r.bin_start), float(r.bin_end)
+            exact = max(0, (upto if r.bin == len(bins) else below)(e) - below(s))
+            least = max(0, below(e - slack) - upto(s + slack))
+            most = max(0, upto(e + slack) - below(s - slack))
+        n = r.n if r.n is not None and least <= r.n <= most else exact
+        k = r.bin - 1
+        out.append((r.bin, lo + k * width, hi if k + 1 == len(bins) else lo + (k + 1) * width, n))
     return df.sparkSession.createDataFrame(out, ddl)
 
 
+def _counts_at(values: DataFrame, edges: Sequence[float]) -> tuple[Callable[[float], int], Callable[[float], int]]:
+    """How many values ``x`` lie below any of the edges, and how many up to it, from one scan.
+
+    A value is placed among the sorted edges by halving, a projection a step, and values are counted by place. NaN is above all.
+    """
+    edges = sorted({float(e) for e in edges if e == e})
+    places = values.where(F.col("x").isNotNull()).select("x", F.lit(0).alias("i"))  # i: edges known to be below x
+    ranked = F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<double>")
+    for step in (1 << b for b in reversed(range(len(edges).bit_length()))):
+        under = F.coalesce(F.get(ranked, F.col("i") + (step - 1)) < F.col("x"), F.lit(False))
+        places = places.select("x", F.when(under, F.col("i") + step).otherwise(F.col("i")).alias("i"))
+    on = F.coalesce(F.get(ranked, F.col("i")) == F.col("x"), F.lit(False))
+    counted = places.groupBy("i", on.alias("on")).agg(F.count(F.lit(1)).alias("n")).collect()  # two rows an edge at most
+    under, at = [0] * (len(edges) + 1), [0] * (len(edges) + 1)
+    for r in counted:
+        (at if r.on else under)[r.i] += r.n
+    upto = list(accumulate(u + a for u, a in zip(under, at)))
+    place = {e: i for i, e in enumerate(edges)}
+
+    def up_to(e: float) -> int:
+        return upto[place[e]] if e == e else upto[-1]
+
+    def below(e: float) -> int:
+        return up_to(e) - at[place[e]] if e == e else upto[-1]
+
+    return below, up_to
+
+
 def _box_again(df: DataFrame, column: str, by: str | None, shown: DataFrame) -> DataFrame:
     """Counts, extremes and whiskers between the shown quartiles' fences, and ranks of the quartiles.
 

@@ -8,6 +8,7 @@ from dqspark.operators.charts import box, chart_data
 from dqspark.operators.clean import clean
 from dqspark.operators.frequency import distinct_counts
 from dqspark.operators.tables import conformance, keep_best, required
+from dqspark.operators.charts import histogram
 from dqspark.operators.verify import check_chart
 from dqspark.plans.actions import PLAN_DDL, Action, Intent, approved, read_plan, vet_intents
 from dqspark.plans.executor import apply_plan
@@ -166,3 +167,31 @@ def test_trail_of_profiles_and_checks(spark, mixed):
     assert [(r.seq, r.action) for r in logged] == [(0, "profiled_column"), (1, "profiled_column")]
     checks = check_chart(mixed, "c", Intent("bar", ("status",)))
     assert [(r.seq, r.action, r.run_id) for r in check_log(checks, "r").collect()] == [(1, "check_verified", "r")]
+
+
+def test_histogram_counts_between_any_edges(spark):
+    import math
+    import random
+
+    from dqspark.operators.verify import _counts_at, recheck
+
+    rng = random.Random(5)
+    values = [rng.choice([rng.gauss(0, 9), float(rng.randint(-5, 5)), math.inf, -math.inf, -0.0]) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "x double").repartition(5)
+    for edges in ([], [0.0], [3.0, -2.0, 3.0, math.nan, -math.inf, math.inf, 0.5, *(rng.gauss(0, 9) for _ in range(90))]):
+        below, upto = _counts_at(df, edges)
+        for e in edges:
+            assert (below(e), upto(e)) == ((2000, 2000) if e != e else (sum(v < e for v in values), sum(v <= e for v in values)))
+
+    df = spark.range(5000).selectExpr("cast(id % 977 AS double) / 7 AS x")
+    jobs = []
+    for bins in (20, 300):  # the data are read as often for many bins as for few
+        shown = spark.createDataFrame(histogram(df, "x", bins).collect(), "bin int, bin_start double, bin_end double, n bigint")
+        assert recheck(df, Intent("histogram", ("x",)), shown).count() == 0
+        spark.sparkContext.setJobGroup(f"bins-{bins}", "")
+        wrong = recheck(df, Intent("histogram", ("x",)), shown.withColumn("n", F.expr("if(bin = 7, n + 1, n)")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"bins-{bins}")))
+        right = shown.where("bin = 7").first().n
+        assert {(r.item, r.measure, r.shown, r.recomputed) for r in wrong.collect()} >= {("7", "n", right + 1.0, float(right))}
+    assert jobs[0] == jobs[1]
