@@ -29,17 +29,15 @@ CHUNK, HELD = 1 << 20, 200_000
 FOLD = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def terms(text: bytes) -> Counter:
-    """How often each term occurs in a text; long texts are counted in parts cut between terms."""
+def terms(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in order; a long text comes in parts cut between terms."""
     folded = text.translate(FOLD)
-    found: Counter = Counter()
     at = 0
     while at < len(folded):
         end = len(folded) if len(folded) - at <= CHUNK else folded.find(b" ", at + CHUNK)
         end = len(folded) if end < 0 else end
-        found.update(folded[at:end].split())
+        yield folded[at:end].split()
         at = end
-    return found
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -50,18 +48,26 @@ def counted(docs: DataFrame) -> DataFrame:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
         def out() -> pa.RecordBatch:
-            rows = [(*group, term, n, inside[term]) for group, (total, inside) in held.items() for term, n in total.items()]
-            columns = list(zip(*rows))
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "source", "term", "n", "docs"])
+            columns = zip(*((lang, source, len(total), total, inside) for (lang, source), (total, inside) in held.items()))
+            langs, sources, sizes, totals, insides = columns
+            each = np.repeat(np.arange(len(sizes)), sizes)
+            arrays = [pa.array(c, pa.string()).take(pa.array(each)) for c in (langs, sources)]
+            arrays.append(pa.array([t for total in totals for t in total], pa.binary()))
+            # both counters met the terms in the same order
+            arrays += [pa.array([n for c in counters for n in c.values()], pa.int64()) for counters in (totals, insides)]
+            return pa.RecordBatch.from_arrays(arrays, ["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = terms(text)
-                if found:
-                    total, inside = held.setdefault((lang, source), (Counter(), Counter()))
-                    total.update(found)
-                    inside.update(found.keys())
+                seen: dict[bytes, None] = {}
+                for part in terms(text):
+                    if part:
+                        if (lang, source) not in held:
+                            held[lang, source] = Counter(), Counter()
+                        seen.update(dict.fromkeys(part))
+                        held[lang, source][0].update(part)
+                if seen:
+                    held[lang, source][1].update(seen.keys())
             if sum(len(t) for t, _ in held.values()) > HELD:
                 yield out()
                 held.clear()

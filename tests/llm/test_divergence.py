@@ -72,3 +72,12 @@ def test_ties_and_texts_without_terms(spark):
 
 def test_empty_table(spark):
     assert audit_sources(table(spark, [])).collect() == []
+
+
+def test_long_texts_come_in_parts_and_count_as_one_document(spark, monkeypatch):
+    import dqspark.llm.divergence as D
+
+    monkeypatch.setattr(D, "CHUNK", 40)
+    text = ("Alpha beta beta GAMMA delta " * 9).encode()
+    parts = list(D.terms(text))
+    assert len(parts) > 3 and [t for p in parts for t in p] == text.lower().split()
