@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,7 @@ class WordTokens:
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1 << 12, np.int64)  # where each word's ids begin; its successor's is their end
+        self.store([b" "], np.array([END_TOKEN], np.uint32), [1])  # stands for the end token: no word holds a space
 
     def learn(self, words: list[bytes]) -> list[bytes]:
         """Put the ids of new words behind those of the known ones; gives all words that are new.
@@ -113,13 +115,16 @@ class WordTokens:
             new = self.learn(list(dict.fromkeys(w for i in open_ for w, k in zip(split[i], found[i]) if k is None)))
             for i in open_:
                 found[i] = list(map(known.__getitem__, split[i]))
-        for text, own, is_whole in zip(texts, found, whole):
+        for own in found:
+            own.append(0)
+        ids, sizes = self.gather(list(chain.from_iterable(found)))
+        words = np.cumsum(list(map(len, found)))
+        ends = np.cumsum(sizes)[words - 1].tolist()
+        for text, start, end, is_whole in zip(texts, [0, *ends], ends, whole):
             if is_whole:
                 yield np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_TOKEN], np.uint32)
-            elif own:
-                yield np.append(self.gather(own)[0], np.uint32(END_TOKEN))
             else:
-                yield np.array([END_TOKEN], np.uint32)
+                yield ids[start:end]
         if len(known) > WORDS:  # the memory is full: what these texts brought goes again
             for x in new:
                 del known[x]
@@ -219,7 +224,7 @@ class Packer:
             while at < b:
                 doc, ids, done = self.open[k]
                 n = min(b - at, len(ids) - done)
-                crc = zlib.crc32(ids[done : done + n].astype("<u4").tobytes())
+                crc = zlib.crc32(ids[done : done + n].astype("<u4", copy=False))
                 yield doc, done, n, crc, len(ids), self.sequence, at - a
                 at += n
                 self.open[k][2] += n

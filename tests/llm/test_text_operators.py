@@ -182,3 +182,20 @@ def test_empty_tables(spark):
     assert token_counts(none, tokenizer_file("piece_bpe_32k.model")).count() == 0
     assert dedup_lines(none).count() == 0
     assert scan_secrets(none).count() == 0
+
+
+def test_ids_of_texts_are_looked_up_together(monkeypatch):
+    import numpy as np
+
+    from dqspark.llm.packing import END_TOKEN, WordTokens
+    from dqspark.llm.queries import tokenizer_file
+
+    tokens = WordTokens(tokenizer_file("word_bpe_49k.json"))
+    texts = ["one Two, three.", "", " \n", "four four", tokens.added[0] + " x"]
+    list(tokens.encode(texts))  # learns the words
+    calls, gather = [], tokens.gather
+    monkeypatch.setattr(tokens, "gather", lambda found: calls.append(1) or gather(found))
+    got = list(tokens.encode(texts))
+    assert len(calls) == 1
+    for text, ids in zip(texts, got):
+        assert ids.dtype == np.uint32 and ids.tolist() == [*tokens.tokenizer.encode(text, add_special_tokens=False).ids, END_TOKEN]
