@@ -12,14 +12,14 @@ from __future__ import annotations
 
 import gc
 import os
-import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat, takewhile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -28,12 +28,13 @@ from dqspark.llm.common import ship
 LENGTH, END_TOKEN = 4096, 2
 #: What a cut costs, in tokens of padding: within a document at a sentence's end, and elsewhere.
 SENTENCE_CUT, OTHER_CUT = 16, 128
-#: Tokens between cut places where there is no better one; tokens of a round; words remembered; characters of
-#: texts that are split together; words that are encoded together.
-STRIDE, ROUND, WORDS, CHARS, TOGETHER = 256, 1 << 18, 1_000_000, 1 << 20, 1 << 12
-CLOSING = b".,!?;:*$&#%"
-#: A word that ends in a letter or digit and closing punctuation, else a word as it is.
-PARTS = re.compile(rb"^(?:(.*[0-9A-Za-z])([" + re.escape(CLOSING) + rb"]*)|(.+))$", re.MULTILINE)
+#: Tokens between cut places where there is no better one; tokens of a round; words remembered; bytes of
+#: texts that are split together; words that are encoded together; words of a line that is encoded.
+STRIDE, ROUND, WORDS, BYTES, TOGETHER, LINE = 256, 1 << 18, 1_000_000, 1 << 23, 1 << 14, 64
+CLOSING = ".,!?;:*$&#%"
+#: After these, closing punctuation is a part of its own: ASCII letters and digits, and the letters from U+00C0 to
+#: U+024F but the one that is lower-cased to a letter and a mark.
+LETTER_LAST = "[0-9A-Za-zÀ-ÖØ-öø-įı-ɏ]$"
 FREE = [1 << k for k in range(LENGTH.bit_length())]  # windows of these lengths are not padded
 
 
@@ -42,7 +43,7 @@ class WordTokens:
 
     The normaliser and the splitting pattern of the file drop white space, so the tokens of
     a text are those of its words one after the other. Texts that hold the string of an added token
-    are given to the tokenizer whole.
+    are given to the tokenizer whole. The memory keeps the words that most batches of texts held.
     """
 
     def __init__(self, path: str):
@@ -51,83 +52,144 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: What each added token begins with in any case.
+        self.heads = {"".join(takewhile(lambda c: c.lower() == c.upper(), a)) for a in self.added}
         vocab = self.tokenizer.get_vocab()
         ends = [i for t, i in vocab.items() if t.removesuffix("</w>") and set(t.removesuffix("</w>")) <= set(".!?\"')")]
         ends = [i for i in ends if set(".!?") & set(self.tokenizer.id_to_token(i))]
         self.is_end = np.zeros(max(vocab.values()) + 1, bool)
         self.is_end[ends] = True
-        self.known: dict[bytes, int] = {}
+        last = [t for t in vocab if t.endswith("</w>")]
+        self.is_last = np.zeros(len(self.is_end), bool)
+        self.is_last[[vocab[t] for t in last]] = True
+        self.marked = sum(len(t) == 5 for t in last) == 256  # whatever its last byte, a word ends in such a token
+        self.known: dict[bytes, int] = {}  # their numbers are 0, 1, 2, ... in this order
         self.ids = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1 << 12, np.int64)  # where each word's ids begin; its successor's is their end
-        self.store([b" "], np.array([END_TOKEN], np.uint32), [1])  # stands for the end token: no word holds a space
-
-    def learn(self, words: list[bytes]) -> list[bytes]:
-        """Put the ids of new words behind those of the known ones; gives all words that are new.
-
-        Closing punctuation after a letter or digit is a part of its own in the splitting pattern, and ASCII
-        letters are lower-cased: a word is looked up as its stem, and only new stems are encoded.
-        """
+        self.uses = np.zeros(1 << 12, np.int32)  # batches that held a word, the older ones counting less
+        self.store([b" ", b""], np.array([END_TOKEN], np.uint32), [1, 0])  # a space, which no word holds, is the end token
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of stems or closings. Each different one is looked up once; the new ones are encoded."""
+        words = words.dictionary_encode()
+        if not len(words):
+            return np.zeros(0, np.int64)
+        different = pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary.cast(pa.binary()))
+        different = pc.binary_join(different, b"\n")[0].as_py().split(b"\n")  # no word holds a line end
         known = self.known
-        found = PARTS.findall(b"\n".join(words))  # no word holds a line end
-        parts = [(stem.lower() if stem.isascii() else stem, closing) for stem, closing in ((a or c, b) for a, b, c in found)]
-        stems = {x: None for p in parts for x in p if x and x not in known}
-        if stems:
-            every = list(stems)
-            for i in range(0, len(every), TOGETHER):  # what the tokenizer returns is many times the size of the ids
-                some = every[i : i + TOGETHER]
-                found = self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
-                lists = [e.ids for e in found]
-                self.store(some, np.array([i for x in lists for i in x], np.uint32), list(map(len, lists)))
-        rest = [(w, *p) for w, p in zip(words, parts) if w not in known]
-        if rest:
-            ids, sizes = self.gather([known[x] for _, *p in rest for x in p if x])
-            first = np.cumsum([0] + [2 if closing else 1 for _, _, closing in rest[:-1]])
-            self.store([r[0] for r in rest], ids, np.add.reduceat(sizes, first))
-        return [*stems, *(r[0] for r in rest)]
+        found = np.fromiter(map(known.get, different, repeat(-1)), np.int64, len(different))
+        new = np.flatnonzero(found < 0).tolist()
+        for i in range(0, len(new), TOGETHER):  # what the tokenizer returns is many times the size of the ids
+            self.encode_stems([different[j].decode() for j in new[i : i + TOGETHER]])
+        found[new] = [known[different[j]] for j in new]
+        self.uses[found] += 1
+        return found[words.indices.to_numpy()]
+
+    def encode_stems(self, stems: list[str]) -> None:
+        """Words of letters alone have one token that ends a word each, so many of them are encoded as one line."""
+        plain = [x for x in stems if self.marked and x.isalpha()]
+        if plain:
+            lines = [" ".join(plain[i : i + LINE]) for i in range(0, len(plain), LINE)]
+            ids = self.ids_of(lines)[0]
+            ends = np.flatnonzero(self.is_last[ids]) + 1
+            if len(ends) == len(plain):
+                self.store([x.encode() for x in plain], ids, np.diff(ends, prepend=0))
+            else:  # a letter that the splitting pattern does not take for one
+                plain = []
+        single = [x for x in stems if not x.isalpha()] if plain else stems
+        if single:
+            self.store([x.encode() for x in single], *self.ids_of(single))
+
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(lists), np.uint32), list(map(len, lists))
 
     def store(self, words: list[bytes], ids: np.ndarray, sizes) -> None:
         n, used = len(self.known), int(self.bounds[len(self.known)])
         while n + len(words) >= len(self.bounds):
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
         while used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[used : used + len(ids)] = ids
         self.bounds[n + 1 : n + 1 + len(words)] = used + np.cumsum(sizes)
+        self.uses[n : n + len(words)] = 0
         self.known.update(zip(words, range(n, n + len(words))))
 
-    def gather(self, found: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def forget(self) -> None:
+        """Keep the more used half of a full memory, the most used first; what was counted so far counts half from now on."""
+        uses = self.uses[: len(self.known)]
+        keep = np.concatenate([[0, 1], 2 + np.argsort(-uses[2:], kind="stable")[: WORDS // 2]])
+        words, uses, (ids, sizes) = list(self.known), uses[keep] // 2, self.gather(keep)
+        self.known.clear()
+        self.store([words[i] for i in keep.tolist()], ids, sizes)
+        self.uses[: len(keep)] = uses
+
+    def gather(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of known words one after the other, and how many each has."""
-        w = np.array(found, np.int64)
-        starts, sizes = self.bounds[w], self.bounds[w + 1] - self.bounds[w]
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, then the end token. Words new to all of them are learned together."""
-        known, new = self.known, []
+        starts = self.bounds[found]
+        sizes = self.bounds[found + 1] - starts
+        return slices(self.ids, starts, sizes), sizes
+
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, then the end token. Each different word of all of them is looked up once."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()).fill_null("")
+        if not len(texts):
+            return
         # added tokens are found before a text is lower-cased; a word is looked up in lower case, so one that
         # becomes such a token only then must not be looked up
-        whole = [any(a in low for a in self.added) for low in map(str.lower, texts)]
-        split = [[] if w else t.encode().split() for w, t in zip(whole, texts)]
-        found = [list(map(known.get, words)) for words in split]
-        open_ = [i for i, f in enumerate(found) if None in f]
-        if open_:
-            new = self.learn(list(dict.fromkeys(w for i in open_ for w, k in zip(split[i], found[i]) if k is None)))
-            for i in open_:
-                found[i] = list(map(known.__getitem__, split[i]))
-        for own in found:
-            own.append(0)
-        ids, sizes = self.gather(list(chain.from_iterable(found)))
-        words = np.cumsum(list(map(len, found)))
-        ends = np.cumsum(sizes)[words - 1].tolist()
-        for text, start, end, is_whole in zip(texts, [0, *ends], ends, whole):
-            if is_whole:
-                yield np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_TOKEN], np.uint32)
+        whole = np.zeros(len(texts), bool)
+        for head in self.heads:
+            whole |= pc.match_substring(texts, head).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(whole).tolist():
+            low = texts[i].as_py().lower()
+            whole[i] = any(a in low for a in self.added)
+        split = pc.ascii_split_whitespace(pc.if_else(whole, "", texts) if whole.any() else texts)
+        words = split.flatten().dictionary_encode()
+        own, sizes = self.gather(np.append(np.stack([self.numbers(x) for x in parts(words.dictionary)], axis=1), 0))
+        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1:2]  # of the ids of each different word; the end token is the last
+        sizes = np.append(sizes[:-1].reshape(-1, 2).sum(axis=1), 1)
+        ends = split.offsets.to_numpy()[1:]
+        words = np.insert(words.indices.to_numpy(), ends, len(sizes) - 1)
+        sizes = sizes[words]
+        ids = slices(own, starts[words], sizes)
+        ends = np.cumsum(sizes)[ends + np.arange(len(ends))].tolist()
+        if len(self.known) > WORDS:  # before the ids are handed out: a caller need not ask for more than it has texts
+            self.forget()
+        for i, (start, end) in enumerate(zip([0, *ends], ends)):
+            if whole[i]:
+                yield np.array([*self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, END_TOKEN], np.uint32)
             else:
                 yield ids[start:end]
-        if len(known) > WORDS:  # the memory is full: what these texts brought goes again
-            for x in new:
-                del known[x]
+
+
+def slices(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of an array one after the other."""
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at))
+    return flat[at]
+
+
+def parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The stem and the closing punctuation of each word.
+
+    Closing punctuation after a letter or digit is a part of its own in the splitting pattern, and ASCII
+    letters are lower-cased. Marks compose with capitals and small letters differently, so words that may
+    hold some stay as they are.
+    """
+    cut = pc.ascii_rtrim(words, CLOSING)
+    size, left = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (words, cut))
+    apart = np.flatnonzero(left < size)
+    apart = apart[pc.match_substring_regex(cut.take(apart), LETTER_LAST).to_numpy(zero_copy_only=False)]
+    closes = np.zeros(len(words), bool)
+    closes[apart] = True
+    stems = pc.if_else(closes, cut, words)
+    stems = pc.if_else(pc.or_(pc.string_is_ascii(stems), pc.utf8_is_alpha(stems)), pc.ascii_lower(stems), stems)
+    sizes = np.where(closes, size - left, 0)
+    begin = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words)] + left
+    text = slices(np.frombuffer(words.buffers()[2] or b"", np.uint8), begin, sizes)
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return stems, pa.StringArray.from_buffers(len(words), pa.py_buffer(bounds), pa.py_buffer(text))
 
 
 @lru_cache(maxsize=2)
@@ -161,32 +223,40 @@ def best_cuts(places: np.ndarray, cost: np.ndarray, length: int = LENGTH) -> lis
     """The cheapest cuts: the places (first and last included) at which windows begin and end."""
     n = len(places)
     at, pay = places.tolist(), cost.tolist()
-    free: dict[int, list[int]] = {}
+    ends, begins = [], []  # windows that are not padded, by their ends
     for size in FREE:
         if size <= length:
             hit = np.minimum(np.searchsorted(places, places - size), n - 1)
-            ends = np.flatnonzero(places[hit] == places - size)
-            for j, i in zip(ends.tolist(), hit[ends].tolist()):
-                free.setdefault(j, []).append(i)
+            end = np.flatnonzero(places[hit] == places - size)
+            ends.append(end)
+            begins.append(hit[end])
+    ends, begins = np.concatenate(ends), np.concatenate(begins)
+    upto = np.cumsum(np.bincount(ends, minlength=n)).tolist()
+    begins = begins[np.argsort(ends, kind="stable")].tolist()
     best, come = [0] * n, [0] * n
-    key = [0] * n  # cost so far plus place: its minimum over the window is the best cut before
-    queue, head = [0], 0
+    # cost so far plus place: its minimum over the window is the best cut before
+    queue, keys, head, first, done = [0], [0], 0, 0, 0
     for j in range(1, n):
         p = at[j]
         far = p - length
-        while at[queue[head]] < far:
+        while first < far:
             head += 1
-        prev = queue[head]
-        low = key[prev] - far
-        if j in free:
-            for i in free[j]:
+            first = at[queue[head]]
+        prev, low = queue[head], keys[head] - far
+        if done < upto[j]:
+            for i in begins[done : upto[j]]:
                 if best[i] < low:
                     low, prev = best[i], i
+            done = upto[j]
         low += pay[j]
         best[j], come[j] = low, prev
-        key[j] = low = low + p
-        while len(queue) > head and key[queue[-1]] >= low:
+        low += p
+        while len(keys) > head and keys[-1] >= low:
+            keys.pop()
             queue.pop()
+        if len(keys) == head:
+            first = p
+        keys.append(low)
         queue.append(j)
     out = [n - 1]
     while out[-1]:
@@ -233,19 +303,15 @@ class Packer:
         del self.open[:k]
 
 
-def together(texts: Iterable) -> Iterator[list[str]]:
-    """Neighbouring texts, of ``CHARS`` characters in all unless one alone is longer. Arrow values
-    become strings one by one; NULL is an empty text."""
-    some, size = [], 0
-    for t in texts:
-        t = (t.as_py() if isinstance(t, pa.Scalar) else t) or ""
-        if some and size + len(t) > CHARS:
-            yield some
-            some, size = [], 0
-        some.append(t)
-        size += len(t)
-    if some:
-        yield some
+def together(texts: pa.Array) -> Iterator[pa.Array]:
+    """Neighbouring texts, of ``BYTES`` bytes in all unless one alone is longer."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + BYTES, side="right")))
+        yield texts.slice(start, end - start)
+        start = end
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -199,3 +199,66 @@ def test_ids_of_texts_are_looked_up_together(monkeypatch):
     assert len(calls) == 1
     for text, ids in zip(texts, got):
         assert ids.dtype == np.uint32 and ids.tolist() == [*tokens.tokenizer.encode(text, add_special_tokens=False).ids, END_TOKEN]
+
+
+class CountingTokenizer:
+    """Counts the strings that it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.strings = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.strings += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+
+def letters(i: int) -> str:
+    return "".join("abcdefghij"[int(c)] for c in str(i))
+
+
+def test_words_of_letters_are_encoded_together_and_once():
+    from dqspark.llm.packing import END_TOKEN, WordTokens
+    from dqspark.llm.queries import tokenizer_file
+
+    tokens = WordTokens(tokenizer_file("word_bpe_49k.json"))
+    library, tokens.tokenizer = tokens.tokenizer, CountingTokenizer(tokens.tokenizer)
+    words = [letters(i) + c for i in range(1000) for c in "éñ"]
+    texts = [" ".join(words), " ".join(w.capitalize() + c for w in words for c in (".", "!!", ""))]
+    for text, ids in zip(texts, tokens.encode(texts)):
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, END_TOKEN]
+    assert tokens.tokenizer.strings < len(words) / 10
+
+
+def test_memory_of_words_is_bounded_and_keeps_what_is_used(monkeypatch):
+    from dqspark.llm import packing
+    from dqspark.llm.queries import tokenizer_file
+
+    monkeypatch.setattr(packing, "WORDS", 200)
+    tokens = packing.WordTokens(tokenizer_file("word_bpe_49k.json"))
+    library = tokens.tokenizer
+    used = " ".join(letters(i) for i in range(1000, 1050))
+    for k in range(1, 30):
+        texts = [used, " ".join(letters(2000 * k + i) for i in range(40)) + ",", None]
+        # as in pack: no more is asked of encode than there are texts
+        for text, ids in zip(texts, tokens.encode([t or "" for t in texts])):
+            assert ids.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, packing.END_TOKEN]
+        assert len(tokens.known) <= packing.WORDS
+        assert set(used.encode().split()) <= set(tokens.known)
+
+
+def test_ids_of_letters_marks_and_closings():
+    import random
+
+    from dqspark.llm.packing import END_TOKEN, WordTokens
+    from dqspark.llm.queries import tokenizer_file
+
+    rng = random.Random(23)
+    some = [*"aWHé×÷İıßΣςǅ한ᆨ²٣'", "W̊", "ẘ", "H̱", "'LL", "\x1c", " "]
+    tokens = WordTokens(tokenizer_file("word_bpe_49k.json"))
+    texts = ["".join(rng.choice(some) if rng.random() < 0.6 else rng.choice(".,!?;: \n\t") for _ in range(rng.randrange(20))) for _ in range(3000)]
+    texts += [f"x{chr(c)}!? {chr(c)}." for c in range(0xA1, 0x2B0)]
+    for text, ids in zip(texts, tokens.encode(texts)):
+        assert ids.tolist() == [*tokens.tokenizer.encode(text, add_special_tokens=False).ids, END_TOKEN], text
