@@ -71,6 +71,50 @@ def test_merged_transforms_order_all_suffixes():
         assert got.tolist() == [least[t[p : p + depth]] for t in texts for p in range(len(t) - depth + 1)]
 
 
+def stretches(texts, buckets=1):
+    chunk = substrings.Chunk.load(substrings.Chunk.dump(range(len(texts)), texts))
+    return substrings.Stretches(chunk, np.unique(chunk.anchors()[0]), buckets), chunk
+
+
+def test_a_line_of_many_documents_is_sent_once():
+    line, sizes = prose(random.Random(6), 30).encode(), []
+    for n in (100, 5000):
+        found, chunk = stretches([b"%d " % i + line for i in range(n)])
+        assert len(found.place) >= 5 * n
+        middle = [t for t in (chunk.data[a : a + z].tobytes() for a, z in zip(found.begins, found.sizes)) if t in line]
+        assert len(middle) == len(set(middle))
+        ((_, message),) = stretches([line] * n)[0].messages(chunk.data)
+        sizes.append(len(message))
+    assert sizes[1] <= sizes[0] + 20
+
+
+def test_only_stretches_with_a_common_side_are_merged():
+    rng = random.Random(7)
+    anchor = b"0123456789abcdef"
+    sides = [bytes(rng.choice(b"xy") for _ in range(34)) for _ in range(12)]
+    texts = list({rng.choice(sides)[rng.randint(0, 34) :] + anchor + rng.choice(sides)[: rng.randint(0, 34)] for _ in range(200)})
+    texts = [t for t in texts if len(t) >= 50]
+    kept = substrings.may_share(texts, np.array([t.index(anchor) for t in texts]), np.zeros(len(texts), int))
+    own = [{t[i : i + 50] for i in range(len(t) - 49)} for t in texts]
+    shares = [any(x & y for y in own if y is not x) for x in own]
+    assert all(k or not s for k, s in zip(kept.tolist(), shares)) and any(shares)
+    chance = [b"%034d" % rng.randrange(10**34) + anchor + b"%034d" % rng.randrange(10**34) for _ in range(50)]
+    assert not substrings.may_share(chance, np.full(50, 34), np.zeros(50, int)).any()
+
+
+def test_a_round_of_the_merge_reads_eight_symbols(monkeypatch):
+    rng, rounds = random.Random(8), []
+    texts = [prose(rng, 20, 30).encode() for _ in range(40)]
+    monkeypatch.setattr(substrings, "by_key", lambda keys, f=substrings.by_key: rounds.append(1) or f(keys))
+    got, _ = substrings.smallest_ids(texts, np.arange(40), 50, 1000)
+    least = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 49):
+            least.setdefault(t[p : p + 50], i)
+    assert got.tolist() == [least[t[p : p + 50]] for t in texts for p in range(len(t) - 49)]
+    assert len(rounds) <= 8
+
+
 def test_repeated_and_null_ids_keep_their_copies(spark):
     text = "x" + prose(random.Random(4), 30)
     rows = substrings.remove_repeats(documents(spark, [text] * 4, ids=[3, 3, None, 7])).collect()
