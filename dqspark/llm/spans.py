@@ -16,7 +16,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +28,17 @@ from dqspark.llm.common import ship, written
 
 MARK = "▁"
 #: Words a worker remembers, and the longest one remembered; different pairs of documents that go
-#: into one chunk, documents that are split into words together, and words that are encoded as one text.
-WORDS, LONG, CHUNK, TOGETHER, LINE = 400_000, 64, 1 << 20, 1024, 256
+#: into one chunk, characters of documents that are split into words together, words that are encoded as one text, and
+#: words that are aligned in one go.
+WORDS, LONG, CHUNK, TOGETHER, LINE, BLOCK = 1 << 17, 64, 1 << 20, 1 << 20, 256, 8192
 
 
 @dataclass
 class Aligned:
     """The tokens of some texts and where they meet. ``pairs`` holds the overlapping pairs of tokens of all texts, A's
-    id in the upper half, those of text i from ``bounds[i]`` to ``bounds[i + 1]``; ``sound`` says whether both sides
-    give back the text's bytes."""
+    id in the upper half, those of text i from ``bounds[i]`` to ``bounds[i + 1]``; ``told`` are the bytes of their groups in
+    writing, each with what separates it from the next, of text i from ``stops[i]`` to ``stops[i + 1]``; ``sound`` says
+    whether both sides give back the text's bytes."""
 
     sound: np.ndarray
     n_a: np.ndarray
@@ -44,7 +46,13 @@ class Aligned:
     n_groups: np.ndarray
     bounds: np.ndarray
     pairs: np.ndarray
-    told: list[bytes]
+    stops: np.ndarray
+    told: np.ndarray
+
+    def at(self, texts: np.ndarray) -> Aligned:
+        """The alignments of some of the texts, one after the other."""
+        own = [x[texts] for x in (self.sound, self.n_a, self.n_b, self.n_groups)]
+        return Aligned(*own, *ragged(self.bounds, self.pairs, texts), *ragged(self.stops, self.told, texts))
 
 
 @dataclass
@@ -58,6 +66,13 @@ class Document:
     told: bytes
 
 
+def ragged(bounds: np.ndarray, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some runs of values, that lie from one bound to the next, and their bounds among each other."""
+    begins, ends = bounds[at], np.concatenate([[0], np.cumsum(bounds[at + 1] - bounds[at])])
+    sizes = np.diff(ends)
+    return ends, values[np.repeat(begins - ends[:-1], sizes) + np.arange(ends[-1])]
+
+
 NOTHING = Document(0, 0, 0, np.zeros(0, np.int64), b"")
 
 
@@ -113,11 +128,21 @@ class Aligner:
         # ids in writing, with what follows them: inside a group, and at its end
         signs = ((self.a_bytes, b","), (self.a_bytes, b"|"), (self.b_bytes, b","), (self.b_bytes, b";"))
         self.written = np.array([b"%d" % i + sign for own, sign in signs for i in range(len(own))], object)
+        self.written_size = np.array([len(x) for x in self.written])
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.words = Aligned(*(np.zeros(0, t) for t in (bool, int, int, int)), np.zeros(1, int), np.zeros(0, np.int64), [])
+        empty = [np.zeros(0, t) for t in (bool, int, int, int)]
+        self.words = Aligned(*empty, np.zeros(1, int), np.zeros(0, np.int64), np.zeros(1, int), np.zeros(0, np.uint8))
+        self.uses = np.zeros(0, np.int32)
+
+    def spare(self) -> None:
+        """Keep the half of the memory that the most batches of texts held; older batches count less each time."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: WORDS // 2])
+        words = list(self.known)
+        self.known = {words[i]: k for k, i in enumerate(keep.tolist())}
+        self.words, self.uses = self.words.at(keep), self.uses[keep] // 2
 
     def lines(self, texts: list[str]) -> list[int]:
         """Where texts that are encoded together begin, and the number of texts."""
@@ -135,7 +160,7 @@ class Aligner:
         lines = [" ".join(texts[i:j]) if j - i > 1 else texts[i] for i, j in zip(begins, begins[1:])]
         spaced = [" " + t for t in lines]
         own = [t.encode() for t in spaced]
-        a = self.a.encode_batch(spaced, add_special_tokens=False)
+        a = [self.a.encode(t, add_special_tokens=False) for t in spaced]  # one by one: threads would each keep memory
         b = [x.pieces for x in self.b.encode(lines, return_type="proto", num_threads=1)]
         n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
         ids_a = np.fromiter(chain.from_iterable(x.ids for x in a), np.int64, n_a.sum())
@@ -178,10 +203,9 @@ class Aligner:
         k_a, k_b = len(self.a_bytes), len(self.b_bytes)
         sign[place_a] = ids_a + k_a * np.isin(e_a, common, assume_unique=True)
         sign[place_b] = ids_b + 2 * k_a + k_b * np.isin(e_b, common, assume_unique=True)
-        said = self.written[sign].tolist()
-        stops = np.cumsum(n_a + n_b).tolist()
-        told = [b"".join(said[i:j])[:-1] for i, j in zip([0, *stops], stops)]
-        return Aligned(sound, n_a, n_b, n_groups, bounds, pairs, told)
+        told = np.frombuffer(b"".join(self.written[sign].tolist()), np.uint8)  # the last sign of a text ends a group
+        stops = np.concatenate([[0], np.cumsum(self.written_size[sign])])[np.concatenate([[0], np.cumsum(n_a + n_b)])]
+        return Aligned(sound, n_a, n_b, n_groups, bounds, pairs, stops, told)
 
     def gives_back(self, own: list[bytes], ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
         """For each text whether the tokens' bytes of both sides are the text's bytes."""
@@ -194,46 +218,69 @@ class Aligner:
 
     def learn(self, words: Iterable[str]) -> None:
         """Align words that are not known yet."""
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        new = [w for w in dict.fromkeys(words) if w not in self.known and len(w) <= LONG]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        blocks = [self.words, *(self.align(new[at : at + 8192]) for at in range(0, len(new), 8192))]
+        blocks = [self.words, *(self.align(new[at : at + BLOCK]) for at in range(0, len(new), BLOCK))]
         if len(blocks) > 1:
             self.words = joined(blocks)
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
 
     def batch(self, texts: list[str]) -> Iterator[Document]:
-        """The alignment of each text; a text that a side does not give back has no tokens."""
+        """The alignment of each text; a text that a side does not give back has no tokens. Words of the texts are held
+        besides those remembered."""
         if len(self.known) > WORDS:
-            self.forget()
+            self.spare()
         split = [self.cut.split(t) if t else [] for t in texts]
-        self.learn(w for parts in split for w in parts if len(w) <= LONG)
+        words = list(chain.from_iterable(split))
+        self.learn(words)
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))  # -1: too long
+        del words
+        self.uses[np.unique(number[number >= 0])] += 1
+        begin = 0
         for text, parts in zip(texts, split):
             if not parts:
                 yield NOTHING
                 continue
-            source = self.words
-            if any(len(w) > LONG for w in parts):
+            source, at = self.words, number[begin : begin + len(parts)]
+            begin += len(parts)
+            if at.min() < 0:
                 source = self.align(parts)  # with the long words in their places
                 at = np.arange(len(parts))
-            else:
-                at = np.array([self.known[w] for w in parts])
             if not source.sound[at].all():  # decided on the whole text
                 source, at = self.align([text]), np.array([0])
                 if not source.sound[0]:
                     yield NOTHING
                     continue
-            starts, sizes = source.bounds[at], source.bounds[at + 1] - source.bounds[at]
-            ends = np.cumsum(sizes)
-            pairs = source.pairs[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
+            _, pairs = ragged(source.bounds, source.pairs, at)
             counts = (int(x[at].sum()) for x in (source.n_a, source.n_b, source.n_groups))
-            yield Document(*counts, pairs, b";".join([source.told[i] for i in at.tolist()]))
+            told = b"".join(ragged(source.stops, source.told, at[k : k + BLOCK])[1].tobytes() for k in range(0, len(at), BLOCK))
+            yield Document(*counts, pairs, told[:-1])
 
 
 def joined(blocks: list[Aligned]) -> Aligned:
     """The alignments of several lists of texts as that of one list."""
-    before = np.cumsum([0] + [len(x.pairs) for x in blocks[:-1]])
-    bounds = np.concatenate([[0], *(x.bounds[1:] + n for x, n in zip(blocks, before))])
-    arrays = [np.concatenate([getattr(x, k) for x in blocks]) for k in ("sound", "n_a", "n_b", "n_groups")]
-    return Aligned(*arrays, bounds, np.concatenate([x.pairs for x in blocks]), [t for x in blocks for t in x.told])
+    def bounds(name: str, values: str) -> np.ndarray:
+        before = np.cumsum([0] + [len(getattr(x, values)) for x in blocks[:-1]])
+        return np.concatenate([[0], *(getattr(x, name)[1:] + n for x, n in zip(blocks, before))])
+
+    def all_of(name: str) -> np.ndarray:
+        return np.concatenate([getattr(x, name) for x in blocks])
+
+    arrays = [all_of(k) for k in ("sound", "n_a", "n_b", "n_groups")]
+    return Aligned(*arrays, bounds("bounds", "pairs"), all_of("pairs"), bounds("stops", "told"), all_of("told"))
+
+
+def portions(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts in their order, some characters of them at a time."""
+    out, size = [], 0
+    for t in texts:
+        out.append(t.as_py() or "")
+        size += len(out[-1])
+        if size >= TOGETHER:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
 
 
 @lru_cache(maxsize=2)
@@ -266,9 +313,9 @@ def aligned_chunks(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
 
         for batch in batches:
             id_type = batch.column(0).type
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for at in range(0, len(ids), TOGETHER):
-                for doc_id, x in zip(ids[at : at + TOGETHER], aligner(byte_level, pieces).batch(texts[at : at + TOGETHER])):
+            ids = iter(batch.column(0).to_pylist())
+            for texts in portions(batch.column(1)):
+                for doc_id, x in zip(list(islice(ids, len(texts))), aligner(byte_level, pieces).batch(texts)):
                     pairs, times = np.unique(x.pairs, return_counts=True)
                     told = hashlib.sha256(x.told).hexdigest() if x.n_a else ""
                     rows.append((doc_id, x.n_a, x.n_b, x.n_groups, len(x.pairs), told, pairs, times))

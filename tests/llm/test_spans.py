@@ -5,12 +5,14 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from helpers import awkward, documents, prose
 from tokenizers import Tokenizer
 
-from dqspark.llm.spans import Aligner, align_tokens, byte_alphabet
+from dqspark.llm import spans as module
+from dqspark.llm.spans import Aligner, align_tokens, byte_alphabet, portions
 
 FILES = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
 
@@ -109,3 +111,34 @@ def test_ids_and_empty_tables(spark, tokenizers):
     rows = align_tokens(documents(spark, texts, ids=[None, 7, 7, None]), *FILES).collect()
     assert sorted((r.doc_id is None, r.n_a > 0) for r in rows) == [(False, True), (False, True), (True, False), (True, True)]
     assert align_tokens(documents(spark, []), *FILES).collect() == []
+
+
+def test_memory_of_words_is_bounded_and_keeps_what_is_used(tokenizers, monkeypatch):
+    monkeypatch.setattr(module, "WORDS", 300)
+    rng, aligner, most, long = random.Random(9), Aligner(*FILES), 0, "x" * 70
+    common = [prose(rng, 1) + c for c in "abcdefghij"]
+    for k in range(30):
+        texts = [" ".join([*common, *(f"w{rng.randrange(10**9)}" for _ in range(10)), *([long] if k % 3 else [])]) for _ in range(6)]
+        for text, x in zip(texts, aligner.batch(texts)):
+            n_a, n_b, told, links = alone(tokenizers, text)
+            assert (x.n_a, x.n_b, x.told.decode()) == (n_a, n_b, ";".join(told)), text
+            assert sorted(((p >> 32), p & 0xFFFFFFFF) for p in x.pairs.tolist()) == sorted(links), text
+        most = max(most, len(aligner.known))
+        assert len(aligner.known) == len(aligner.uses) == len(aligner.words.sound) and long not in aligner.known
+        assert k == 0 or all(w in aligner.known for w in common)
+    assert most <= 300 + 80
+
+
+def test_texts_are_taken_by_their_length(monkeypatch):
+    monkeypatch.setattr(module, "TOGETHER", 100)
+    rng = random.Random(10)
+    texts = [None if rng.random() < 0.1 else "x" * rng.choice([0, 5, 40, 300]) for _ in range(200)]
+    got = list(portions(pa.array(texts, pa.string())))
+    assert [t for p in got for t in p] == [t or "" for t in texts]
+    assert all(sum(map(len, p[:-1])) < 100 for p in got) and len(got) > 40
+
+
+def test_long_texts_keep_their_ids(spark):
+    texts = [" ".join(["the"] * (150_000 + i)) for i in range(12)]
+    rows = align_tokens(documents(spark, texts), *FILES).collect()
+    assert sorted((r.doc_id, r.n_a) for r in rows) == [(i, 150_000 + i) for i in range(12)]
