@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dqspark.llm.common import ship, written
+from dqspark.llm.substrings import opened, planes, sealed, unplaned
 
 MARK = "▁"
 #: Words a worker remembers, and the longest one remembered; different pairs of documents that go
@@ -291,9 +292,10 @@ def aligner(byte_level: str, pieces: str) -> Aligner:
 
 def aligned_chunks(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     """Rows of ``chunk``: some neighbouring documents with their ids, counts and digests, and per document its
-    different pairs with how often each occurs (``pairs`` and ``times`` of all one after the other, ``sizes`` how many each has)."""
+    different pairs with how often each occurs (``pairs``, all one after the other and compressed: plain arrays of a million
+    numbers take an executor hundreds of MB to sort and hand on; ``sizes`` how many each has)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "told", "sizes", "pairs", "times"]
+    names = ["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "told", "sizes", "pairs"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, number = TaskContext.get().partitionId() << 32, 0
@@ -306,9 +308,8 @@ def aligned_chunks(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
             arrays += [pa.array([list(columns[k])], pa.list_(pa.int64())) for k in range(1, 5)]
             arrays.append(pa.array([list(columns[5])], pa.list_(pa.string())))
             arrays.append(pa.array([[len(p) for p in columns[6]]], pa.list_(pa.int64())))
-            for k, t in ((6, pa.int64()), (7, pa.int64())):
-                values = pa.array(np.concatenate(columns[k]), t)
-                arrays.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+            pairs, times = (np.concatenate(columns[k]) for k in (6, 7))
+            arrays.append(pa.array([sealed(len(pairs), planes(pairs), times.astype("<u4"))], pa.binary()))
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
@@ -330,18 +331,24 @@ def aligned_chunks(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     ship(docs.sparkSession)
     schema = (
         f"chunk bigint, doc_id array<{kind}>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>,"
-        " told array<string>, sizes array<bigint>, pairs array<bigint>, times array<bigint>"
+        " told array<string>, sizes array<bigint>, pairs binary"
     )
     return docs.select(docs["doc_id"], docs["text"]).mapInArrow(encode, schema)
 
 
+def pairs_of(blob) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a chunk's documents, and how often each occurs in its document."""
+    pairs, times, _ = opened(blob, 8, 4)
+    return unplaned(pairs), times.view("<u4").astype(np.int64)
+
+
 def pair_counts(chunks: DataFrame) -> DataFrame:
     """``chunk``, ``pair``, ``n`` of every different pair of a chunk: in how many of its documents it occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, pairs in zip(batch.column(0), batch.column(1)):
-                own, n = np.unique(pairs.values.to_numpy(zero_copy_only=False), return_counts=True)
+                own, n = np.unique(pairs_of(pairs.as_buffer())[0], return_counts=True)
                 columns = [pa.array(np.full(len(own), chunk.as_py())), pa.array(own), pa.array(n)]
                 yield pa.RecordBatch.from_arrays([c.cast(pa.int64()) for c in columns], ["chunk", "pair", "n"])
 
@@ -377,9 +384,9 @@ def align_tokens(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
         known, n = right["pair"].to_numpy()[order], right["n"].to_numpy()[order]
         is_best = right["best"].to_numpy()[order].astype(bool)
         (row,) = [left.slice(i, 1) for i in range(len(left))]
-        flat = {c: row[c].combine_chunks().flatten() for c in row.column_names if c != "chunk"}
-        sizes, times = flat["sizes"].to_numpy(), flat["times"].to_numpy()
-        at = np.searchsorted(known, flat["pairs"].to_numpy())
+        flat = {c: row[c].combine_chunks().flatten() for c in row.column_names if c not in ("chunk", "pairs")}
+        sizes, (pairs, times) = flat["sizes"].to_numpy(), pairs_of(row["pairs"][0].as_buffer())
+        at = np.searchsorted(known, pairs)
         ends = np.cumsum(sizes)
         sums = [np.concatenate([[0], np.cumsum(x)]) for x in (times * is_best[at], times * n[at])]
         n_best, count_sum = (s[ends] - s[ends - sizes] for s in sums)
