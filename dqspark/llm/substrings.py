@@ -33,7 +33,7 @@ LENGTH, GRAM = 50, 16
 WIDTH, SIDE = LENGTH - GRAM + 1, (LENGTH - GRAM + 1) // 2
 #: Bytes of documents handled as one chunk, of text per task of anchors, of stretches merged together, and
 #: of a shard of them.
-CHUNK, BUCKET, BATCH, SHARD = 16 << 20, 16 << 20, 1 << 16, 1 << 14
+CHUNK, BUCKET, BATCH, SHARD = 8 << 20, 16 << 20, 1 << 16, 1 << 14
 #: Bytes of documents whose anchors are looked for together, and windows at most; a position must fit into the low
 #: bits of a key.
 BLOCK, SLICE, LOW = 1 << 16, 1 << 22, np.uint64(24)
